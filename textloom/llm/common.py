@@ -8,7 +8,9 @@ at most once, however often it occurs there: a key that fills a third of the cor
 
 from __future__ import annotations
 
+import gc
 import pickle
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,17 +46,57 @@ def row_key(*cols: str) -> Column:
     return F.xxhash64(*[F.col(c) for c in cols])
 
 
-def batched(docs: DataFrame, *more: str, each: int = 6_000_000) -> tuple[DataFrame, int]:
-    """(batch, k, doc, text, ...) with null texts empty and null ids last, dealt to batches by id and text.
+class Batch:
+    """A batch's documents ordered by k, which identifies a row by its id and text: equal rows share it, and every result.
 
-    k identifies a row by its id and text: equal rows share it, and share every result."""
+    doc is the id as an order key, id the id itself, texts are UTF-8 bytes, more holds the further columns asked for."""
+
+    def __init__(self, group: pa.Table):
+        self.number = int(group.column("batch")[0].as_py())
+        got = [unpack(x) for x in group.column("blob").to_pylist()]
+        k = np.concatenate([x[0] for x in got])
+        order = np.argsort(k, kind="stable")
+        self.k, self.doc = k[order], np.concatenate([x[1] for x in got])[order]
+        texts, more = [t for x in got for t in x[2]], [[v for x in got for v in x[3][c]] for c in range(len(got[0][3]))]
+        self.texts = [texts[i] for i in order]
+        self.more = [[m[i] for i in order] for m in more]
+        self.id = [None if x == LAST else x for x in self.doc.tolist()]
+
+
+def batched(docs: DataFrame, *more: Column, each: int = 4_000_000) -> tuple[DataFrame, int]:
+    """(batch, blob): the rows with null texts empty and null ids last, dealt to batches by id and text, packed."""
     n = parts(docs, each)
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
     got = docs.select(
         F.pmod(key, F.lit(n)).cast("int").alias("batch"), key.alias("k"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("doc"),
-        F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more,
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(c.alias(f"more{i}") for i, c in enumerate(more)),
     )
-    return got.repartition("batch"), n
+
+    extra = [f"more{i}" for i in range(len(more))]
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def flush():
+            t = pa.Table.from_batches(held)
+            b = t.column("batch").to_numpy()
+            order = np.argsort(b, kind="stable")
+            for g in np.split(order, np.flatnonzero(np.diff(b[order])) + 1):
+                x = t.take(g)
+                blob = pack((x.column("k").to_numpy(), x.column("doc").to_numpy(), binary(x.column("text")), [x.column(c).to_pylist() for c in extra]))
+                yield pa.RecordBatch.from_pydict({"batch": pa.array([b[g[0]]], pa.int32()), "blob": pa.array([blob], pa.binary())})
+
+        for rb in batches:
+            held.append(rb)
+            size += rb.nbytes
+            if size > 48_000_000:
+                yield from flush()
+                held, size = [], 0
+        if sum(len(x) for x in held):
+            yield from flush()
+
+    return got.mapInArrow(packed, "batch int, blob binary").repartition("batch"), n
 
 
 # ---------------------------------------------------------------- bytes, words, hashes
@@ -159,44 +201,71 @@ def table(schema: str, **columns) -> pa.Table:
 SENT = "bucket int, batch int, blob binary"
 
 
-def dealt(keys: np.ndarray, nb: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order of the keys by bucket that keeps theirs, and where each bucket's part begins."""
-    b = ((keys >> U64(40)) % U64(nb)).astype(np.int32)
-    order = np.argsort(b, kind="stable")
-    return order, np.searchsorted(b[order], np.arange(nb + 1))
+def _ranges(keys: np.ndarray, nb: int) -> np.ndarray:
+    """Where each bucket's part of the sorted keys begins: buckets are equal ranges of the 64-bit hashes."""
+    return np.searchsorted(((keys >> U64(32)) * U64(nb) >> U64(32)).astype(np.int64), np.arange(nb + 1))
+
 
+def pack_keys(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys as differences, byte by byte: the high bytes are nearly all zero and pack away."""
+    return np.ascontiguousarray(np.diff(keys, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T)
 
-def send(batch: int, keys: np.ndarray, nb: int, *more: np.ndarray) -> pa.Table:
+
+def unpack_keys(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(planes.T).view(U64).ravel(), dtype=U64)
+
+
+def send(batch: int, keys: np.ndarray, nb: int, count: np.ndarray) -> pa.Table:
     """One row per bucket that has keys; keys are distinct and sorted."""
-    order, cut = dealt(keys, nb)
+    cut = _ranges(keys, nb)
     full = np.flatnonzero(np.diff(cut))
-    return table(SENT, bucket=full, batch=np.full(len(full), batch), blob=[pack(tuple(a[order[cut[b] : cut[b + 1]]] for a in (keys, *more))) for b in full])
+    return table(SENT, bucket=full, batch=np.full(len(full), batch), blob=[pack((pack_keys(keys[cut[b] : cut[b + 1]]), count[cut[b] : cut[b + 1]].astype(np.int32))) for b in full])
 
 
-def counted(sent: DataFrame, extra: Callable | None = None) -> DataFrame:
+def counted(sent: DataFrame, about: Callable[[np.ndarray, np.ndarray], object] | None = None) -> DataFrame:
     """Totals of each key over all batches: (bucket, batch, blob of totals in the order sent).
 
+    With `about`, a bucket adds a row of batch -1 that holds about(distinct keys, totals).
+
     Entries of one key come once from each batch, so a bucket is bounded by its distinct keys times the batches that
     have them, and packed sorted runs are summed by one sort."""
 
     def total(group: pa.Table) -> pa.Table:
         blobs = [unpack(b) for b in group.column("blob").to_pylist()]
-        keys = np.concatenate([b[0] for b in blobs])
+        keys = np.concatenate([unpack_keys(b[0]) for b in blobs])
         n = np.concatenate([b[1] for b in blobs]).astype(np.int64)
         uniq, inv = np.unique(keys, return_inverse=True)
-        got = np.bincount(inv, n, len(uniq)).astype(np.int64)[inv]
-        cut = np.cumsum([0] + [len(b[0]) for b in blobs])
+        each = np.bincount(inv, n, len(uniq)).astype(np.int64)
+        got = each[inv]
+        cut = np.cumsum([0] + [len(b[1]) for b in blobs])
         kind = np.int32 if got.max(initial=0) < 2**31 else np.int64
         back = [pack(got[i:j].astype(kind)) for i, j in zip(cut, cut[1:], strict=False)]
-        return table(SENT, bucket=group.column("bucket").to_pylist(), batch=group.column("batch").to_pylist(), blob=back)
+        bucket, batch = group.column("bucket").to_pylist(), group.column("batch").to_pylist()
+        if about:
+            bucket, batch, back = [*bucket, bucket[0]], [*batch, -1], [*back, pack(about(uniq, each))]
+        return table(SENT, bucket=bucket, batch=batch, blob=back)
 
     return sent.groupBy("bucket").applyInArrow(total, SENT)
 
 
 def totals(keys: np.ndarray, nb: int, back: pa.Table) -> np.ndarray:
     """The totals of a batch's distinct sorted keys, from what counted() sent back to it."""
-    order, cut = dealt(keys, nb)
+    cut = _ranges(keys, nb)
     out = np.zeros(len(keys), np.int64)
     for b, blob in zip(back.column("bucket").to_pylist(), back.column("blob").to_pylist(), strict=True):
-        out[order[cut[b] : cut[b + 1]]] = unpack(blob)
+        out[cut[b] : cut[b + 1]] = unpack(blob)
     return out
+
+
+def release(df: DataFrame) -> None:
+    """Let Spark drop the shuffle files of finished steps now, not when the driver happens to collect its garbage."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
+def kept(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names; one of our own only where it is unset."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint(eager)

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import SENT, U64, Prefix, batched, binary, chunks, counted, joined, pack, parts, send, table, totals, unpack, words
+from .common import SENT, U64, Batch, Prefix, batched, chunks, counted, joined, pack, parts, send, table, totals, unpack, words
 
 
 @dataclass(frozen=True)
@@ -84,18 +84,9 @@ def _runs(u: Units, rule: Rule, hashed: Prefix) -> tuple[np.ndarray, ...]:
     return begin, end, h[at[begin]]
 
 
-class Batch:
-    def __init__(self, left: pa.Table, rule: Rule):
-        k = left.column("k").to_numpy()
-        order = np.argsort(k, kind="stable")
-        self.k, self.id = int(left.column("batch")[0].as_py()), left.column("id").take(order)
-        self.row_keys, self.doc = k[order], left.column("doc").to_numpy()[order]
-        self.texts = binary(left.column("text").take(order))
-        self.rule = rule
-
-    def parts(self):
-        for lo, hi in chunks(self.texts):
-            yield lo, hi, Units(self.texts[lo:hi], self.rule.by_word)
+def _parts(b: Batch, rule: Rule):
+    for lo, hi in chunks(b.texts):
+        yield lo, hi, Units(b.texts[lo:hi], rule.by_word)
 
 
 def find(docs: DataFrame, rule: Rule, out: str, finish: Callable[[Batch, list], pa.Table]) -> DataFrame:
@@ -104,21 +95,21 @@ def find(docs: DataFrame, rule: Rule, out: str, finish: Callable[[Batch, list],
     nb = parts(docs, 3_000_000, 48)
 
     def minimisers(group: pa.Table) -> pa.Table:
-        b = Batch(group, rule)
+        b = Batch(group)
         found = []
-        for _, _, u in b.parts():
+        for _, _, u in _parts(b, rule):
             begin, _, h = _runs(u, rule, Prefix(u.buf))
             if not rule.by_place:  # the same document again doesn't count
                 pair = np.unique(h ^ (u.text[begin].astype(U64) * U64(0x9E3779B97F4A7C15)), return_index=True)[1]
                 h = h[pair]
             found.append(h)
         keys, c = np.unique(np.concatenate([*found, np.zeros(0, U64)]), return_counts=True)
-        return send(b.k, keys, nb, c.astype(np.int32))
+        return send(b.number, keys, nb, c.astype(np.int32))
 
     def strings(left: pa.Table, right: pa.Table) -> pa.Table:
-        b = Batch(left, rule)
+        b = Batch(left)
         runs = []
-        for lo, _, u in b.parts():
+        for lo, _, u in _parts(b, rule):
             p = Prefix(u.buf)
             runs.append((lo, u, p, *_runs(u, rule, p)))
         keys = np.unique(np.concatenate([*(r[5] for r in runs), np.zeros(0, U64)]))
@@ -167,8 +158,8 @@ def find(docs: DataFrame, rule: Rule, out: str, finish: Callable[[Batch, list],
                 if len(g):
                     rows[int(bucket[g[0]])].append(("f", f1[g], f2[g], doc[g].astype(np.int32), key[g], at[g]))
         if done and (gone := np.concatenate(done, axis=1)).size:
-            rows[-1 - b.k].append(("d", gone))
-        return table(SENT, bucket=list(rows), batch=[b.k] * len(rows), blob=[pack(x) for x in rows.values()])
+            rows[-1 - b.number].append(("d", gone))
+        return table(SENT, bucket=list(rows), batch=[b.number] * len(rows), blob=[pack(x) for x in rows.values()])
 
     def meet(group: pa.Table) -> pa.Table:
         """What also starts earlier, by batch: documents, first windows, counts."""
@@ -192,7 +183,7 @@ def find(docs: DataFrame, rule: Rule, out: str, finish: Callable[[Batch, list],
         return table("batch int, blob binary", batch=list(back), blob=[pack(np.concatenate(x, axis=1)) for x in back.values()])
 
     def finished(left: pa.Table, right: pa.Table) -> pa.Table:
-        b = Batch(left, rule)
+        b = Batch(left)
         gone = [unpack(x) for x in right.column("blob").to_pylist()]
         doc, at, count = np.concatenate([*gone, np.zeros((3, 0), np.int64)], axis=1)
         order = np.argsort(doc, kind="stable")

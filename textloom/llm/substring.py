@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bwt
-from .common import runs, table
-from .earlier import Batch, Rule, Units, covered, find
+from .common import Batch, chunks, runs, table
+from .earlier import Rule, Units, covered, find
 
 
 def dedup_bytes(docs: DataFrame, size: int = 100, gram: int = 24, with_text: bool = False) -> DataFrame:
@@ -37,8 +37,8 @@ def dedup_bytes(docs: DataFrame, size: int = 100, gram: int = 24, with_text: boo
             sha.append(hashlib.sha256(text).hexdigest())
             if with_text:
                 kept.append(text.decode("utf-8", "ignore"))
-        more = {"k": b.row_keys, "kept": kept} if with_text else {}
-        return table(out, doc_id=b.id.to_pylist(), n_bytes=[len(t) for t in b.texts], n_removed=removed, n_spans=spans, kept_sha256=sha, **more)
+        more = {"k": b.k, "kept": kept} if with_text else {}
+        return table(out, doc_id=b.id, n_bytes=[len(t) for t in b.texts], n_removed=removed, n_spans=spans, kept_sha256=sha, **more)
 
     return find(docs, Rule(size, gram, False, True, bwt.classes), out, finish)
 
@@ -70,7 +70,8 @@ def dedup_words(docs: DataFrame, size: int = 13, gram: int = 5, with_text: bool
 
     def finish(b: Batch, late: list) -> pa.Table:
         total, removed, sha, texts = [], [], [], []
-        for lo, hi, u in b.parts():
+        for lo, hi in chunks(b.texts):
+            u = Units(b.texts[lo:hi], True)
             data = u.buf.tobytes()
             for i in range(lo, hi):
                 w, end = u.first[i - lo], u.first[i - lo + 1]
@@ -88,9 +89,7 @@ def dedup_words(docs: DataFrame, size: int = 13, gram: int = 5, with_text: bool
                 sha.append(hashlib.sha256(kept).hexdigest())
                 if with_text:
                     texts.append(kept.decode())
-        return table(out, doc_id=b.id.to_pylist(), n_words=total, n_removed=removed, kept_sha256=sha, **({"kept": texts} if with_text else {}))
+        return table(out, doc_id=b.id, n_words=total, n_removed=removed, kept_sha256=sha, **({"kept": texts} if with_text else {}))
 
     return find(docs, Rule(size, gram, True, False, word_classes), out, finish)
 
-
-__all__ = ["Units", "dedup_bytes", "dedup_words", "word_classes"]
