@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from .common import SENT, U64, Batch, Prefix, batched, chunks, counted, joined, pack, parts, send, table, totals, unpack, words
 
@@ -89,9 +89,9 @@ def _parts(b: Batch, rule: Rule):
         yield lo, hi, Units(b.texts[lo:hi], rule.by_word)
 
 
-def find(docs: DataFrame, rule: Rule, out: str, finish: Callable[[Batch, list], pa.Table]) -> DataFrame:
+def find(docs: DataFrame, rule: Rule, out: str, finish: Callable[[Batch, list], pa.Table], *more: Column) -> DataFrame:
     """finish() gets a batch and, per document, the (start, count) arrays of its windows that also start earlier."""
-    d, n = batched(docs)
+    d, _ = batched(docs, *more)
     nb = parts(docs, 3_000_000, 48)
 
     def minimisers(group: pa.Table) -> pa.Table:

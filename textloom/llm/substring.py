@@ -7,21 +7,24 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import bwt
 from .common import Batch, chunks, runs, table
 from .earlier import Rule, Units, covered, find
 
 
-def dedup_bytes(docs: DataFrame, size: int = 100, gram: int = 24, with_text: bool = False) -> DataFrame:
+def dedup_bytes(docs: DataFrame, size: int = 100, gram: int = 24, with_text: bool = False, columns: tuple[str, ...] = ()) -> DataFrame:
     """Remove each byte that lies in a `size`-byte string which also starts earlier.
 
     Earlier: in a document with a smaller doc_id, or in the same document further left. Rows that share a doc_id are
     one document here: they repeat each other only at different offsets. A null doc_id comes after all others; a null
     text is empty. Strings are judged on the input. `docs` may have any further columns; they are not read.
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with_text also k (xxhash64 of doc_id and text) and
-    kept: the remaining text, where bytes that a cut leaves as broken characters are dropped (null text: null is lost, '')."""
+    kept: the remaining text, where bytes that a cut leaves as broken characters are dropped (of a null text: '').
+    `columns` are further string or long columns to carry along."""
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", k long, kept string" * with_text
+    out += "".join(f", {c} {docs.schema[c].dataType.simpleString().replace('bigint', 'long')}" for c in columns)
 
     def finish(b: Batch, late: list) -> pa.Table:
         removed, spans, sha, kept = [], [], [], []
@@ -37,10 +40,10 @@ def dedup_bytes(docs: DataFrame, size: int = 100, gram: int = 24, with_text: boo
             sha.append(hashlib.sha256(text).hexdigest())
             if with_text:
                 kept.append(text.decode("utf-8", "ignore"))
-        more = {"k": b.k, "kept": kept} if with_text else {}
+        more = dict(zip(columns, b.more, strict=True)) | ({"k": b.k, "kept": kept} if with_text else {})
         return table(out, doc_id=b.id, n_bytes=[len(t) for t in b.texts], n_removed=removed, n_spans=spans, kept_sha256=sha, **more)
 
-    return find(docs, Rule(size, gram, False, True, bwt.classes), out, finish)
+    return find(docs, Rule(size, gram, False, True, bwt.classes), out, finish, *(F.col(c) for c in columns))
 
 
 def word_classes(texts: list[bytes], size: int) -> list[np.ndarray]:
