@@ -5,9 +5,11 @@ inverse document frequency of its words, over all documents. Samples are drawn s
 probability of their weighted Jaccard similarity; texts that agree on all samples of a band are candidates, and the
 candidates' similarity is then computed from all their shingles. Equal texts are one from the start.
 
-Within a band's bucket all texts are compared with its leader, the one with the least key. Those the leader doesn't
-match are compared with the bucket's other texts, except where the triangle inequality of the Jaccard distance already
-rules a link out. So no link that a band proposes is lost, and a bucket of copies costs one comparison each.
+Within a band's bucket all texts are first compared with one leader, the text that meets most others in all bands: of
+copies with edits that is mostly the original. What the leaders' links don't unite is looked at again: texts of one
+bucket that are in different components, and whose samples agree well enough, are compared in blocks, until they are
+in one component or all such pairs are done. So no class that a band proposes is split, a bucket of copies costs one
+comparison each, and no pairs are emitted but those that are linked.
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ from .common import SENT, U64, Batch, Prefix, batched, chunks, counted, kept, mi
 from .earlier import Units
 from .graph import components, salted
 
-BANDS, ROWS, WORDS, LIKE = 9, 3, 5, 0.8
+BANDS, ROWS, WORDS, LIKE = 12, 4, 5, 0.8
+BLOCK = 250  #: texts of a bucket that meet at once in the second look
+AGREE = 0.57  #: share of equal samples below which two texts aren't compared: four deviations under 0.8
 
 
 def _gamma_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -108,8 +112,8 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def near_duplicates(docs: DataFrame, like: float = LIKE) -> DataFrame:
-    """One row per document: doc_id, class_id (the least doc_id of its class), n_links (other texts it was found to
-    match), first (whether it is its class's document of least id), k (xxhash64 of doc_id and text).
+    """One row per document: doc_id, class_id (the least doc_id of its class), first (whether it is its class's document
+    of least id), k (xxhash64 of doc_id and text).
 
     Null texts are empty; texts without words match only equal texts. Equal rows share everything but are one document,
     so each of them is `first` where one is. A null doc_id comes after all others."""
@@ -126,7 +130,7 @@ def near_duplicates(docs: DataFrame, like: float = LIKE) -> DataFrame:
 
     def sketched(left: pa.Table, right: pa.Table) -> pa.Table:
         b = Batch(left)
-        bands = []
+        bands, samples = [], []
         for lo, hi, text, h, w in _shingles(b, right, many, nb):
             s = _samples(text, h, w, hi - lo)
             got = np.zeros((hi - lo, BANDS), U64)
@@ -135,50 +139,55 @@ def near_duplicates(docs: DataFrame, like: float = LIKE) -> DataFrame:
                 for j in range(ROWS):
                     x = mix(x * U64(31) + s[:, i * ROWS + j])
                 got[:, i] = x
+            samples += [x.tobytes() for x in (s >> U64(32)).astype(np.uint32)]
             some = np.zeros(hi - lo, bool)
             some[text] = True
             bands += [x if y else [] for x, y in zip(got.view(np.int64).tolist(), some.tolist(), strict=True)]
         t = table("k long, doc long, same binary", k=b.k, doc=b.doc, same=[hashlib.sha256(x).digest()[:16] for x in b.texts])
-        return t.append_column("bands", pa.array(bands, pa.list_(pa.int64())))
+        return t.append_column("bands", pa.array(bands, pa.list_(pa.int64()))).append_column("samples", pa.array(samples, pa.binary()))
 
-    sketch = kept(d.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(sketched, "k long, doc long, same binary, bands array<long>"))
+    sketch = kept(d.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(sketched, "k long, doc long, same binary, bands array<long>, samples binary"))
     release(sketch)
-    own = sketch.groupBy("same").agg(F.min(F.struct("doc", "k", "bands")).alias("x"))
-    texts = kept(own.select("same", F.col("x.doc").alias("doc"), F.col("x.k").alias("k"), F.col("x.bands").alias("bands")))
+    own = sketch.groupBy("same").agg(F.min(F.struct("doc", "k")).alias("x"), F.first("bands").alias("bands"), F.first("samples").alias("samples"))
+    texts = kept(own.select("same", "x.doc", "x.k", "bands", "samples"))
     rows = texts.select("k", F.explode("bands").alias("band"))
-    led = kept(rows.groupBy("band").agg(F.min("k").alias("lead"), F.count("k").alias("n")).where("n > 1").drop("n"))
-    rows = kept(salted(rows, led, ["band"], F.col("k")))
-    pairs = kept(rows.where("k != lead").select(F.col("lead").alias("a"), F.col("k").alias("b")).distinct())
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """(a, b, like) of each pair."""
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().select(F.pmod("k", F.lit(n)).cast("int").alias("batch"), "k")
+    rows = kept(salted(rows, rows.groupBy("band").agg(F.count("k").alias("n")).where("n > 1"), ["band"], F.col("k")))
+    met = rows.groupBy("k").agg(F.sum("n").alias("met"))
+    rows = rows.join(met, "k")
+    led = rows.groupBy("band").agg(F.max(F.struct("met", "k")).alias("lead")).select("band", F.col("lead.k").alias("lead"))
+    pairs = kept(salted(rows, led, ["band"], F.col("k")).where("k != lead").select(F.col("lead").alias("a"), F.col("k").alias("b")).distinct())
+
+    def features(left: pa.Table, right: pa.Table) -> pa.Table:
+        want = {k for ks in right.column("ks").to_pylist() if ks for k in ks}
+        if not want or not left.num_rows:
+            return table("k long, blob binary", k=[], blob=[])
+        b, right = Batch(left), right.filter(pa.compute.is_valid(right.column("blob")))
+        ks, blobs = [], []
+        for lo, hi, text, h, w in _shingles(b, right, many, nb):
+            cut = np.searchsorted(text, np.arange(hi - lo + 1))
+            for i, k in enumerate(b.k[lo:hi].tolist()):
+                if k in want:
+                    want.discard(k)
+                    ks.append(k)
+                    blobs.append(pack((h[cut[i] : cut[i + 1]], w[cut[i] : cut[i + 1]])))
+        return table("k long, blob binary", k=ks, blob=blobs)
+
+    def shingles(asked: DataFrame) -> DataFrame:
+        """(k, blob of hashes and weights) of each k asked for."""
+        asked = asked.distinct().select(F.pmod("k", F.lit(n)).cast("int").alias("batch"), "k")
         asked = asked.groupBy("batch").agg(F.collect_list("k").alias("ks"))  # at most a batch's documents
         right = back.withColumn("ks", F.lit(None).cast("array<long>")).unionByName(asked, allowMissingColumns=True)
+        return kept(d.groupBy("batch").cogroup(right.groupBy("batch")).applyInArrow(features, "k long, blob binary"))
 
-        def features(left: pa.Table, right: pa.Table) -> pa.Table:
-            want = {k for ks in right.column("ks").to_pylist() if ks for k in ks}
-            if not want or not left.num_rows:
-                return table("k long, blob binary", k=[], blob=[])
-            b, right = Batch(left), right.filter(pa.compute.is_valid(right.column("blob")))
-            ks, blobs = [], []
-            for lo, hi, text, h, w in _shingles(b, right, many, nb):
-                cut = np.searchsorted(text, np.arange(hi - lo + 1))
-                for i, k in enumerate(b.k[lo:hi].tolist()):
-                    if k in want:
-                        want.discard(k)
-                        ks.append(k)
-                        blobs.append(pack((h[cut[i] : cut[i + 1]], w[cut[i] : cut[i + 1]])))
-            return table("k long, blob binary", k=ks, blob=blobs)
-
-        have = d.groupBy("batch").cogroup(right.groupBy("batch")).applyInArrow(features, "k long, blob binary")
-        have = kept(have)
+    def verified(pairs: DataFrame) -> DataFrame:
+        """(a, b, like) of each pair."""
+        have = shingles(pairs.select(F.explode(F.array("a", "b")).alias("k")))
         # a leader's pairs go to as many groups as they need; each gets the leader's shingles once
         sizes = pairs.groupBy("a").agg(F.ceil(F.count("b") / 64).cast("int").alias("n"))
         leads = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"))
         left = leads.join(have.select(F.col("k").alias("a"), "blob"), "a").select(F.col("a").alias("lead"), F.col("salt").alias("part"), F.col("blob").alias("shingles"))
         spread = salted(pairs, sizes, ["a"], F.col("b")).select("a", "b", F.pmod(F.xxhash64("b"), F.col("n")).cast("int").alias("salt"))
-        right = salted(spread, have.select(F.col("k").alias("b"), "blob"), ["b"], F.col("a"), salts=2)
+        right = spread.join(have.select(F.col("k").alias("b"), "blob"), "b")
 
         def compare(left: pa.Table, right: pa.Table) -> pa.Table:
             if not left.num_rows:
@@ -189,25 +198,74 @@ def near_duplicates(docs: DataFrame, like: float = LIKE) -> DataFrame:
 
         return left.groupBy("lead", "part").cogroup(right.groupBy("a", "salt")).applyInArrow(compare, "a long, b long, alike double")
 
-    seen = kept(verified(pairs))
-    # what the leader doesn't match is compared with the rest of its bucket
-    close = salted(rows.where("k != lead"), seen.select(F.col("a").alias("lead"), F.col("b").alias("k"), "alike"), ["lead", "k"], F.col("band"), salts=1)
-    odd = close.where(F.col("alike") < like).select("band", F.col("k").alias("u"), F.col("alike").alias("du"))
-    rest = close.select("band", F.col("k").alias("m"), F.col("alike").alias("dm"))
-    again = rest.join(odd, "band").where((F.col("u") != F.col("m")) & ((F.col("dm") >= like) | (F.col("u") < F.col("m"))) & (F.abs(F.col("du") - F.col("dm")) <= 1 - like + 1e-9))
-    again = kept(again.select(F.least("u", "m").alias("a"), F.greatest("u", "m").alias("b")).distinct())
-    if not again.isEmpty():
-        more = verified(again)
-        seen = kept(seen.union(more))
-    links = seen.where(F.col("alike") >= like - 1e-9).select("a", "b").distinct()
-    links = kept(links)
+    links = kept(verified(pairs).where(F.col("alike") >= like - 1e-9).select("a", "b"))
+    release(links)
+    # a second look at buckets that hold several components
     root = components(links)
-    count = links.select(F.explode(F.array("a", "b")).alias("k")).groupBy("k").agg(F.count("k").alias("n_links"))
-    named = texts.select("same", "doc", "k").join(root.withColumnRenamed("node", "k"), "k", "left").join(count, "k", "left")
-    named = kept(named.select("same", "doc", "k", F.coalesce("root", "k").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    part = texts.select("k", "bands", "samples").join(root.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    part = part.select("k", "root", "samples", F.posexplode("bands").alias("i", "band"), "bands")
+    split = part.groupBy("band").agg(F.count("k").alias("n"), (F.min("root") != F.max("root")).alias("split")).where("n > 1 and split").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("n"))
+    part = salted(part, split, ["band"], F.col("k")).withColumn("block", F.pmod(F.xxhash64("k"), F.col("n")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
+    part = part.select("k", "root", "samples", "i", "band", "bands", "block", other).select("*", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).drop("other")
+    look = "k long, root long, samples binary, i int, band long, bands array<long>, block int, lo int, hi int"
+
+    def pairing(group: pa.Table):
+        """For each text but the last: the later ones worth a comparison that no earlier band and no other block pair makes."""
+        s = np.frombuffer(b"".join(group.column("samples").to_pylist()), np.uint32).reshape(group.num_rows, -1)
+        bands = np.array(group.column("bands").to_pylist(), np.int64)
+        at, root, block = group.column("i").to_numpy(), group.column("root").to_numpy(), group.column("block").to_numpy()
+        cross = group.column("lo")[0].as_py() != group.column("hi")[0].as_py()
+        for i in range(group.num_rows - 1):
+            ok = (root[i + 1 :] != root[i]) & ((s[i + 1 :] == s[i]).sum(1) >= AGREE * s.shape[1])
+            if cross:
+                ok &= block[i + 1 :] != block[i]
+            ok &= ~(bands[i + 1 :, : at[i]] == bands[i, : at[i]]).any(1)
+            if ok.any():
+                yield i, i + 1 + np.flatnonzero(ok)
+
+    def worth(group: pa.Table) -> pa.Table:
+        use = np.zeros(group.num_rows, bool)
+        for i, js in pairing(group):
+            use[i] = True
+            use[js] = True
+        return group.select([x.split()[0] for x in look.split(", ")]).filter(pa.array(use))
+
+    def united(group: pa.Table) -> pa.Table:
+        """Links that unite components; a pair whose components are already one is left out."""
+        up: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
+
+        k, root = group.column("k").to_pylist(), group.column("root").to_pylist()
+        blobs = group.column("blob").to_pylist()
+        had: dict[int, tuple] = {}
+        a, b = [], []
+        for i, js in pairing(group):
+            for j in js.tolist():
+                if find(root[i]) != find(root[j]):
+                    x, y = (had[t] if t in had else had.setdefault(t, unpack(blobs[t])) for t in (i, j))
+                    if similarity(x, y) >= like - 1e-9:
+                        up[find(root[i])] = find(root[j])
+                        a.append(k[i])
+                        b.append(k[j])
+        return table("a long, b long", a=a, b=b)
+
+    again = kept(part.groupBy("band", "lo", "hi").applyInArrow(worth, look))
+    if not again.isEmpty():
+        have = shingles(again.select("k"))
+        more = again.join(have, "k").groupBy("band", "lo", "hi").applyInArrow(united, "a long, b long")
+        links = kept(links.union(more).distinct())
+        root = components(links)
+    named = texts.select("same", "doc", "k").join(root.withColumnRenamed("node", "k"), "k", "left")
+    named = kept(named.select("same", "doc", "k", F.coalesce("root", "k").alias("root")))
     least = named.groupBy("root").agg(F.min(F.struct("doc", "k")).alias("least"))
-    named = kept(salted(named, least, ["root"], F.col("k")).select("same", "least", "n_links"))
+    named = kept(salted(named, least, ["root"], F.col("k")).select("same", "least"))
     real = lambda c: F.when(F.col(c) != int(np.iinfo(np.int64).max), F.col(c))
     return sketch.select("k", "doc", "same").join(named, "same").select(
-        real("doc").alias("doc_id"), real("least.doc").alias("class_id"), F.col("n_links").cast("long").alias("n_links"), (F.struct("doc", "k") == F.col("least")).alias("first"), "k"
+        real("doc").alias("doc_id"), real("least.doc").alias("class_id"), (F.struct("doc", "k") == F.col("least")).alias("first"), "k"
     )
