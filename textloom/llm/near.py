@@ -39,10 +39,11 @@ def _gamma_tables() -> tuple[np.ndarray, np.ndarray]:
         mid = (lo + hi) / 2
         under = 1 - np.exp(-mid) * (1 + mid) < u
         lo, hi = np.where(under, mid, lo), np.where(under, hi, mid)
-    return lo, np.log(lo)
+    return lo.astype(np.float32), np.log(lo).astype(np.float32)
 
 
 GAMMA, LOG_GAMMA = _gamma_tables()
+_DRAWS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64)) | U64(1)
 
 
 def _df_words(b: Batch) -> tuple[np.ndarray, np.ndarray]:
@@ -56,12 +57,34 @@ def _df_words(b: Batch) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate([*got, np.zeros(0, U64)]), return_counts=True)
 
 
-def _shingles(b: Batch, right: dict, docs: float, nb: int):
-    """For each part: its first text, and text, hash and weight of each text's distinct shingles, in this order."""
-    words = _df_words(b)[0]
-    idf = np.log((1 + docs) / (1 + totals(words, nb, right))) + 1
+def _words(b: Batch) -> np.ndarray:
+    """The batch's distinct words alone."""
+    got = []
     for lo, hi in chunks(b.texts):
         u = Units(b.texts[lo:hi], True)
+        got.append(np.unique(Prefix(u.buf).of(u.s, u.e)))
+    return np.unique(np.concatenate([*got, np.zeros(0, U64)]))
+
+
+def _ordered(text: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The order by text and hash, by one sort of both in a word; only where that can't tell two apart, by two sorts."""
+    bits = U64(int(text.max(initial=0)).bit_length())
+    key = (text.astype(U64) << (U64(63) - bits)) | (h >> (bits + U64(1)))
+    order = np.argsort(key)
+    key, h = key[order], h[order]
+    return np.lexsort((h[np.argsort(order)], text)) if ((np.diff(key) == 0) & (np.diff(h) != 0)).any() else order
+
+
+def _shingles(b: Batch, right: dict, docs: float, nb: int, want: np.ndarray | None = None):
+    """For each part: numbers of its texts, then text, hash and weight of each text's distinct shingles, in this order.
+
+    want: numbers of the only texts asked for."""
+    words = _words(b)
+    idf = np.log((1 + docs) / (1 + totals(words, nb, right))) + 1
+    want = np.arange(len(b.texts)) if want is None else want
+    texts = [b.texts[i] for i in want.tolist()]
+    for lo, hi in chunks(texts):
+        u = Units(texts[lo:hi], True)
         p = Prefix(u.buf)
         w = idf[np.searchsorted(words, p.of(u.s, u.e))]
         n = np.diff(u.first)
@@ -72,29 +95,40 @@ def _shingles(b: Batch, right: dict, docs: float, nb: int):
         end = at + size[text]
         total = np.concatenate([[0], np.cumsum(w)])
         h, w = p.of(u.s[at], u.e[end - 1]), (total[end] - total[at]) / size[text]
-        order = np.lexsort((h, text))
+        order = _ordered(text, h)
         text, h, w = text[order], h[order], w[order]
         new = np.flatnonzero(np.concatenate([[True], (np.diff(text) != 0) | (np.diff(h) != 0)])[: len(h)])
         tf = np.diff(np.concatenate([new, [len(h)]]))
-        yield lo, hi, text[new], h[new], np.float32(tf * w[new].round(4))
+        yield want[lo:hi], text[new], h[new], np.float32(tf * w[new].round(4))
 
 
 def _samples(text: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
-    """(n, BANDS * ROWS) samples: improved consistent weighted sampling keeps the shingle and its level of least rank."""
+    """(n, BANDS * ROWS) samples: improved consistent weighted sampling keeps the shingle and its level of least rank.
+
+    The three random numbers of a shingle and a draw are 16 bits each of the product of its hash and the draw's number."""
     out = np.zeros((n, BANDS * ROWS), U64)
     have, first = np.unique(text, return_index=True)
     if not len(have):
         return out
     size = np.diff(np.concatenate([first, [len(h)]]))
-    lw = np.log(w.astype(np.float64))
-    for k in range(BANDS * ROWS):
-        x = mix(h + U64((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        r = GAMMA[(x & U64(0xFFFF)).astype(np.int64)]
-        beta = (x >> U64(32)).astype(np.float64) * 2.0**-32
-        t = np.floor(lw / r + beta)
-        rank = LOG_GAMMA[((x >> U64(16)) & U64(0xFFFF)).astype(np.int64)] - r * (t - beta) - r
-        hit = np.flatnonzero(rank == np.repeat(np.minimum.reduceat(rank, first), size))
-        hit = hit[np.unique(text[hit], return_index=True)[1]]
+    lw = np.log(w.astype(np.float64)).astype(np.float32)
+    own = np.repeat(np.arange(len(have)), size)
+    for k, draw in enumerate(_DRAWS):
+        x = h * draw
+        r = GAMMA.take((x >> U64(48)).view(np.int64), mode="clip")
+        low = (x >> U64(16)).astype(np.uint32)
+        rank = LOG_GAMMA.take((low >> np.uint32(16)).astype(np.int64), mode="clip")
+        beta = (low & np.uint32(0xFFFF)).astype(np.float32) * np.float32(2.0**-16)
+        t = lw / r
+        t += beta
+        np.floor(t, out=t)
+        beta -= t
+        beta -= np.float32(1)
+        beta *= r
+        rank += beta
+        hit = np.flatnonzero(rank == np.minimum.reduceat(rank, first)[own])
+        _, once = np.unique(own[hit], return_index=True)
+        hit = hit[once]
         out[have, k] = mix(h[hit] + t[hit].astype(np.int64).astype(U64))
     return out
 
@@ -131,16 +165,16 @@ def near_duplicates(docs: DataFrame, like: float = LIKE) -> DataFrame:
     def sketched(left: pa.Table, right: pa.Table) -> pa.Table:
         b = Batch(left)
         bands, samples = [], []
-        for lo, hi, text, h, w in _shingles(b, right, many, nb):
-            s = _samples(text, h, w, hi - lo)
-            got = np.zeros((hi - lo, BANDS), U64)
+        for own, text, h, w in _shingles(b, right, many, nb):
+            s = _samples(text, h, w, len(own))
+            got = np.zeros((len(own), BANDS), U64)
             for i in range(BANDS):
-                x = np.full(hi - lo, i, U64)
+                x = np.full(len(own), i, U64)
                 for j in range(ROWS):
                     x = mix(x * U64(31) + s[:, i * ROWS + j])
                 got[:, i] = x
             samples += [x.tobytes() for x in (s >> U64(32)).astype(np.uint32)]
-            some = np.zeros(hi - lo, bool)
+            some = np.zeros(len(own), bool)
             some[text] = True
             bands += [x if y else [] for x, y in zip(got.view(np.int64).tolist(), some.tolist(), strict=True)]
         t = table("k long, doc long, same binary", k=b.k, doc=b.doc, same=[hashlib.sha256(x).digest()[:16] for x in b.texts])
@@ -158,18 +192,17 @@ def near_duplicates(docs: DataFrame, like: float = LIKE) -> DataFrame:
     pairs = kept(salted(rows, led, ["band"], F.col("k")).where("k != lead").select(F.col("lead").alias("a"), F.col("k").alias("b")).distinct())
 
     def features(left: pa.Table, right: pa.Table) -> pa.Table:
-        want = {k for ks in right.column("ks").to_pylist() if ks for k in ks}
-        if not want or not left.num_rows:
+        asked = {k for ks in right.column("ks").to_pylist() if ks for k in ks}
+        if not asked or not left.num_rows:
             return table("k long, blob binary", k=[], blob=[])
         b, right = Batch(left), right.filter(pa.compute.is_valid(right.column("blob")))
+        first = {k: i for i, k in reversed(list(enumerate(b.k.tolist()))) if k in asked}
         ks, blobs = [], []
-        for lo, hi, text, h, w in _shingles(b, right, many, nb):
-            cut = np.searchsorted(text, np.arange(hi - lo + 1))
-            for i, k in enumerate(b.k[lo:hi].tolist()):
-                if k in want:
-                    want.discard(k)
-                    ks.append(k)
-                    blobs.append(pack((h[cut[i] : cut[i + 1]], w[cut[i] : cut[i + 1]])))
+        for own, text, h, w in _shingles(b, right, many, nb, np.array(sorted(first.values()), np.int64)):
+            cut = np.searchsorted(text, np.arange(len(own) + 1))
+            for i, k in enumerate(b.k[own].tolist()):
+                ks.append(k)
+                blobs.append(pack((h[cut[i] : cut[i + 1]], w[cut[i] : cut[i + 1]])))
         return table("k long, blob binary", k=ks, blob=blobs)
 
     def shingles(asked: DataFrame) -> DataFrame:

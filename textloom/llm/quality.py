@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Prefix, binary, chunks, joined, mix, words
+from .common import U64, Prefix, binary, chunks, joined, mix, pack, unpack, words
 from .contamination import _WORD, FOLD
 
 LABELLED, UNLABELLED = 8000, 3000
 ROUNDS, SURE = 4, 0.97
-STYLE = 16
+STYLE, META = 16, 96
 _KINDS = np.zeros((5, 256), bool)
 _KINDS[0, 0x41:0x5B] = True  # capitals
 _KINDS[1, 0x30:0x3A] = True  # digits
@@ -76,7 +76,7 @@ def metadata(lang: list, source: list, n_chars: list) -> np.ndarray:
     """Language and source by hash, and the stated length in steps of two."""
     import zlib
 
-    out = np.zeros((len(lang), 8 + 64 + 24))
+    out = np.zeros((len(lang), META))
     for i, (a, b, c) in enumerate(zip(lang, source, n_chars, strict=True)):
         out[i, zlib.crc32(repr(a).encode()) % 8] = 1
         out[i, 8 + zlib.crc32(repr(b).encode()) % 64] = 1
@@ -169,7 +169,7 @@ def co_train(form, sets, meta, quality, toxic, free_form, free_sets, free_meta)
         m.mean, m.scale = np.zeros(STYLE), np.ones(STYLE)
         none = np.zeros(0, U64), np.zeros(0)
         m.words = [none, none]
-        m.text, m.meta, m.both = np.zeros(2 * STYLE + 7), np.zeros(97), np.array([0, 0, 2.0])
+        m.text, m.meta, m.both = np.zeros(2 * STYLE + 7), np.zeros(META + 1), np.array([0, 0, 2.0])
         return m
     test = np.arange(len(good)) % 5 == 4  # the sample is in hash order
     fit = ~test
@@ -198,7 +198,7 @@ def co_train(form, sets, meta, quality, toxic, free_form, free_sets, free_meta)
     return m
 
 
-_FEATURES = "doc_id long, quality int, toxic int, form array<double>, words binary, meta array<double>"
+_FEATURES = "doc_id long, quality int, toxic int, form binary, words binary, meta binary"
 
 
 def _columns(docs: DataFrame) -> list:
@@ -219,17 +219,26 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled
             form, sets = style(binary(rb.column("text")))
             meta = metadata(*(rb.column(c).to_pylist() for c in ("lang", "source", "n_chars")))
             yield pa.RecordBatch.from_arrays(
-                [rb.column("doc_id"), rb.column("quality"), rb.column("toxic"), pa.array(list(form), pa.list_(pa.float64())), pa.array([np.unique(s).tobytes() for s in sets], pa.binary()), pa.array(list(meta), pa.list_(pa.float64()))],
+                [rb.column("doc_id"), rb.column("quality"), rb.column("toxic"), pa.array([x.tobytes() for x in form], pa.binary()), pa.array([np.unique(s).tobytes() for s in sets], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary())],
                 ["doc_id", "quality", "toxic", "form", "words", "meta"],
             )
 
-    rows = source.mapInArrow(f, _FEATURES).collect()  # bounded by the sample
-    rows.sort(key=lambda r: (hash((r.doc_id * 0x9E3779B97F4A7C15) & 0xFFFFFFFF), r.words))
-    seen: set[bytes] = set()
-    rows = [r for r in rows if not (r.words in seen or seen.add(r.words))]  # copies would vouch for each other
-    split = lambda rs: (np.array([r.form for r in rs]).reshape(-1, STYLE), [np.frombuffer(r.words, U64) for r in rs], np.array([r.meta for r in rs]).reshape(-1, 96))
-    yes, no = [r for r in rows if r.quality is not None], [r for r in rows if r.quality is None]
-    return co_train(*split(yes), np.array([r.quality for r in yes]), np.array([r.toxic for r in yes]), *split(no))
+    def learn(group: pa.Table) -> pa.Table:
+        ids, bags = group.column("doc_id").to_pylist(), group.column("words").to_pylist()
+        key = sorted(range(group.num_rows), key=lambda i: (ids[i] * 0x9E3779B97F4A7C15 & 0xFFFFFFFF, bags[i]))
+        seen: set[bytes] = set()
+        key = [i for i in key if not (bags[i] in seen or seen.add(bags[i]))]  # copies would vouch for each other
+        flat = lambda c: np.frombuffer(b"".join(group.column(c).to_pylist()), np.float64).reshape(group.num_rows, -1)
+        form, meta = flat("form"), flat("meta")
+        quality, toxic = group.column("quality").to_pylist(), group.column("toxic").to_pylist()
+        yes, no = [i for i in key if quality[i] is not None], [i for i in key if quality[i] is None]
+        split = lambda some: (form[some], [np.frombuffer(bags[i], U64) for i in some], meta[some])
+        got = co_train(*split(yes), np.array([quality[i] for i in yes]), np.array([toxic[i] for i in yes]), *split(no))
+        return pa.table({"model": pa.array([pack(got)], pa.binary())})
+
+    # the sample is bounded, so one task on an executor fits the model and the driver gets the model alone
+    got = source.mapInArrow(f, _FEATURES).withColumn("all", F.lit(0)).groupBy("all").applyInArrow(learn, "model binary").first()
+    return unpack(got.model) if got else co_train(np.zeros((0, STYLE)), [], np.zeros((0, META)), np.zeros(0), np.zeros(0), np.zeros((0, STYLE)), [], np.zeros((0, META)))
 
 
 SCORED = "text_score double, meta_score double, score double, good boolean"
