@@ -33,8 +33,13 @@ def unpack(blob: bytes):
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the input's size: file bytes for a scan; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's estimate of the input's size: file bytes for a scan, where no job runs. Where it has none, the texts are summed."""
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if n < 1 << 60:
+        return n
+    texts = [c for c, kind in df.dtypes if kind in ("string", "binary")]
+    total = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(16)).cast("long")
+    return int(df.agg(F.sum(total)).first()[0] or 0) // 2  # files are packed
 
 
 def parts(df: DataFrame, each: int, least: int = 24, most: int = 200_000) -> int:
@@ -96,7 +101,7 @@ def batched(docs: DataFrame, *more: Column, each: int = 4_000_000) -> tuple[Data
         if sum(len(x) for x in held):
             yield from flush()
 
-    return got.mapInArrow(packed, "batch int, blob binary").repartition("batch"), n
+    return got.mapInArrow(packed, "batch int, blob binary").repartition(n, "batch"), n
 
 
 # ---------------------------------------------------------------- bytes, words, hashes
@@ -179,6 +184,12 @@ def chunks(texts: list[bytes], most: int = 1_000_000) -> Iterator[tuple[int, int
         yield lo, len(texts)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values, sorted."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])[: len(x)]]
+
+
 def binary(column) -> list[bytes]:
     if isinstance(column, pa.ChunkedArray):
         return [x for c in column.chunks for x in binary(c)]
@@ -269,3 +280,16 @@ def kept(df: DataFrame, eager: bool = True) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """kept() of rows that are dealt by a key, so that Spark goes on knowing how: later steps by that key don't shuffle them.
+
+    An adaptive plan forgets its partitioning at a checkpoint; a fixed one doesn't."""
+    conf, key = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    was = conf.get(key)
+    conf.set(key, "false")
+    try:
+        return kept(df)
+    finally:
+        conf.set(key, was)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SENT, U64, Batch, Prefix, batched, chunks, counted, joined, kept, mix, parts, release, send, table, totals, unpack, words
+from .common import SENT, U64, Batch, Prefix, batched, chunks, counted, joined, kept, mix, parts, release, send, settled, table, totals, unpack, words
 
 END, START = U64(0x1234567887654320), U64(0x0FEDCBA987654322)  #: keys of the end token and of the context before the first word
 STEP = 8  #: bins in a factor of two, for the EM's table of estimates
@@ -90,6 +90,8 @@ def score(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
     from, N and V are 0: every token has base probability 1 and score 0."""
     role = (F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(fold)) == held).alias("held")
     d, n = batched(docs, role)
+    d = settled(d)  # three steps read the batches
+    release(d)
     nb = parts(docs, 3_000_000, 48)
 
     def tell(group: pa.Table) -> pa.Table:

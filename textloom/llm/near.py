@@ -22,7 +22,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SENT, U64, Batch, Prefix, batched, chunks, counted, kept, mix, pack, parts, release, send, table, totals, unpack
+from .common import SENT, U64, Batch, Prefix, batched, chunks, counted, distinct, kept, mix, pack, parts, release, send, settled, table, totals, unpack
 from .earlier import Units
 from .graph import components, salted
 
@@ -52,8 +52,10 @@ def _df_words(b: Batch) -> tuple[np.ndarray, np.ndarray]:
     for lo, hi in chunks(b.texts):
         u = Units(b.texts[lo:hi], True)
         key = Prefix(u.buf).of(u.s, u.e)
-        pair = np.unique(mix(key + u.text.astype(U64)), return_index=True)[1]
-        got.append(key[pair])
+        pair = mix(key + u.text.astype(U64))
+        order = np.argsort(pair)
+        pair = pair[order]
+        got.append(key[order[np.concatenate([[True], pair[1:] != pair[:-1]])[: len(key)]]])
     return np.unique(np.concatenate([*got, np.zeros(0, U64)]), return_counts=True)
 
 
@@ -62,8 +64,8 @@ def _words(b: Batch) -> np.ndarray:
     got = []
     for lo, hi in chunks(b.texts):
         u = Units(b.texts[lo:hi], True)
-        got.append(np.unique(Prefix(u.buf).of(u.s, u.e)))
-    return np.unique(np.concatenate([*got, np.zeros(0, U64)]))
+        got.append(distinct(Prefix(u.buf).of(u.s, u.e)))
+    return distinct(np.concatenate([*got, np.zeros(0, U64)]))
 
 
 def _ordered(text: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -86,7 +88,8 @@ def _shingles(b: Batch, right: dict, docs: float, nb: int, want: np.ndarray | No
     for lo, hi in chunks(texts):
         u = Units(texts[lo:hi], True)
         p = Prefix(u.buf)
-        w = idf[np.searchsorted(words, p.of(u.s, u.e))]
+        own, inv = np.unique(p.of(u.s, u.e), return_inverse=True)
+        w = idf[np.searchsorted(words, own)][inv]
         n = np.diff(u.first)
         size = np.minimum(n, WORDS)
         count = np.where(n > 0, n - size + 1, 0)
@@ -152,6 +155,8 @@ def near_duplicates(docs: DataFrame, like: float = LIKE) -> DataFrame:
     Null texts are empty; texts without words match only equal texts. Equal rows share everything but are one document,
     so each of them is `first` where one is. A null doc_id comes after all others."""
     d, n = batched(docs)
+    d = settled(d)  # several steps read the batches
+    release(d)
     nb = parts(docs, 3_000_000, 48)
     many = docs.count()
 
