@@ -1,13 +1,469 @@
-"""The library's own queries and the SQL that checks them."""
+"""The library's own queries over the given tables, and DuckDB SQL for those that SQL can express."""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from collections.abc import Callable
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def queries():
-    return {}
+from .functions import pieces as P
+from .functions import ragged as R
+from .functions import text as X
+from .functions import unicode as U
+from .operators import kernels as K
+from .operators import models as M
+from .operators import vocab as V
+from .plans.pipeline import Pipeline
+from .plans.stages import Stage
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
 
-def oracle_sql():
-    return {}
+# A small vocabulary of sub-words and merges for the model queries.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+WHOLE = ["the", "of", "and", "in", "to", "re", "con", "pro", "un", "de", "an", "st", "th", "wh", "sh", "en", "per", "com"]
+PARTS = ["ing", "tion", "ed", "er", "es", "ly", "al", "ent", "ment", "or", "ar", "le", "te", "ion", "an", "en", "st", "ti", "ra"]
+MERGES = [("t", "h"), ("th", "e"), ("i", "n"), ("in", "g"), ("e", "r"), ("a", "n"), ("an", "d"), ("o", "n"), ("r", "e"), ("e", "s"), ("o", "u"), ("e", "n"), ("a", "t"), ("at", "i"), ("ati", "on"), ("s", "t"), ("o", "r")]
+UNK = 0
+WORDPIECES = {t: i for i, t in enumerate(["[UNK]", *LETTERS.replace("q", ""), *WHOLE, *("##" + c for c in LETTERS.replace("z", "")), *("##" + p for p in PARTS)])}
+BPE_VOCAB = {t: i for i, t in enumerate([*LETTERS, *(a + b for a, b in MERGES)])}
+TRIE_VOCAB = {t: i for i, t in enumerate(["", *LETTERS.replace("x", ""), *WHOLE, *PARTS]) if t}
+UNIGRAMS = [("<unk>", 0.0), *((c, -6.0 - i / 16) for i, c in enumerate(LETTERS)), *((t, -2.0 - i / 8) for i, t in enumerate(dict.fromkeys([*WHOLE, *PARTS])))]
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def low(c: str = "text") -> Column:
+    return X.ascii_case(c)
+
+
+def words(c: str = "text", pattern: str = "[a-z]+") -> Column:
+    return P.split_strings(low(c), pattern, "remove", invert=True)
+
+
+LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+DOC_WORDS = f"(select doc_id, (i - 1)::bigint as pos, w[i] as token from (select doc_id, regexp_extract_all({LOW}, '[a-z]+') as w from documents), unnest(range(1, len(w) + 1)) as t(i))"
+IDS = "list_transform(string_split(text, ' '), lambda x: length(x)::int)"
+
+
+def _ids(c: str = "text") -> Column:
+    """Numbers to work on: the lengths of a text's words."""
+    return F.transform(F.split(F.col(c), " ", -1), lambda x: F.length(x))
+
+
+def _doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(words()).alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
+
+
+# ---------------------------------------------------------------- texts
+
+
+@query(f"select conv_id, turn, regexp_replace(text, '[0-9]+', '#', 'g') as every_one, regexp_replace(text, '[aeiou]', '*') as first_one from conversations")
+def q_regex_normalize(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", X.regex_normalize("text", "[0-9]+", "#").alias("every_one"), X.regex_normalize("text", "[aeiou]", "*", everywhere=False).alias("first_one"))
+
+
+@query(f"select doc_id, {LOW} as lower_text, translate(lang, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') as upper_lang from documents")
+def q_case_fold_ascii(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", low().alias("lower_text"), X.ascii_case("lang", lower=False).alias("upper_lang"))
+
+
+@query()
+def q_case_fold_unicode(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", U.fold_case(F.col("text")).alias("folded"))
+
+
+@query("select doc_id, nfc_normalize(text) as nfc from documents")
+def q_normalize_nfc(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", U.normalize_unicode(F.col("text"), "NFC").alias("nfc"))
+
+
+@query("select doc_id, strip_accents(text) as plain from documents")
+def q_strip_accents(spark, sf_dir):
+    decomposed = U.normalize_unicode(F.col("text"), "NFD")
+    return read(spark, sf_dir, "documents").select("doc_id", decomposed.alias("d")).select("doc_id", X.strip_accents("d").alias("plain"))
+
+
+@query()
+def q_normalize_forms(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", *[U.normalize_unicode(F.col("text"), f).alias(f.lower()) for f in ("NFD", "NFKC", "NFKD")])
+
+
+@query("select doc_id, '▁' || array_to_string(list_filter(string_split(text, ' '), lambda x: x <> ''), '▁') as mapped from documents")
+def q_charsmap(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", U.charsmap(F.col("text"), dummy_prefix=True, escape=True).alias("mapped"))
+
+
+@query("select doc_id, text as fixed, text as kept from documents")
+def q_utf8_validate(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", X.valid_utf8("text").alias("fixed"), X.valid_utf8("text", replace=False).alias("kept"))
+
+
+@query("select doc_id, text as back, octet_length(encode(text))::bigint as n from documents")
+def q_byte_level_roundtrip(spark, sf_dir):
+    x = read(spark, sf_dir, "documents").select("doc_id", U.bytes_to_chars(F.col("text")).alias("c"))
+    return x.select("doc_id", F.decode(U.chars_to_bytes(F.col("c")), "UTF-8").alias("back"), F.length("c").cast("long").alias("n"))
+
+
+@query("select o_orderkey, (o_orderpriority = '1-URGENT')::int as urgent, (o_orderpriority = o_orderstatus)::int as same from orders")
+def q_equal_str(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select("o_orderkey", X.equal_text("o_orderpriority", F.lit("1-URGENT")).alias("urgent"), X.equal_text("o_orderpriority", "o_orderstatus").alias("same"))
+
+
+@query("select l_orderkey, l_linenumber, l_partkey::varchar as whole, printf('%g', l_extendedprice) as price, printf('%g', l_discount) as discount, (l_tax > 0.04)::varchar as flag from lineitem")
+def q_numeric_to_string(spark, sf_dir):
+    x = read(spark, sf_dir, "lineitem")
+    return x.select("l_orderkey", "l_linenumber", X.number_text(F.col("l_partkey"), "bigint").alias("whole"), X.number_text(F.col("l_extendedprice"), "double").alias("price"), X.number_text(F.col("l_discount"), "double").alias("discount"), X.number_text(F.col("l_tax") > 0.04, "boolean").alias("flag"))
+
+
+@query()
+def q_hash_bucket(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", U.hash_bucket(F.col("p_type"), 1000).alias("bucket"), U.hash_bucket(F.col("p_name"), 1 << 20).alias("name_bucket"))
+
+
+@query("select conv_id, turn, regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\\b(?:the|and|of)\\b\\s*', '', 'g') as kept from conversations")
+def q_string_normalizer(spark, sf_dir):
+    x = read(spark, sf_dir, "conversations")
+    return x.select("conv_id", "turn", X.stop_words("text", ["the", "and", "of"], action="lower").alias("kept"))
+
+
+@query("select p_partkey, (i - 1)::bigint as pos, v[i] as value from (select p_partkey, string_split(p_type, ' ') as v from part), unnest(range(1, len(v) + 1)) as t(i) where v[i] <> ''")
+def q_string_split(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", F.explode(X.split_text("p_type", " ", skip_empty=True)).alias("s")).select("p_partkey", "s.pos", "s.value")
+
+
+@query("select p_partkey, array_to_string(string_split(p_type, ' '), '-') as joined, concat_ws('/', p_name, p_brand, p_type) as along from part")
+def q_string_join(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", X.join_text(F.split("p_type", " "), "-").alias("joined"), X.join_text(F.array("p_name", "p_brand", "p_type"), "/").alias("along"))
+
+
+@query("select o_custkey, string_agg(o_orderkey::varchar, ',' order by o_orderkey) as joined from orders group by 1")
+def q_string_join_rows(spark, sf_dir):
+    x = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
+    return x.select("o_custkey", X.join_text(F.transform("keys", lambda k: k.cast("string")), ",").alias("joined"))
+
+
+@query("select c_custkey, (i - 1)::bigint as pos, coalesce(t[i], '#') as token from (select c_custkey, list_filter(regexp_extract_all(c_name || ' ' || c_mktsegment, '[A-Za-z]+|[0-9]+'), lambda x: length(x) >= 9) as t, (select max(len(list_filter(regexp_extract_all(c_name || ' ' || c_mktsegment, '[A-Za-z]+|[0-9]+'), lambda x: length(x) >= 9))) from customer) as n from customer), unnest(range(1, n + 1)) as u(i)")
+def q_tokenizer_min_chars(spark, sf_dir):
+    x = read(spark, sf_dir, "customer").select("c_custkey", X.matches(F.concat_ws(" ", "c_name", "c_mktsegment"), "[A-Za-z]+|[0-9]+", 9).alias("t"))
+    x = R.longest(x, "t")
+    return x.select("c_custkey", F.posexplode(R.pad(F.col("t"), F.col("width"), "#")).alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("select doc_id, octet_length(encode(coalesce(text, '')))::bigint as n, (sum(octet_length(encode(coalesce(text, '')))) over (order by doc_id) - octet_length(encode(coalesce(text, ''))))::bigint as begin_at from documents")
+def q_byte_offsets(spark, sf_dir):
+    x = read(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
+    return R.row_offsets(x, "doc_id", F.col("n")).select("doc_id", (F.col("end") - F.col("begin")).alias("n"), F.col("begin").alias("begin_at"))
+
+
+# ---------------------------------------------------------------- splits
+
+def _split_sql(table: str, key: str, column: str, pattern: str) -> str:
+    return f"select {key}, (i - 1)::bigint as pos, p[i] as piece from (select {key}, regexp_extract_all({column}, '{pattern}') as p from {table}), unnest(range(1, len(p) + 1)) as t(i)"
+
+
+def _split(spark, sf_dir, table: str, key: str, column: str, *how, **more) -> DataFrame:
+    x = read(spark, sf_dir, table).select(key, P.regex_split(P.as_pieces(column), *how, **more).alias("p"))
+    return x.select(key, F.posexplode(P.values(F.col("p"))).alias("pos", "piece")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(_split_sql("documents", "doc_id", "text", "[^ ]+"))
+def q_split_remove(spark, sf_dir):
+    return _split(spark, sf_dir, "documents", "doc_id", "text", " +", "remove")
+
+
+@query(_split_sql("documents", "doc_id", "text", "\\p{L}+"))
+def q_split_keep_matches(spark, sf_dir):
+    return _split(spark, sf_dir, "documents", "doc_id", "text", r"\p{L}+", "remove", invert=True)
+
+
+@query(_split_sql("documents", "doc_id", "text", "[.,;]|[^.,;]+"))
+def q_split_isolate(spark, sf_dir):
+    return _split(spark, sf_dir, "documents", "doc_id", "text", "[.,;]", "isolate")
+
+
+@query(_split_sql("documents", "doc_id", "text", "[0-9]+|[^0-9]+"))
+def q_split_contiguous(spark, sf_dir):
+    return _split(spark, sf_dir, "documents", "doc_id", "text", "[0-9]", "contiguous")
+
+
+@query(_split_sql("pages", "page_id", "url", "/[^/]*|[^/]+"))
+def q_split_merged_next(spark, sf_dir):
+    return _split(spark, sf_dir, "pages", "page_id", "url", "/", "mergedwithnext")
+
+
+@query(_split_sql("pages", "page_id", "url", "[^/]*/|[^/]+"))
+def q_split_merged_previous(spark, sf_dir):
+    return _split(spark, sf_dir, "pages", "page_id", "url", "/", "mergedwithprevious")
+
+
+@query("select page_id, (i - 1)::bigint as pos, case when i < 3 then p[i] else array_to_string(p[3:], '') end as piece from (select page_id, regexp_extract_all(url, '/|[^/]+') as p from pages), unnest(range(1, least(len(p), 3) + 1)) as t(i)")
+def q_split_limited(spark, sf_dir):
+    return _split(spark, sf_dir, "pages", "page_id", "url", "/", "isolate", most=3)
+
+
+@query()
+def q_split_byte_level(spark, sf_dir):
+    x = read(spark, sf_dir, "documents").select("doc_id", P.byte_level_split(P.as_pieces("text")).alias("p"))
+    return x.select("doc_id", F.posexplode(P.values(F.col("p"))).alias("pos", "piece"))
+
+
+@query("select conv_id, turn, (i - 1)::bigint as pos, p[i] as piece, p[i] in ('<|user|>', '<|assistant|>', '<|end|>') as skip from (select conv_id, turn, regexp_extract_all('<|' || case when role = 'user' then 'user' else 'assistant' end || '|>' || replace(text, '<', '') || '<|end|>', '<\\|(?:user|assistant|end)\\|>|[^<]+') as p from conversations), unnest(range(1, len(p) + 1)) as t(i)")
+def q_special_tokens(spark, sf_dir):
+    tokens = [P.SpecialToken(t) for t in ("<|user|>", "<|assistant|>", "<|end|>")]
+    role = F.when(F.col("role") == "user", "user").otherwise("assistant")
+    x = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("<|"), role, F.lit("|>"), F.replace("text", F.lit("<"), F.lit("")), F.lit("<|end|>")).alias("t"))
+    x = x.select("conv_id", "turn", F.posexplode(P.special_split(P.as_pieces("t"), tokens)).alias("pos", "p"))
+    return x.select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), "p.piece", "p.skip")
+
+
+@query(f"select doc_id, array_to_string(regexp_extract_all({LOW}, '[a-z]+'), '') as fused from documents")
+def q_fuse(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", P.fuse(P.regex_split(P.as_pieces(low()), "[a-z]+", "remove", invert=True)).alias("fused"))
+
+
+# ---------------------------------------------------------------- ragged batches
+
+
+@query(f"select conv_id, turn, len(x[1:8])::bigint as n_right, list_sum(x[1:8])::bigint as right_sum, list_sum(x[greatest(len(x) - 7, 1):])::bigint as left_sum from (select conv_id, turn, {IDS} as x from conversations)")
+def q_truncate(spark, sf_dir):
+    x = read(spark, sf_dir, "conversations").select("conv_id", "turn", _ids().alias("x"))
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, v: s + v)
+    r, left = R.truncate(F.col("x"), 8), R.truncate(F.col("x"), 8, "left")
+    return x.select("conv_id", "turn", F.size(r).cast("long").alias("n_right"), total(r).alias("right_sum"), total(left).alias("left_sum"))
+
+
+PAIRS = f"(select a.conv_id, a.turn, a.x, b.x as y from (select conv_id, turn, {IDS} as x from conversations) a join (select conv_id, turn, {IDS} as x from conversations) b on a.conv_id = b.conv_id and b.turn = a.turn + 1)"
+CUT = """(select *, case when la + lb <= 21 then la when la >= 11 and lb <= 10 then 21 - lb when la < 11 and lb > 10 then la else 10 + (la >= lb)::int end as na,
+ case when la + lb <= 21 then lb when la >= 11 and lb <= 10 then lb when la < 11 and lb > 10 then 21 - la else 10 + (la < lb)::int end as nb from (select *, len(x) as la, len(y) as lb from """
+
+
+def _pairs(spark, sf_dir) -> DataFrame:
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", _ids().alias("x"))
+    return c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("x").alias("y")), ["conv_id", "turn"])
+
+
+@query(f"select conv_id, turn, na::bigint as na, nb::bigint as nb, array_to_string(x[1:na], ',') as a, array_to_string(y[1:nb], ',') as b from {CUT}{PAIRS}))")
+def q_truncate_pair(spark, sf_dir):
+    a, b = R.truncate_pair(F.col("x"), F.col("y"), 21)
+    x = _pairs(spark, sf_dir).select("conv_id", "turn", a.alias("a"), b.alias("b"))
+    return x.select("conv_id", "turn", F.size("a").cast("long").alias("na"), F.size("b").cast("long").alias("nb"), F.array_join(F.col("a").cast("array<string>"), ",").alias("a"), F.array_join(F.col("b").cast("array<string>"), ",").alias("b"))
+
+
+@query(f"select conv_id, turn, array_to_string(list_concat([101], x, [102], y, [102]), ',') as ids, repeat('0', (len(x) + 2)::bigint) || repeat('1', (len(y) + 1)::bigint) as kinds from {PAIRS}")
+def q_combine_segments(spark, sf_dir):
+    ids, kinds = R.combine([[101], F.col("x"), [102], F.col("y"), [102]], [0, 0, 0, 1, 1])
+    return _pairs(spark, sf_dir).select("conv_id", "turn", F.array_join(ids.cast("array<string>"), ",").alias("ids"), F.array_join(kinds.cast("array<string>"), "").alias("kinds"))
+
+
+@query(f"select conv_id, turn, (i - 1)::bigint as pos, coalesce(x[i], -1)::int as id, (i <= len(x))::int as mask, case when i > 12 - len(x) then x[i - greatest(12 - len(x), 0)] else -1 end::int as left_id from (select conv_id, turn, {IDS} as x from conversations), unnest(range(1, 13)) as t(i)")
+def q_pad_mask(spark, sf_dir):
+    x = read(spark, sf_dir, "conversations").select("conv_id", "turn", _ids().alias("x"))
+    three = F.arrays_zip(R.pad(F.col("x"), 12, -1).alias("id"), R.mask(F.col("x"), 12).alias("mask"), R.pad(F.col("x"), 12, -1, "left").alias("left_id"))
+    return x.select("conv_id", "turn", F.posexplode(three).alias("pos", "s")).select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), "s.id", "s.mask", "s.left_id")
+
+
+@query(f"select conv_id, turn, (i - 1)::bigint as pos, coalesce(x[i], 0)::int as id from (select conv_id, turn, x, max(len(x)) over (partition by conv_id) as n from (select conv_id, turn, {IDS} as x from conversations)), unnest(range(1, n + 1)) as t(i)")
+def q_pad_to_longest(spark, sf_dir):
+    x = R.longest(read(spark, sf_dir, "conversations").select("conv_id", "turn", _ids().alias("x")), "x", "conv_id")
+    return x.select("conv_id", "turn", F.posexplode(R.pad(F.col("x"), F.col("width"), 0)).alias("pos", "id")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"select doc_id, (i - 1)::bigint as pos, x[i] as value from (select doc_id, {IDS} as x from documents), unnest(range(1, len(x) + 1)) as t(i)")
+def q_ragged_to_sparse(spark, sf_dir):
+    return R.to_sparse(read(spark, sf_dir, "documents").select("doc_id", _ids().alias("x")), "doc_id", "x")
+
+
+@query(f"select count(*)::bigint as rows, max(len({IDS}))::bigint as cols from documents")
+def q_dense_shape(spark, sf_dir):
+    return R.dense_shape(read(spark, sf_dir, "documents").select(_ids().alias("x")), "x")
+
+
+@query("select c_custkey, coalesce(n, 0)::bigint as n, (sum(coalesce(n, 0)) over (order by c_custkey))::bigint as end_at from customer left join (select o_custkey, count(*) as n from orders group by 1) on o_custkey = c_custkey")
+def q_row_splits(spark, sf_dir):
+    n = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    x = read(spark, sf_dir, "customer").join(n, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"))
+    return R.row_offsets(x, "c_custkey", F.col("n")).select("c_custkey", (F.col("end") - F.col("begin")).alias("n"), F.col("end").alias("end_at"))
+
+
+@query("with n as (select r, count(o_custkey)::bigint as n from range(100) t(r) left join orders on o_custkey = r group by r) select r as row_id, (sum(n) over (order by r) - n)::bigint as \"begin\", (sum(n) over (order by r))::bigint as \"end\" from n")
+def q_row_ids(spark, sf_dir):
+    return R.from_row_ids(spark, read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("row_id")), "row_id", 100)
+
+
+@query("select o_custkey, array_to_string(list(o_orderkey order by o_orderkey)[1:4], ',') as firsts from orders group by 1")
+def q_ragged_to_tensor(spark, sf_dir):
+    x = R.from_sparse(read(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("pos"), F.col("o_orderkey").alias("value")), "o_custkey", "pos", "value")
+    dense = R.to_tensor(F.col("values"), 4, F.lit(-1).cast("long"))
+    return x.select("o_custkey", F.array_join(F.filter(dense, lambda v: v != -1).cast("array<string>"), ",").alias("firsts"))
+
+
+@query(f"select conv_id, turn, array_to_string(list_reverse(list_concat([7, 8], {IDS})), ',') as ids from conversations")
+def q_prefix_reverse(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.reverse(R.add_prefix(_ids(), [7, 8])).cast("array<string>"), ",").alias("ids"))
+
+
+@query("select vec_id, (list_position(embedding, list_max(embedding)) - 1)::bigint as best from embeddings")
+def q_greedy_decode(spark, sf_dir):
+    return read(spark, sf_dir, "embeddings").select("vec_id", R.greedy(F.col("embedding")).alias("best"))
+
+
+# ---------------------------------------------------------------- vocabularies
+
+VOCAB = f"(select token, (row_number() over (order by n desc, token) - 1)::int as id from (select token, count(*) as n from {DOC_WORDS} group by 1 order by n desc, token limit 2000))"
+
+
+@query(f"select doc_id, pos, w.token, coalesce(id, -1)::int as token_id from {DOC_WORDS} w left join {VOCAB} v on w.token = v.token")
+def q_vocab_encode(spark, sf_dir):
+    w = _doc_words(spark, sf_dir)
+    return V.encode(w, "token", V.from_counts(w, size=2000))
+
+
+@query("with p as (select o_orderpriority as token, (row_number() over (order by o_orderpriority) - 1)::int as id from (select distinct o_orderpriority from orders)) select conv_id, string_agg(case when turn::int = 3 then '' else coalesce(token, '') end, '|' order by turn) as tokens from conversations left join p on p.id = turn::int group by 1")
+def q_vocab_decode(spark, sf_dir):
+    names = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("token")).distinct()
+    from pyspark.sql import Window
+
+    vocab = names.select("token", (F.row_number().over(Window.orderBy("token")) - 1).alias("id"))  # five names
+    ids = R.from_sparse(read(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("turn").cast("int").alias("id")), "conv_id", "turn", "id", "ids")
+    return V.decode(ids, "conv_id", "ids", vocab, skip=[3]).select("conv_id", X.join_text("tokens", "|").alias("tokens"))
+
+
+@query("select o_orderkey, case o_orderpriority when '1-URGENT' then 10 when '2-HIGH' then 20 when '3-MEDIUM' then 30 else -1 end::bigint as label from orders")
+def q_label_encode(spark, sf_dir):
+    return V.label_encode(read(spark, sf_dir, "orders"), "o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM"], [10, 20, 30]).select("o_orderkey", "label")
+
+
+@query("select o_orderkey, coalesce(c_name, 'nobody') as found from orders left join (select c_custkey, c_name from customer where c_acctbal > 0) on o_custkey = c_custkey")
+def q_lookup_table(spark, sf_dir):
+    t = read(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("value"), F.lit(0).alias("at"))
+    return V.lookup(read(spark, sf_dir, "orders"), "o_custkey", t, "nobody").select("o_orderkey", "found")
+
+
+@query("select s_suppkey, case s_nationkey when 0 then 'zero' when 3 then 'three' when 7 then 'seven' else '<unk>' end || '+' || case s_nationkey % 4 when 0 then 'zero' when 3 then 'three' else '<unk>' end as texts from supplier")
+def q_id_to_text(spark, sf_dir):
+    x = read(spark, sf_dir, "supplier").select("s_suppkey", F.array("s_nationkey", F.col("s_nationkey") % 4).alias("ids"))
+    return V.id_to_text(x, "ids", "zero\t0\nthree\t3\nbroken line\nseven\t7", "<unk>", "s_suppkey", "texts").select("s_suppkey", X.join_text("texts", "+").alias("texts"))
+
+
+@query(f"select doc_id, id, count(*)::bigint as n from {DOC_WORDS} w join {VOCAB} v on w.token = v.token where id < 50 group by 1, 2")
+def q_term_counts(spark, sf_dir):
+    w = _doc_words(spark, sf_dir)
+    return V.term_counts(w, "doc_id", "token", V.from_counts(w, size=50))
+
+
+# ---------------------------------------------------------------- models
+
+
+def _model(spark, sf_dir, model) -> DataFrame:
+    pieces = F.transform(words(), lambda w: F.struct(w.alias("piece"), F.lit(False).alias("skip")))
+    return M.flat_ids(read(spark, sf_dir, "documents").select("doc_id", M.encode_pieces(pieces, model).alias("ids")), "doc_id", "ids")
+
+
+def _values(pairs) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in p) + ")" for p in pairs)
+
+
+def _model_sql(encoded: str) -> str:
+    """encoded: CTEs that end with `done(word, ids)`."""
+    return f"""with recursive words as (select distinct token as word from {DOC_WORDS}), {encoded},
+flat as (select doc_id, pos, i, ids[i] as token_id from {DOC_WORDS} w join done d on d.word = w.token, unnest(range(1, len(ids) + 1)) as t(i))
+select doc_id, (row_number() over (partition by doc_id order by pos, i) - 1)::bigint as pos, token_id::int as token_id from flat"""
+
+
+GREEDY = """st(word, p, ids, bad) as (select word, 1, []::int[], false from words union all
+ select s.word, s.p + coalesce(length(b.tok), 1), list_append(s.ids, coalesce(b.id, {unk})), b.tok is null and {stop} from st s
+ left join lateral (select tok, id from v where {where} starts_with(substr(s.word, s.p), tok) order by length(tok) desc limit 1) b on true where s.p <= length(s.word) and not s.bad)"""
+
+
+@query(_model_sql(f"v(tok, id, rest) as (values {_values((t.removeprefix('##'), i, str(t.startswith('##')).lower()) for t, i in WORDPIECES.items())}), " + GREEDY.format(unk=UNK, stop="true", where="rest = (s.p > 1)::varchar and ") + f", done as (select word, case when bad then [{UNK}] else ids end as ids from st where p > length(word) or bad)"))
+def q_wordpiece(spark, sf_dir):
+    return _model(spark, sf_dir, K.WordPiece(WORDPIECES, UNK))
+
+
+@query(_model_sql(f"v(tok, id) as (values {_values(TRIE_VOCAB.items())}), " + GREEDY.format(unk=-1, stop="false", where="") + ", done as (select word, ids from st where p > length(word))"))
+def q_trie(spark, sf_dir):
+    return _model(spark, sf_dir, K.Trie(TRIE_VOCAB))
+
+
+@query(_model_sql(f"""v(tok, id) as (values {_values(BPE_VOCAB.items())}), m(a, b, r) as (values {_values((a, b, r) for r, (a, b) in enumerate(MERGES))}),
+st(word, s, fin) as (select word, string_split(word, ''), false from words union all
+ select t.word, case when x.i is null then t.s else list_concat(t.s[:x.i - 1], [t.s[x.i] || t.s[x.i + 1]], t.s[x.i + 2:]) end, x.i is null from st t
+ left join lateral (select i, r from unnest(range(1, len(t.s))) as u(i) join m on m.a = t.s[i] and m.b = t.s[i + 1] order by r, i limit 1) x on true where not t.fin),
+done as (select word, list(id order by i) as ids from (select word, s, i from st, unnest(range(1, len(s) + 1)) as u(i) where fin) join v on v.tok = s[i] group by word)"""))
+def q_bpe(spark, sf_dir):
+    return _model(spark, sf_dir, K.BPE(BPE_VOCAB, MERGES))
+
+
+@query()
+def q_unigram(spark, sf_dir):
+    return _model(spark, sf_dir, K.Unigram(UNIGRAMS, UNK))
+
+
+@query()
+def q_sentencepiece(spark, sf_dir):
+    from .sources.sentencepiece import CONTROL, NORMAL, SPACE, UNKNOWN, SentencePiece
+
+    m = SentencePiece([("<unk>", 0.0, UNKNOWN), ("<s>", 0.0, CONTROL), ("</s>", 0.0, CONTROL), (SPACE, -3.0, NORMAL), *((t, s, NORMAL) for t, s in UNIGRAMS[1:])], options={"add_bos": True, "add_eos": True})
+    x = read(spark, sf_dir, "conversations").select("conv_id", "turn", M.encode_texts(low(), m).alias("ids"))
+    return x.select("conv_id", "turn", F.posexplode("ids").alias("pos", "token_id"))
+
+
+def _bert() -> Pipeline:
+    special = {"[CLS]": 1000, "[SEP]": 1001}
+    stages = [Stage("drop_controls"), Stage("plain_spaces"), Stage("nfd"), Stage("strip_accents"), Stage("fold"), Stage("bert")]
+    p = Pipeline({"type": "wordpiece", "vocab": WORDPIECES, "unk_id": UNK}, stages, special, template=[(1000, 0), ("A", 0), (1001, 0)], pair=[(1000, 0), ("A", 0), (1001, 0), ("B", 1), (1001, 1)], max_length=64)
+    names = V.as_list(WORDPIECES)
+    p.tokens = [(t[2:] if t.startswith("##") else " " + t).encode().hex() for t in names]
+    p.skip_ids, p.decoder = [UNK], [("drop_first", {})]
+    return p
+
+
+@query()
+def q_pair_encode(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    x = c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")), ["conv_id", "turn"], "left")
+    x = _bert().encode(x, "text", "answer", batch="conv_id")
+    three = F.arrays_zip("input_ids", "token_type_ids", "attention_mask")
+    return x.select("conv_id", "turn", F.posexplode(three).alias("pos", "s")).select("conv_id", "turn", "pos", "s.*")
+
+
+@query()
+def q_detokenize(spark, sf_dir):
+    p = _bert()
+    x = read(spark, sf_dir, "conversations").select("conv_id", "turn", p.ids(F.col("text")).alias("ids"))
+    return x.select("conv_id", "turn", p.decode(F.col("ids")).alias("text"))
+
+
+@query(f"select o_orderkey, case when o_orderkey % 3 = 0 then printf('%02X', (65 + o_orderkey % 26)::int) else hex(o_orderpriority) end as bytes_hex from orders")
+def q_byte_fallback(spark, sf_dir):
+    token = F.when(F.col("o_orderkey") % 3 == 0, F.format_string("<0x%02X>", F.lit(65) + F.col("o_orderkey") % 26)).otherwise(F.col("o_orderpriority"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.hex(X.byte_token(token)).alias("bytes_hex"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a padded batch of sub-word ids."""
+    x = _bert().encode(read(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "text", batch="lang")
+    return x.select("doc_id", "lang", "input_ids", "token_type_ids", "attention_mask")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
