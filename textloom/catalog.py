@@ -135,7 +135,7 @@ def q_hash_bucket(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", U.hash_bucket(F.col("p_type"), 1000).alias("bucket"), U.hash_bucket(F.col("p_name"), 1 << 20).alias("name_bucket"))
 
 
-@query("select conv_id, turn, regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\\b(?:the|and|of)\\b\\s*', '', 'g') as kept from conversations")
+@query("select conv_id, turn, array_to_string(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+\\s*|[^\\p{L}\\p{M}\\p{N}_]+'), lambda x: regexp_extract(x, '^\\S*') not in ('the', 'and', 'of')), '') as kept from conversations")
 def q_string_normalizer(spark, sf_dir):
     x = read(spark, sf_dir, "conversations")
     return x.select("conv_id", "turn", X.stop_words("text", ["the", "and", "of"], action="lower").alias("kept"))
