@@ -279,7 +279,10 @@ def kept(df: DataFrame, eager: bool = True) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager)
+    out = df.checkpoint(eager)
+    if eager:
+        release(out)
+    return out
 
 
 def settled(df: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SENT, U64, Batch, Prefix, batched, chunks, counted, joined, kept, mix, parts, release, send, settled, table, totals, unpack, words
+from .common import SENT, U64, Batch, Prefix, batched, chunks, counted, joined, mix, parts, send, settled, table, totals, unpack, words
 
 END, START = U64(0x1234567887654320), U64(0x0FEDCBA987654322)  #: keys of the end token and of the context before the first word
 STEP = 8  #: bins in a factor of two, for the EM's table of estimates
@@ -91,7 +91,6 @@ def score(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
     role = (F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(fold)) == held).alias("held")
     d, n = batched(docs, role)
     d = settled(d)  # three steps read the batches
-    release(d)
     nb = parts(docs, 3_000_000, 48)
 
     def tell(group: pa.Table) -> pa.Table:
@@ -104,8 +103,7 @@ def score(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
         one = (keys & U64(1)) == 0
         return int(total[one].sum()), int((total[one] > 0).sum())
 
-    back = kept(counted(d.groupBy("batch").applyInArrow(tell, SENT), about))
-    release(back)
+    back = settled(counted(d.groupBy("batch").applyInArrow(tell, SENT), about).repartition(n, "batch"))
     sums = back.where("batch = -1").mapInArrow(lambda it: (pa.RecordBatch.from_pydict(dict(zip("nv", ([unpack(x)[k] for x in rb.column("blob").to_pylist()] for k in (0, 1)), strict=True))) for rb in it), "n long, v long")
     big_n, big_v = (int(x or 0) for x in sums.agg(F.sum("n"), F.sum("v")).first())
     back = back.where("batch >= 0")
@@ -133,7 +131,6 @@ def score(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
     held_out = d.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(cells, "b long, p2 long, p1 long, c long")
     found = held_out.groupBy("b", "p2", "p1").agg(F.sum("c").alias("c")).collect()  # bounded: BUCKETS x bins x bins
     weight = learn([tuple(r) for r in found], 1 / (big_v + 1))
-    release(back)
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         b = Batch(left)

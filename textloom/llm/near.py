@@ -22,7 +22,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SENT, U64, Batch, Prefix, batched, chunks, counted, distinct, kept, mix, pack, parts, release, send, settled, table, totals, unpack
+from .common import SENT, U64, Batch, Prefix, batched, chunks, counted, distinct, kept, mix, pack, parts, send, settled, table, totals, unpack
 from .earlier import Units
 from .graph import components, salted
 
@@ -156,7 +156,6 @@ def near_duplicates(docs: DataFrame, like: float = LIKE) -> DataFrame:
     so each of them is `first` where one is. A null doc_id comes after all others."""
     d, n = batched(docs)
     d = settled(d)  # several steps read the batches
-    release(d)
     nb = parts(docs, 3_000_000, 48)
     many = docs.count()
 
@@ -165,7 +164,7 @@ def near_duplicates(docs: DataFrame, like: float = LIKE) -> DataFrame:
         keys, c = _df_words(b)
         return send(b.number, keys, nb, c)
 
-    back = kept(counted(d.groupBy("batch").applyInArrow(tell, SENT)))
+    back = settled(counted(d.groupBy("batch").applyInArrow(tell, SENT)).repartition(n, "batch"))
 
     def sketched(left: pa.Table, right: pa.Table) -> pa.Table:
         b = Batch(left)
@@ -186,7 +185,6 @@ def near_duplicates(docs: DataFrame, like: float = LIKE) -> DataFrame:
         return t.append_column("bands", pa.array(bands, pa.list_(pa.int64()))).append_column("samples", pa.array(samples, pa.binary()))
 
     sketch = kept(d.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(sketched, "k long, doc long, same binary, bands array<long>, samples binary"))
-    release(sketch)
     own = sketch.groupBy("same").agg(F.min(F.struct("doc", "k")).alias("x"), F.first("bands").alias("bands"), F.first("samples").alias("samples"))
     texts = kept(own.select("same", "x.doc", "x.k", "bands", "samples"))
     rows = texts.select("k", F.explode("bands").alias("band"))
@@ -237,13 +235,11 @@ def near_duplicates(docs: DataFrame, like: float = LIKE) -> DataFrame:
         return left.groupBy("lead", "part").cogroup(right.groupBy("a", "salt")).applyInArrow(compare, "a long, b long, alike double")
 
     links = kept(verified(pairs).where(F.col("alike") >= like - 1e-9).select("a", "b"))
-    release(links)
     # a second look at buckets that hold several components
     root = components(links)
-    part = texts.select("k", "bands", "samples").join(root.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    part = part.select("k", "root", "samples", F.posexplode("bands").alias("i", "band"), "bands")
-    split = part.groupBy("band").agg(F.count("k").alias("n"), (F.min("root") != F.max("root")).alias("split")).where("n > 1 and split").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("n"))
-    part = salted(part, split, ["band"], F.col("k")).withColumn("block", F.pmod(F.xxhash64("k"), F.col("n")).cast("int"))
+    own = texts.select("k", F.posexplode("bands").alias("i", "band")).join(root.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    split = own.groupBy("band").agg(F.count("k").alias("n"), (F.min("root") != F.max("root")).alias("split")).where("n > 1 and split").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("n"))
+    part = salted(own, split, ["band"], F.col("k")).join(texts.select("k", "bands", "samples"), "k").withColumn("block", F.pmod(F.xxhash64("k"), F.col("n")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
     part = part.select("k", "root", "samples", "i", "band", "bands", "block", other).select("*", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).drop("other")
     look = "k long, root long, samples binary, i int, band long, bands array<long>, block int, lo int, hi int"
