@@ -165,6 +165,52 @@ def test_quality_on_held_out_labels(spark):
     assert quality.classify(docs.limit(0), labels).collect() == []
 
 
+def test_quality_learns_from_all_unlabelled_documents(spark):
+    import numpy as np
+
+    r = random.Random(5)
+    rows, labels = [], []
+    for i in range(6000):
+        bad = r.random() < 0.4
+        text = " ".join(r.choice("abcdefgh") + str(r.randint(0, 99)) for _ in range(r.randint(3, 30))) + (" filth !!!" if bad and r.random() < 0.8 else "")
+        row = (i, text, r.choice(["en", "xx"]), "dump" if bad and r.random() < 0.97 else r.choice(["wiki", "news"]), len(text))
+        rows.append((i, "the same text", "en", "wiki", 13) if i % 50 == 7 else row)  # whichever copy stays, it is the same
+        if i % 20 == 0:
+            labels.append((i, int(not bad), int(bad and i % 40 == 0)))
+    cols = ("doc_id", "text", "lang", "source", "n_chars")
+    got = quality.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(7), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+
+    known = {d: (q, t) for d, q, t in labels}
+    form, sets = quality.style([x[1].encode() for x in rows])
+    bags = [np.unique(s).tobytes() for s in sets]
+    seen, yes, no = set(), [], []
+    for d in sorted(known, key=lambda d: (d * 0x9E3779B97F4A7C15 & 0xFFFFFFFF, bags[d])) + [x[0] for x in rows if x[0] not in known]:
+        if bags[d] not in seen:
+            seen.add(bags[d])
+            (yes if d in known else no).append(d)
+    assert len(no) > 5000
+    at = quality.slots(*zip(*(x[2:] for x in rows)))
+    start = quality.begin(form[yes], [sets[i] for i in yes], at[yes], *(np.array([known[i][j] for i in yes]) for j in (0, 1)), None)
+    x, kinds = start.model.text_features(form[no], [sets[i] for i in no]), at[no]
+
+    class Local:  # every document in one array, labels as the rounds give them
+        def slopes(self, meta, beta):
+            y = quality.surely(meta, quality.metadata(kinds))
+            use = ~np.isnan(y)
+            self.used = use.sum()
+            return quality.slopes(x[use], y[use], np.full(use.sum(), 0.5), beta)
+
+        def tallies(self, text):
+            y = quality.surely(text, x)
+            use = ~np.isnan(y)
+            return kinds[use], y[use], np.ones(use.sum())
+
+    want = quality.co_train(start, local := Local())
+    assert local.used > 1000
+    for name in ("text", "meta", "both"):
+        assert np.allclose(getattr(got, name), getattr(want, name), atol=1e-6), name
+
+
 def test_fingerprints(spark):
     r = random.Random(8)
     data = [(i * 3, " ".join(r.choice("abcdefghij") + str(r.randint(0, 9)) for _ in range(r.randint(0, 300)))) for i in range(50)] + [(200, None), (201, ""), (None, "last one é"), (202, "two words"), (7, "x " * 9000)]

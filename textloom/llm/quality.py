@@ -6,24 +6,27 @@ documents, and those of which it is surest, by its calibrated probability, join
 weight. In the end both are calibrated on labelled documents that neither was trained on, and a third small model on
 the same documents weighs the two calibrated views against each other. That score decides on all documents.
 
-A document is good if its quality is 1 and it isn't toxic. The model is fitted on a bounded sample: at most LABELLED
-labelled and UNLABELLED other documents, those with the least hashes of their ids, so reruns agree.
+A document is good if its quality is 1 and it isn't toxic. The labelled documents are a bounded sample: at most
+LABELLED, those with the least hashes of their ids, so reruns agree. The unlabelled ones are all others. Their features
+are computed once, one row for each bag of words, and stay distributed: a round sums their gradients and curvatures for
+the text classifier and counts their pseudo-labels by metadata for the other, so the driver gets sums alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Prefix, binary, chunks, joined, mix, pack, unpack, words
+from .common import U64, Prefix, binary, chunks, joined, kept, mix, pack, parts, unpack, words
 from .contamination import _WORD, FOLD
 
-LABELLED, UNLABELLED = 8000, 3000
+LABELLED = 8000
 ROUNDS, SURE = 4, 0.97
 STYLE, META = 16, 96
 _KINDS = np.zeros((5, 256), bool)
@@ -52,7 +55,7 @@ def style(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
         of = text[at]
         most = np.zeros(n)
         np.maximum.at(most, of, c)
-        again = np.concatenate([[False], key[1:] == key[:-1]]) if len(key) else np.zeros(0, bool)
+        again = np.concatenate([[False], (key[1:] == key[:-1]) & (text[1:] == text[:-1])]) if len(key) else np.zeros(0, bool)
         signs = np.concatenate([[0], np.cumsum(_KINDS[2][buf], dtype=np.int32)])
         kinds = [per(t[buf]) / np.maximum(size, 1) for t in _KINDS]
         ends = np.isin(buf[e - 1], np.frombuffer(b".!?", np.uint8)) if len(e) else np.zeros(0, bool)
@@ -72,28 +75,38 @@ def style(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
     return (np.concatenate(rows) if rows else np.zeros((0, STYLE))), sets
 
 
-def metadata(lang: list, source: list, n_chars: list) -> np.ndarray:
-    """Language and source by hash, and the stated length in steps of two."""
+def slots(lang: list, source: list, n_chars: list) -> np.ndarray:
+    """The metadata columns that a document sets: language and source by hash, and the stated length in steps of two."""
     import zlib
 
-    out = np.zeros((len(lang), META))
-    for i, (a, b, c) in enumerate(zip(lang, source, n_chars, strict=True)):
-        out[i, zlib.crc32(repr(a).encode()) % 8] = 1
-        out[i, 8 + zlib.crc32(repr(b).encode()) % 64] = 1
-        out[i, 72 + min(max(int(c or 0), 0).bit_length(), 23)] = 1
+    got = [(zlib.crc32(repr(a).encode()) % 8, 8 + zlib.crc32(repr(b).encode()) % 64, 72 + min(max(int(c or 0), 0).bit_length(), 23)) for a, b, c in zip(lang, source, n_chars, strict=True)]
+    return np.array(got, np.int64).reshape(-1, 3)
+
+
+def metadata(at: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(at), META))
+    out[np.arange(len(at))[:, None], at] = 1
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, l2: float = 1.0) -> np.ndarray:
-    """Weights, the last for the constant, by Newton's method."""
+def slopes(x: np.ndarray, y: np.ndarray, w: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of the weighted log loss."""
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    beta = np.zeros(x.shape[1])
+    p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+    return x.T @ (w * (p - y)), (x * (w * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
+
+
+def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, l2: float = 1.0, more: Callable | None = None) -> np.ndarray:
+    """Weights, the last for the constant, by Newton's method; more(beta) gives the slopes of further rows."""
+    beta = np.zeros(x.shape[1] + 1)
     ridge = np.full(len(beta), l2)
     ridge[-1] = 1e-6
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        grad = x.T @ (w * (p - y)) + ridge * beta
-        step = np.linalg.solve((x * (w * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(ridge), grad)
+        grad, bend = slopes(x, y, w, beta)
+        if more:
+            g, h = more(beta)
+            grad, bend = grad + g, bend + h
+        step = np.linalg.solve(bend + np.diag(ridge), grad + ridge * beta)
         beta -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -161,44 +174,166 @@ class Model:
         return sigmoid(z[:, 0]), sigmoid(z[:, 1]), sigmoid(linear(self.both, z))
 
 
-def co_train(form, sets, meta, quality, toxic, free_form, free_sets, free_meta) -> Model:
-    """Fit on labelled and unlabelled (free) documents. Without labels of both kinds every document is good."""
-    m = Model()
+def surely(rounds: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray) -> np.ndarray:
+    """The label that the first sure one of a classifier's rounds (weights, calibration) gives, NaN where none is sure."""
+    label = np.full(len(x), np.nan)
+    for beta, calibrated in rounds:
+        p = sigmoid(linear(calibrated, linear(beta, x)[:, None]))
+        new = np.isnan(label) & ((p > SURE) | (p < 1 - SURE))
+        label[new] = p[new] > 0.5
+    return label
+
+
+def _thin(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([x[:, :STYLE], x[:, 2 * STYLE :]], axis=1)
+
+
+def _wide(x: np.ndarray) -> np.ndarray:
+    """Text features from those without the squares."""
+    return np.concatenate([x[:, :STYLE], x[:, :STYLE] ** 2 / 4, x[:, STYLE:]], axis=1)
+
+
+def _single(bag: np.ndarray, order: np.ndarray, at: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each bag of words the row of least order: copies would vouch for each other."""
+    by = np.lexsort((order, bag[:, 1], bag[:, 0]))
+    bag = bag[by]
+    new = np.concatenate([[True], (bag[1:] != bag[:-1]).any(1)])[: len(bag)]
+    return bag[new], order[by][new], at[by][new], x[by][new]
+
+
+def _digests(bags: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(blake2b(b, digest_size=16).digest() for b in bags), U64).reshape(-1, 2)
+
+
+class Pool:
+    """The unlabelled documents' features, packed. A document's pseudo-labels follow from the earlier rounds' models."""
+
+    def __init__(self, docs: DataFrame, model: Model, labelled: np.ndarray):
+        n = parts(docs, 32_000_000, 12)
+        own = {b.tobytes() for b in labelled}
+
+        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple[np.ndarray, ...]] = []
+
+            def flush() -> Iterator[pa.RecordBatch]:
+                got = _single(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                bucket = (got[0][:, 0] % U64(n)).astype(np.int64)
+                by = np.argsort(bucket, kind="stable")
+                cuts = [g for g in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if len(g)]
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(bucket[g[0]]) for g in cuts], pa.int32()), "blob": pa.array([pack([c[g] for c in got]) for g in cuts], pa.binary())})
+
+            for rb in batches:
+                form, sets = style(binary(rb.column("text")))
+                bag = _digests([np.unique(s).tobytes() for s in sets])
+                held.append((bag, rb.column("order").to_numpy(), slots(*(rb.column(c).to_pylist() for c in ("lang", "source", "n_chars"))), _thin(model.text_features(form, sets))))
+                if sum(len(h[0]) for h in held) > 50_000:
+                    yield from flush()
+                    held.clear()
+            if held:
+                yield from flush()
+
+        def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = [unpack(b) for rb in batches for b in rb.column("blob").to_pylist()]
+            if got:
+                bag, _, at, x = _single(*(np.concatenate(c) for c in zip(*got, strict=True)))
+                new = np.array([b.tobytes() not in own for b in bag], bool)
+                yield pa.RecordBatch.from_pydict({"blob": pa.array([pack((at[new], x[new]))], pa.binary())})
+
+        self.rows = kept(docs.mapInArrow(f, "bucket int, blob binary").repartition(n, "bucket").mapInArrow(merged, "blob binary")).coalesce(n)
+
+    def slopes(self, meta: list, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the text classifier, over the documents that the metadata classifier's rounds label."""
+
+        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            grad, bend = np.zeros(len(beta)), np.zeros((len(beta), len(beta)))
+            for rb in batches:
+                for b in rb.column("blob").to_pylist():
+                    at, x = unpack(b)
+                    kinds, of = np.unique(at, axis=0, return_inverse=True)
+                    y = surely(meta, metadata(kinds))[of.ravel()]
+                    use = ~np.isnan(y)
+                    g, h = slopes(_wide(x[use]), y[use], np.full(use.sum(), 0.5), beta)
+                    grad += g
+                    bend += h
+            yield pa.RecordBatch.from_pydict({"sums": pa.array([np.concatenate([grad, bend.ravel()]).tobytes()], pa.binary())})
+
+        got = sum((np.frombuffer(r.sums) for r in self.rows.mapInArrow(f, "sums binary").collect()), np.zeros(len(beta) * (len(beta) + 1)))
+        return got[: len(beta)], got[len(beta) :].reshape(len(beta), -1)
+
+    def tallies(self, text: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Slots, label and count of the documents that the text classifier's rounds label."""
+
+        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rb in batches:
+                for b in rb.column("blob").to_pylist():
+                    at, x = unpack(b)
+                    y = surely(text, _wide(x))
+                    use = ~np.isnan(y)
+                    kinds, n = np.unique(np.column_stack([at[use], y[use].astype(np.int64)]), axis=0, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in kinds.T), pa.array(n, pa.int64())], ["a", "b", "c", "y", "n"])
+
+        got = self.rows.mapInArrow(f, "a long, b long, c long, y long, n long").groupBy("a", "b", "c", "y").agg(F.sum("n").alias("n")).orderBy("a", "b", "c", "y").toArrow()
+        col = lambda c: np.asarray(got.column(c).to_pylist(), np.int64)
+        return np.stack([col("a"), col("b"), col("c")], axis=1), col("y").astype(float), col("n").astype(float)
+
+
+@dataclass
+class Start:
+    """What the labelled documents give: the model's words and scales, features, and their bags' digests."""
+
+    model: Model
+    text: np.ndarray
+    at: np.ndarray
+    good: np.ndarray
+    bags: np.ndarray
+
+
+def trivial() -> Model:
+    """Every document is good."""
+    none = np.zeros(0, U64), np.zeros(0)
+    return Model([none, none], np.zeros(STYLE), np.ones(STYLE), np.zeros(2 * STYLE + 7), np.zeros(META + 1), None, np.array([0, 0, 2.0]))
+
+
+def held_out(n: int) -> np.ndarray:
+    return np.arange(n) % 5 == 4  # the sample is in hash order
+
+
+def begin(form, sets, at, quality, toxic, bags) -> Start | None:
+    """None without labels of both kinds."""
     good = (quality == 1) & (toxic == 0)
     if len(good) < 20 or good.all() or not good.any():
-        m.mean, m.scale = np.zeros(STYLE), np.ones(STYLE)
-        none = np.zeros(0, U64), np.zeros(0)
-        m.words = [none, none]
-        m.text, m.meta, m.both = np.zeros(2 * STYLE + 7), np.zeros(META + 1), np.array([0, 0, 2.0])
-        return m
-    test = np.arange(len(good)) % 5 == 4  # the sample is in hash order
-    fit = ~test
-    m.mean, m.scale = form[fit].mean(0), form[fit].std(0) + 1e-3
+        return None
+    fit = ~held_out(len(good))
+    m = Model(mean=form[fit].mean(0), scale=form[fit].std(0) + 1e-3)
     some = [s for s, f in zip(sets, fit, strict=True) if f]
     m.words = [marking(some, toxic[fit] == 1), marking(some, quality[fit] == 0)]
-    xt, xm, y = m.text_features(form, sets), meta, good.astype(float)
-    ft, fm = (m.text_features(free_form, free_sets), free_meta) if len(free_form) else (np.zeros((0, xt.shape[1])), np.zeros((0, xm.shape[1])))
-    given: list[dict[int, float]] = [{}, {}]  # pseudo-labels for the text and for the metadata classifier
+    return Start(m, m.text_features(form, sets), at, good, bags)
+
+
+def co_train(start: Start, pool: Pool) -> Model:
+    """Fit on the labelled documents and all of the pool."""
+    m, xt, xm, y = start.model, start.text, metadata(start.at), start.good.astype(float)
+    test = held_out(len(y))
+    fit = ~test
+    one = np.ones(fit.sum())
+    rounds: list[list] = [[], []]  # of the text and of the metadata classifier
     for turn in range(ROUNDS + 1):
-        models = []
-        for x, f, labels in ((xt, ft, given[0]), (xm, fm, given[1])):
-            idx, val = list(labels), list(labels.values())
-            models.append(logistic(np.concatenate([x[fit], f[idx]]), np.concatenate([y[fit], val]), np.concatenate([np.ones(fit.sum()), np.full(len(idx), 0.5)])))
-        z = [linear(b, x) for b, x in zip(models, (xt, xm), strict=True)]
+        more, (at, said, n) = None, (np.zeros((0, 3), np.int64), np.zeros(0), np.zeros(0))
+        if turn:
+            more, (at, said, n) = (lambda beta: pool.slopes(rounds[1], beta)), pool.tallies(rounds[0])
+        text = logistic(xt[fit], y[fit], one, more=more)
+        meta = logistic(np.concatenate([xm[fit], metadata(at)]), np.concatenate([y[fit], said]), np.concatenate([one, n / 2]))
+        z = [linear(text, xt), linear(meta, xm)]
         m.calibrated = [logistic(zi[test][:, None], y[test], np.ones(test.sum()), 0.1) for zi in z]
-        if turn == ROUNDS or not len(ft):
-            break
-        for i, (b, f) in enumerate(zip(models, (ft, fm), strict=True)):
-            p = sigmoid(linear(m.calibrated[i], linear(b, f)[:, None]))
-            for j in np.flatnonzero((p > SURE) | (p < 1 - SURE)):
-                given[1 - i].setdefault(int(j), float(p[j] > 0.5))
-    m.text, m.meta = models
+        rounds[0].append((text, m.calibrated[0]))
+        rounds[1].append((meta, m.calibrated[1]))
+    m.text, m.meta = text, meta
     both = np.stack([linear(c, zi[:, None]) for c, zi in zip(m.calibrated, z, strict=True)], axis=1)
     m.both = logistic(both[test], y[test], np.ones(test.sum()), 0.1)
     return m
 
 
-_FEATURES = "doc_id long, quality int, toxic int, form binary, words binary, meta binary"
+_FEATURES = "doc_id long, quality int, toxic int, form binary, words binary, lang string, source string, n_chars long"
 
 
 def _columns(docs: DataFrame) -> list:
@@ -206,21 +341,18 @@ def _columns(docs: DataFrame) -> list:
     return [F.coalesce(of("text", "string"), F.lit("")).alias("text"), of("lang", "string"), of("source", "string"), of("n_chars", "long")]
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    cols = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), *_columns(docs))
-    chosen = known.orderBy(F.xxhash64(F.lit(1), "doc_id")).limit(labelled).select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic")
-    other = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).orderBy(F.xxhash64(F.lit(2), "doc_id")).limit(unlabelled)
-    picked = F.broadcast(chosen.unionByName(other.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti"), allowMissingColumns=True))  # at most labelled + unlabelled ids
-    source = cols.join(picked, "doc_id")
+    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_columns(docs))
+    chosen = F.broadcast(known.orderBy(F.xxhash64(F.lit(1), "doc_id")).limit(labelled).select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic"))  # at most `labelled` rows
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             form, sets = style(binary(rb.column("text")))
-            meta = metadata(*(rb.column(c).to_pylist() for c in ("lang", "source", "n_chars")))
+            same = [rb.column(c) for c in ("doc_id", "quality", "toxic", "lang", "source", "n_chars")]
             yield pa.RecordBatch.from_arrays(
-                [rb.column("doc_id"), rb.column("quality"), rb.column("toxic"), pa.array([x.tobytes() for x in form], pa.binary()), pa.array([np.unique(s).tobytes() for s in sets], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary())],
-                ["doc_id", "quality", "toxic", "form", "words", "meta"],
+                [*same[:3], pa.array([x.tobytes() for x in form], pa.binary()), pa.array([np.unique(s).tobytes() for s in sets], pa.binary()), *same[3:]],
+                ["doc_id", "quality", "toxic", "form", "words", "lang", "source", "n_chars"],
             )
 
     def learn(group: pa.Table) -> pa.Table:
@@ -228,17 +360,20 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled
         key = sorted(range(group.num_rows), key=lambda i: (ids[i] * 0x9E3779B97F4A7C15 & 0xFFFFFFFF, bags[i]))
         seen: set[bytes] = set()
         key = [i for i in key if not (bags[i] in seen or seen.add(bags[i]))]  # copies would vouch for each other
-        flat = lambda c: np.frombuffer(b"".join(group.column(c).to_pylist()), np.float64).reshape(group.num_rows, -1)
-        form, meta = flat("form"), flat("meta")
-        quality, toxic = group.column("quality").to_pylist(), group.column("toxic").to_pylist()
-        yes, no = [i for i in key if quality[i] is not None], [i for i in key if quality[i] is None]
-        split = lambda some: (form[some], [np.frombuffer(bags[i], U64) for i in some], meta[some])
-        got = co_train(*split(yes), np.array([quality[i] for i in yes]), np.array([toxic[i] for i in yes]), *split(no))
-        return pa.table({"model": pa.array([pack(got)], pa.binary())})
-
-    # the sample is bounded, so one task on an executor fits the model and the driver gets the model alone
-    got = source.mapInArrow(f, _FEATURES).withColumn("all", F.lit(0)).groupBy("all").applyInArrow(learn, "model binary").first()
-    return unpack(got.model) if got else co_train(np.zeros((0, STYLE)), [], np.zeros((0, META)), np.zeros(0), np.zeros(0), np.zeros((0, STYLE)), [], np.zeros((0, META)))
+        group = group.take(key)
+        bags = group.column("words").to_pylist()
+        form = np.frombuffer(b"".join(group.column("form").to_pylist()), np.float64).reshape(group.num_rows, -1)
+        at = slots(*(group.column(c).to_pylist() for c in ("lang", "source", "n_chars")))
+        got = begin(form, [np.frombuffer(b, U64) for b in bags], at, *(np.array(group.column(c).to_pylist()) for c in ("quality", "toxic")), _digests(bags))
+        return pa.table({"start": pa.array([pack(got)], pa.binary())})
+
+    # the labelled sample is bounded, so one task on an executor can see its words and the driver gets features alone
+    got = cols.join(chosen, "doc_id").mapInArrow(f, _FEATURES).withColumn("all", F.lit(0)).groupBy("all").applyInArrow(learn, "start binary").first()
+    start = unpack(got.start) if got else None
+    if start is None:
+        return trivial()
+    rest = cols.join(chosen.select("doc_id"), "doc_id", "left_anti").select(F.xxhash64(*cols.columns).alias("order"), *cols.columns[1:])
+    return co_train(start, Pool(rest, start.model, start.bags))
 
 
 SCORED = "text_score double, meta_score double, score double, good boolean"
@@ -255,7 +390,7 @@ def classify(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             form, sets = style(binary(rb.column("text")))
-            a, b, both = model.score(form, sets, metadata(*(rb.column(c).to_pylist() for c in ("lang", "source", "n_chars"))))
+            a, b, both = model.score(form, sets, metadata(slots(*(rb.column(c).to_pylist() for c in ("lang", "source", "n_chars")))))
             yield pa.RecordBatch.from_arrays([rb.column("row"), *(pa.array(x, pa.float64()) for x in (a, b, both)), pa.array(both >= model.threshold)], ["row", "text_score", "meta_score", "score", "good"])
 
     return source.mapInArrow(f, f"row {source.schema['row'].dataType.simpleString()}, {SCORED}")
