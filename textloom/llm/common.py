@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,9 +43,9 @@ def plan_bytes(df: DataFrame) -> int:
     return int(df.agg(F.sum(total)).first()[0] or 0) // 2  # files are packed
 
 
-def parts(df: DataFrame, each: int, least: int = 24, most: int = 200_000) -> int:
+def parts(df: DataFrame, each: int, least: int = 24) -> int:
     """How many groups of about `each` input bytes."""
-    return max(least, min(most, plan_bytes(df) // each + 1))
+    return max(least, plan_bytes(df) // each + 1)
 
 
 def row_key(*cols: str) -> Column:
@@ -274,11 +275,19 @@ def release(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
+def shared_folder(sc: SparkContext) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset, one of our own, but only if driver and executors share a machine."""
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return folder or tempfile.mkdtemp(prefix="checkpoint-")
+
+
 def kept(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names; one of our own only where it is unset."""
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared_folder(sc))
     out = df.checkpoint(eager)
     if eager:
         release(out)
