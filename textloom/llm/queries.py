@@ -73,6 +73,19 @@ m as (select page_id, arg_max(rhost || rpath, length(rhost || rpath) * 1000 + le
   from h join r on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by page_id)
 select h.page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from h left join m using (page_id)"""
 
+MIX = r"""
+with d as (select doc_id, text, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
+s as (select source, sum(size)::bigint as source_size from d group by source),
+w as (select *, 2.0::double * source_size as full_, [5.0, 2.0, 1.0][((row_number() over (order by encode(source) nulls last) - 1) % 3 + 1)::int]::double as weight from s),
+v as (select *, row_number() over o as rank, ((sum(source_size) over ())::double * 1.5::double - coalesce(sum(full_) over (o rows between unbounded preceding and 1 preceding), 0)) / (sum(weight) over (o rows between current row and unbounded following)) as level
+  from w window o as (order by full_ / weight, encode(source) nulls last)),
+f as (select arg_min(rank, rank) as first_rank, arg_min(level, rank) as first_level from v where level * weight <= full_),
+t as (select source, source_size, case when first_rank is null or rank < first_rank then full_ else first_level * weight end::double as target from v, f),
+x as (select doc_id, size, source_size, target, case when source_size > 0 then target / source_size else 0 end::double as rate, ('0x' || substr(md5('42:' || coalesce(doc_id::varchar, '') || ':' || coalesce(text, '')), 1, 13))::bigint / 4503599627370496.0::double as u
+  from d join t on d.source is not distinct from t.source),
+c as (select *, floor(rate)::bigint + (u < rate - floor(rate))::bigint as copies from x)
+select doc_id, size, source_size, target, size * copies as taken, copies from c"""
+
 SUBSTRINGS = r"""
 with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
 win as (select doc_id, i, array_to_string(w[i:i + 12], ' ') as s from d, unnest(range(1, len(w) - 11)) as t(i)),
@@ -96,4 +109,4 @@ from d left join n using (doc_id) left join it using (doc_id)"""
 
 def oracle_sql() -> dict[str, str]:
     """The others can't be said in SQL, or only too slowly: tests hold them against brute force."""
-    return {"op2_url_filters": URLS, "op4_substring_dedup": SUBSTRINGS, "op6_decontamination": ITEMS}
+    return {"op2_url_filters": URLS, "op3_mixing": MIX, "op4_substring_dedup": SUBSTRINGS, "op6_decontamination": ITEMS}
