@@ -65,7 +65,12 @@ def test_mixing(spark):
         taken[s] += g.size * g.copies
     assert all(abs(taken[s] - want[s]) <= 40 * 4 * len(data) ** 0.5 / 2 for s in sizes)
     assert sorted((repr(g.row), g.copies) for g in got) == sorted((repr(g.row), g.copies) for g in mixing.mix(df).collect())
-    assert mixing.mix(df.limit(0)).collect() == []
+    assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(df, small=0).collect()))  # sources too many to send
+    for x in got:  # the copies by another road
+        rate = want[x.row.source] / sizes[x.row.source] if sizes[x.row.source] else 0
+        u = int(hashlib.md5(f"42:{'' if x.row.doc_id is None else x.row.doc_id}:{x.row.text or ''}".encode()).hexdigest()[:13], 16) / 2**52
+        assert x.copies == int(rate) + (u < float(rate) - int(rate))
+    assert mixing.mix(df.limit(0)).collect() == mixing.mix(df.limit(0), small=-1).collect() == []
 
 
 def test_html_on_held_out_pages(spark):
@@ -211,25 +216,57 @@ def test_quality_learns_from_all_unlabelled_documents(spark):
         assert np.allclose(getattr(got, name), getattr(want, name), atol=1e-6), name
 
 
-def test_fingerprints(spark):
+def brute_sketch(text):
+    """By hashing each shingle's own bytes."""
+    import numpy as np
+
+    from textloom.llm.common import Prefix
+
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    every = set()
+    for i in range(max(1, len(w) - 4) if w else 0):
+        b = " ".join(w[i : i + 5]).encode()
+        every.add(int(Prefix(np.frombuffer(b, np.uint8)).of(np.array([0]), np.array([len(b)]))[0]) >> 30)
+    kept = sorted(h for h in every if h < 1 << 32)
+    return "".join(f"{h:08x}" for h in kept) if kept or not every else f"~{min(every):09x}"
+
+
+def brute_likeness(a, b):
+    x, y = ({f} if f.startswith("~") else {f[i : i + 8] for i in range(0, len(f), 8)} for f in (a, b))
+    return len(x & y) / min(len(x), len(y)) if x and y else float(x == y)
+
+
+@pytest.mark.parametrize("each", [8_000_000, 100])
+def test_fingerprints_equal_brute_force(spark, each):
     r = random.Random(8)
-    data = [(i * 3, " ".join(r.choice("abcdefghij") + str(r.randint(0, 9)) for _ in range(r.randint(0, 300)))) for i in range(50)] + [(200, None), (201, ""), (None, "last one é"), (202, "two words"), (7, "x " * 9000)]
-    got = fingerprints.fingerprint(spark.createDataFrame([(*d, "e", "f") for d in data], "doc_id long, text string, fingerprint string, batch string")).collect()
-    order = sorted(data, key=lambda d: (d[0] is None, d[0] or 0))
-    at = {d[0]: i for i, d in enumerate(order)}
-    assert len(got) == len(data)
-    for g in got:
-        t, after = order[at[g.doc_id]][1] or "", order[(at[g.doc_id] + 1) % len(order)][1] or ""
-        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
-        assert g.n_chars == len(t) and g.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert g.near_edited == fingerprints.likeness(fingerprints.read(g.fingerprint), fingerprints.read(g.edited_fingerprint))
+    data = [(i * 3, " ".join(r.choice("abcdefghij") + str(r.randint(0, 9)) for _ in range(r.choice([2, 6, 300]) and r.randint(0, 300)))) for i in range(50)]
+    data += [(200, None), (201, ""), (None, "last one é"), (None, "two words"), (202, "two words"), (7, "x " * 9000), data[4], data[4], (12, "same id, other text"), (12, "third\ttext of one id")]
+    df = spark.createDataFrame([(*d, "e", "f") for d in data], "doc_id long, text string, fingerprint string, range string")
+    got = fingerprints.fingerprint(df, each).collect()
+    order = [(x.doc_id, x.text or "") for x in df.selectExpr("*", "xxhash64(text) as tie").orderBy(df.doc_id.asc_nulls_last(), "tie").collect()]
+    want = []
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1]):
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        f, g = brute_sketch(t), brute_sketch(edited)
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), f, g, brute_likeness(f, g), brute_likeness(f, brute_sketch(after))))
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert fingerprints.fingerprint(df.limit(0)).collect() == []
+    alone = fingerprints.fingerprint(df.where("doc_id = 7")).collect()
+    assert [(x.doc_id, x.near_next) for x in alone] == [(7, 1.0)]
+
+
+def test_fingerprints_contain_and_unite():
+    r = random.Random(9)
     big = " ".join(f"w{i}" for i in range(4000))
-    part = " ".join(f"w{i}" for i in range(500, 1000))
-    a, b = fingerprints.sketches([big, part])
+    a, b = fingerprints.sketches([big, " ".join(f"w{i}" for i in range(500, 1000))])
     assert fingerprints.likeness(a, b) > 0.9
-    halves = [fingerprints.written(x) for x in fingerprints.sketches([" ".join(big.split()[:2004]), " ".join(big.split()[2000:])])]
-    assert fingerprints.merge(*halves) == fingerprints.written(a)
-    assert fingerprints.fingerprint(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    for n in [6] * 150 + [64] * 50:  # the shorter ones have marks
+        w, cut = big.split()[: n + 64], r.randint(5, n)
+        at = r.randint(0, 2000)
+        w = big.split()[at : at + n + cut]
+        parts = [fingerprints.written(x) for x in fingerprints.sketches([" ".join(w[: cut + 4]), " ".join(w[cut:])])]
+        assert fingerprints.merge(*parts) == fingerprints.written(fingerprints.sketches([" ".join(w)])[0])
 
 
 def test_pipeline(spark, tmp_path):
