@@ -143,7 +143,7 @@ def fingerprint(docs: DataFrame, each: int = 8_000_000) -> DataFrame:
         return pa.array(_find(doc.to_numpy(zero_copy_only=False), tie.to_numpy(zero_copy_only=False), bounds), pa.int32())
 
     x = docs.select(*key, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    x = x.select(ranged("doc", "tie").alias("range"), "doc", "tie", "text").repartition(n, "range").sortWithinPartitions("range", "doc", "tie")
+    x = x.select(ranged("doc", "tie").alias("range"), "doc", "tie", "text").repartitionById(n, F.col("range")).sortWithinPartitions("range", "doc", "tie")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list]]:
         """Range, ids and texts of at most 500 neighbours of one range."""
