@@ -2,9 +2,10 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
-from textloom.llm.bwt import classes
+from textloom.llm.bwt import Shard, classes, intervals, merge
 from textloom.llm.substring import dedup_bytes, dedup_words, word_classes
 
 SCHEMA = "doc_id long, text string, batch string, k string"  # extra columns with names used inside
@@ -61,20 +62,50 @@ def brute_words(rows, k=13):
     return out
 
 
+def thue(n, bit=0):
+    """2**n letters whose polynomial hashes modulo a power of two equal those of their complement."""
+    t = "a" if not bit else "b"
+    for _ in range(n):
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t
+
+
 def ordered(rows):
     return sorted(rows, key=repr)
 
 
-@pytest.mark.parametrize("hot", [2000, 3])
-def test_both_equal_brute_force(spark, hot, monkeypatch):
-    import textloom.llm.substring as m
+@pytest.mark.parametrize("hot", [2000, 20, 1])
+def test_both_equal_brute_force(spark, hot):
+    rows = corpus(hot, hot=hot < 100)
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert ordered(tuple(r) for r in dedup_bytes(df, hot=hot).collect()) == ordered(brute_bytes(rows))
+    assert ordered(tuple(r) for r in dedup_words(df, hot=hot).collect()) == ordered(brute_words(rows))
+
 
-    rule = m.Rule
-    monkeypatch.setattr(m, "Rule", lambda *a: rule(*a, hot=hot))
-    rows = corpus(hot, hot=hot == 3)
+def test_windows_are_compared_themselves(spark):
+    tail = " ".join(f"w{i}" for i in range(12))
+    rows = [(i, f"{thue(10)} {tail}", "", "") for i in range(300)] + [(400, f"{thue(10, 1)} {tail}", "", "")]
     df = spark.createDataFrame(rows, SCHEMA)
-    assert ordered(tuple(r) for r in dedup_bytes(df).collect()) == ordered(brute_bytes(rows))
-    assert ordered(tuple(r) for r in dedup_words(df).collect()) == ordered(brute_words(rows))
+    for hot in (2000, 20):
+        got = {r.doc_id: r.n_removed for r in dedup_words(df, hot=hot).collect()}
+        assert got[400] == 0 and got[0] == 0 and got[1] == 13
+
+
+def test_common_prefixes():
+    r = random.Random(6)
+    raw = [bytes(r.choice(b"abc") for _ in range(n)) for n in (70, 300, 10, 200)]
+    shards = [Shard(np.frombuffer(t + bytes(20), np.uint8), 20) for t in raw]
+    z, common = merge(shards)
+    at, suffixes = [0] * len(shards), []
+    for i in z.tolist():  # the interleave read back
+        s, t = shards[i], raw[i] + bytes(20)
+        suffixes.append((t + t)[s.suffixes[at[i]] :][:20])
+        at[i] += 1
+    assert suffixes == sorted(suffixes)
+    for a, b, n in zip(suffixes, suffixes[1:], common[1:].tolist()):
+        real = next((i for i in range(20) if a[i] != b[i]), 20)
+        assert n == 20 if real == 20 else n <= real < n + 8
+    assert len(set(intervals(common, 20).tolist())) == len(set(suffixes))
 
 
 def test_empty_table(spark):

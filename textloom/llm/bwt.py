@@ -5,8 +5,12 @@ run of up to eight bytes, so one refinement step settles eight bytes of every su
 sorts suffixes of different shards: it keeps only the *interleave*, the sequence that says from which shard the next
 suffix comes, and refines it. One step reads the shards' transforms in the order of the interleave and sorts the
 shard numbers stably by the symbols read; after steps of lengths l1, l2, ... the interleave is that of all suffixes
-sorted by their first l1 + l2 + ... bytes. Where a step tells neighbours apart, their common prefix is shorter than
-the depth reached: the blocks left at depth `depth` are exactly the repeated intervals of that length.
+sorted by their first l1 + l2 + ... bytes. The step that first tells two neighbours apart gives their common prefix:
+all bytes of the steps before it, and not all of its own. The maximal intervals whose neighbours have common prefixes of
+at least `depth` bytes are the repeated intervals of that length.
+
+Each shard is sorted by itself, over its own alphabet of symbols; the merge needs one alphabet for all, which is the
+union of the shards' sorted alphabets.
 """
 
 from __future__ import annotations
@@ -36,30 +40,47 @@ def _grams(text: np.ndarray) -> np.ndarray:
 class Shard:
     """A text's suffixes sorted by their first `depth` bytes, and the transform's symbols in that order."""
 
-    def __init__(self, ids: np.ndarray, grams: np.ndarray, depth: int):
-        rank, have = ids.astype(np.int64), WIDE
+    def __init__(self, text: np.ndarray, depth: int):
+        self.depth, self.grams = depth, _grams(text)
+        self.alphabet, self.ids = np.unique(self.grams, return_inverse=True)
+        rank, have = self.ids.astype(np.int64), WIDE
         while have < depth:
             step = min(have, depth - have)
             _, rank = np.unique((rank << 32) | np.roll(rank, -step), return_inverse=True)
             have += step
         self.suffixes = _stable(rank)
-        rest = depth % WIDE
-        self.steps = [ids[self.suffixes - WIDE]] * (depth // WIDE)
+
+    def steps(self, alphabet: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """Bytes and symbols of each refinement step: the symbol before each suffix, as its number in the common alphabet."""
+        wide = np.searchsorted(alphabet, self.alphabet)[self.ids[self.suffixes - WIDE]]
+        out, rest = [(WIDE, wide)] * (self.depth // WIDE), self.depth % WIDE
         if rest:
-            self.steps.insert(0, (grams[self.suffixes - rest] >> np.uint64(8 * (WIDE - rest))).astype(np.int64))
+            out.insert(0, (rest, (self.grams[self.suffixes - rest] >> np.uint64(8 * (WIDE - rest))).astype(np.int64)))
+        return out
 
 
 def merge(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray]:
-    """The interleave of all shards' suffixes, and the number of each suffix's block."""
+    """The interleave of all shards' suffixes, and each suffix's common prefix with the one before it, in bytes of whole steps."""
+    alphabet = np.unique(np.concatenate([s.alphabet for s in shards]))
     z = np.repeat(np.arange(len(shards), dtype=np.uint16), [len(s.suffixes) for s in shards])
-    block = np.zeros(len(z), np.int64)
-    for step in range(len(shards[0].steps)):
+    block, depth = np.zeros(len(z), np.int64), 0
+    common = np.full(len(z), shards[0].depth)
+    common[:1] = 0
+    for step in zip(*(s.steps(alphabet) for s in shards), strict=True):
         symbol = np.empty(len(z), np.int64)
-        symbol[np.argsort(z, kind="stable")] = np.concatenate([s.steps[step] for s in shards])
+        symbol[np.argsort(z, kind="stable")] = np.concatenate([x for _, x in step])
         order = _stable(symbol)
         z, block, symbol = z[order], block[order], symbol[order]
-        block = np.cumsum(np.concatenate([[0], (np.diff(block) != 0) | (np.diff(symbol) != 0)]))
-    return z, block
+        apart = np.concatenate([[False], (np.diff(block) != 0) | (np.diff(symbol) != 0)])[: len(z)]
+        common[apart] = np.minimum(common[apart], depth)  # an earlier step's depth stays
+        block = np.cumsum(apart)
+        depth += step[0][0]
+    return z, common
+
+
+def intervals(common: np.ndarray, depth: int) -> np.ndarray:
+    """The number of each suffix's interval: neighbours share it if they share `depth` bytes."""
+    return np.cumsum(common < depth)
 
 
 def classes(texts: list[bytes], depth: int, shard_bytes: int = 1 << 19) -> list[np.ndarray]:
@@ -74,17 +95,15 @@ def classes(texts: list[bytes], depth: int, shard_bytes: int = 1 << 19) -> list[
             size = 0
         groups[-1].append(t)
         size += len(t)
-    raw = [np.frombuffer(b"".join(g) + bytes(depth), np.uint8) for g in groups]
-    grams = [_grams(t) for t in raw]
-    _, ids = np.unique(np.concatenate(grams), return_inverse=True)
-    cut = np.cumsum([0] + [len(g) for g in grams])
-    shards = [Shard(ids[i:j], g, depth) for g, i, j in zip(grams, cut, cut[1:], strict=False)]
-    z, block = merge(shards)
+    shards = [Shard(np.frombuffer(b"".join(g) + bytes(depth), np.uint8), depth) for g in groups]
+    z, common = merge(shards)
+    number = intervals(common, depth)
     out: list[np.ndarray] = []
     rows = np.argsort(z, kind="stable")
+    cut = np.cumsum([0] + [len(s.suffixes) for s in shards])
     for g, s, i, j in zip(groups, shards, cut, cut[1:], strict=False):
         of = np.empty(j - i, np.int64)
-        of[s.suffixes] = block[rows[i:j]]
+        of[s.suffixes] = number[rows[i:j]]
         at = 0
         for t in g:
             out.append(of[at : at + max(0, len(t) - depth + 1)])

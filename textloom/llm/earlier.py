@@ -1,11 +1,12 @@
 """Windows that also start earlier: the plan shared by the byte (suffix-array) and the word (super-k-mer) operator.
 
 Equal windows have the same minimiser at the same place. So each run of consecutive windows with one minimiser is
-packed as one string and sent to the minimiser's bucket, where equal windows meet. Before that, minimisers are counted
-exactly: a window whose minimiser occurs once occurs once, and doesn't travel. A batch sends each distinct string once;
-its other copies are decided in the batch, since an earlier copy is at hand. The runs of a minimiser that occurs more
-than `hot` times have too many different surroundings for one bucket: their windows travel one by one as 128-bit
-fingerprints, each to the bucket of its own fingerprint, so that no bucket grows with the most frequent passage.
+packed as one string and sent to the minimiser's bucket, where equal windows meet and are compared themselves: hashes
+only say where a string goes. Before that, minimisers are counted exactly: a window whose minimiser occurs once occurs
+once, and doesn't travel. A batch sends each distinct string once; its other copies are decided in the batch, since an
+earlier copy is at hand. The runs of a minimiser that occurs more than `hot` times may have too many different
+surroundings for one bucket: they are cut again where a second minimiser, by another order, changes, and go to the
+bucket of both; so on by a third order and more, one for each factor by which the minimiser is too frequent.
 """
 
 from __future__ import annotations
@@ -18,7 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from .common import SENT, U64, Batch, Prefix, batched, chunks, counted, joined, pack, parts, send, table, totals, unpack, words
+from .common import SENT, U64, Batch, Prefix, batched, chunks, counted, joined, mix, pack, parts, send, table, totals, unpack, words
+
+
+HOT = 2000
 
 
 @dataclass(frozen=True)
@@ -28,7 +32,7 @@ class Rule:
     by_word: bool  #: units are words, else bytes
     by_place: bool  #: an earlier start in the same document counts too
     classes: Callable[[list[bytes], int], list[np.ndarray]]  #: the class of each window of each string
-    hot: int = 2000
+    hot: int  #: occurrences of a minimiser up to which its runs meet in one bucket
 
 
 class Units:
@@ -67,21 +71,45 @@ def _sliding(key: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(key[:n], key[w - size : w - size + n])
 
 
+_PLACE = U64(0xFFFFFFFF)
+
+
+def _least(h: np.ndarray, w: int) -> np.ndarray:
+    """For each w neighbours the place of the least upper half; of equal ones the first."""
+    return (_sliding((h & ~_PLACE) | np.arange(len(h), dtype=U64), w) & _PLACE).astype(np.int64)
+
+
 def _runs(u: Units, rule: Rule, hashed: Prefix) -> tuple[np.ndarray, ...]:
-    """First and last window of each run, and its minimiser's hash."""
-    n, m, w = len(u.s) - rule.size + 1, rule.gram, rule.size - rule.gram + 1
+    """First and last window of each run, its minimiser's hash, and the hashes of all grams."""
+    n, m = len(u.s) - rule.size + 1, rule.gram
     if n <= 0:
         none = np.zeros(0, np.int64)
-        return none, none, none.astype(U64)
+        return none, none, none.astype(U64), none.astype(U64)
     h = hashed.of(u.s[: len(u.s) - m + 1], u.e[m - 1 :])
-    bits = U64((1 << int(len(h)).bit_length()) - 1)
-    at = (_sliding((h & ~bits) | np.arange(len(h), dtype=U64), w) & bits).astype(np.int64)
+    at = _least(h, rule.size - m + 1)
     at[u.text[:n] != u.text[rule.size - 1 :]] = -1
     begin = np.flatnonzero(np.concatenate([[True], np.diff(at) != 0]))
     end = np.concatenate([begin[1:], [n]]) - 1
     real = at[begin] >= 0
     begin, end = begin[real], end[real]
-    return begin, end, h[at[begin]]
+    return begin, end, h[at[begin]], h
+
+
+def _refined(rule: Rule, h: np.ndarray, begin: np.ndarray, end: np.ndarray, key: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The runs cut by the minimisers of as many further orders as their minimiser's total asks for, with the key of them all."""
+    w = rule.size - rule.gram + 1
+    orders = sum((total > limit).astype(np.int64) for limit in (rule.hot * w**i for i in range(8)))
+    size = end - begin + 1
+    run = np.repeat(np.arange(len(begin)), size)
+    win = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + begin[run]
+    new, key = np.diff(run, prepend=-1) != 0, key[run]
+    for k in range(1, int(orders.max(initial=0)) + 1):
+        other = mix(h + U64(k) * U64(0x9E3779B97F4A7C15))
+        at, use = _least(other, w)[win], orders[run] >= k
+        new |= use & (np.diff(at, prepend=-1) != 0)
+        key = np.where(use, mix(key ^ (other[at] | U64(1))), key)
+    first = np.flatnonzero(new)
+    return win[first], win[np.append(first[1:], len(win))[: len(first)] - 1], key[first]
 
 
 def _parts(b: Batch, rule: Rule):
@@ -98,7 +126,7 @@ def find(docs: DataFrame, rule: Rule, out: str, finish: Callable[[Batch, list],
         b = Batch(group)
         found = []
         for _, _, u in _parts(b, rule):
-            begin, _, h = _runs(u, rule, Prefix(u.buf))
+            begin, _, h, _ = _runs(u, rule, Prefix(u.buf))
             if not rule.by_place:  # the same document again doesn't count
                 pair = np.unique(h ^ (u.text[begin].astype(U64) * U64(0x9E3779B97F4A7C15)), return_index=True)[1]
                 h = h[pair]
@@ -110,28 +138,20 @@ def find(docs: DataFrame, rule: Rule, out: str, finish: Callable[[Batch, list],
         b = Batch(left)
         runs = []
         for lo, _, u in _parts(b, rule):
-            p = Prefix(u.buf)
-            runs.append((lo, u, p, *_runs(u, rule, p)))
-        keys = np.unique(np.concatenate([*(r[5] for r in runs), np.zeros(0, U64)]))
+            runs.append((lo, u, *_runs(u, rule, Prefix(u.buf))))
+        keys = np.unique(np.concatenate([*(r[4] for r in runs), np.zeros(0, U64)]))
         total = totals(keys, nb, right)
         done: list[np.ndarray] = []
         ids: dict[bytes, int] = {}
         occ: list[tuple] = []
-        fps: list[np.ndarray] = []
-        for lo, u, p, begin, end, h in runs:
+        for lo, u, begin, end, h, grams in runs:
             t = total[np.searchsorted(keys, h)]
-            use = np.flatnonzero((t > 1) & (t <= rule.hot))
-            s, e, data = u.s[begin[use]].tolist(), u.e[end[use] + rule.size - 1].tolist(), u.buf.tobytes()
+            use = t > 1
+            begin, end, h = _refined(rule, grams, begin[use], end[use], h[use], t[use])
+            s, e, data = u.s[begin].tolist(), u.e[end + rule.size - 1].tolist(), u.buf.tobytes()
             cid = np.array([ids.setdefault(data[i:j], len(ids)) for i, j in zip(s, e, strict=True)], np.int64)
-            doc = u.text[begin[use]] + lo
-            occ.append((cid, doc, b.doc[doc], begin[use] - u.first[doc - lo], end[use] - begin[use] + 1, h[use]))
-            use = np.flatnonzero(t > rule.hot)
-            if len(use):
-                size = end[use] - begin[use] + 1
-                win = np.repeat(begin[use] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                doc = u.text[win] + lo
-                ws, we = u.s[win], u.e[win + rule.size - 1]
-                fps.append((p.of(ws, we), Prefix(u.buf, 77).of(ws, we), doc, b.doc[doc], win - u.first[doc - lo]))
+            doc = u.text[begin] + lo
+            occ.append((cid, doc, b.doc[doc], begin - u.first[doc - lo], end - begin + 1, h))
         rows = defaultdict(list)
         if occ:
             cid, doc, key, at, count, h = (np.concatenate(x) for x in zip(*occ, strict=True))
@@ -146,40 +166,23 @@ def find(docs: DataFrame, rule: Rule, out: str, finish: Callable[[Batch, list],
                     c, inv = np.unique(cid[g], return_inverse=True)
                     own = np.empty(len(c), U64)
                     own[inv] = h[g]
-                    rows[int(bucket[g[0]])].append(("s", own, [names[x] for x in c], inv.astype(np.int32), doc[g].astype(np.int32), key[g], at[g], count[g].astype(np.int32)))
-        if fps:
-            f1, f2, doc, key, at = (np.concatenate(x) for x in zip(*fps, strict=True))
-            first = _earliest(_ids(f1, f2), key, at if rule.by_place else None)
-            done.append(np.stack([doc[~first], at[~first], np.ones((~first).sum(), np.int64)]))
-            f1, f2, doc, key, at = (x[first] for x in (f1, f2, doc, key, at))
-            bucket = (f1 >> U64(40)) % U64(nb)
-            order = np.argsort(bucket, kind="stable")
-            for g in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-                if len(g):
-                    rows[int(bucket[g[0]])].append(("f", f1[g], f2[g], doc[g].astype(np.int32), key[g], at[g]))
+                    rows[int(bucket[g[0]])].append((own, [names[x] for x in c], inv.astype(np.int32), doc[g].astype(np.int32), key[g], at[g], count[g].astype(np.int32)))
         if done and (gone := np.concatenate(done, axis=1)).size:
-            rows[-1 - b.number].append(("d", gone))
+            rows[-1 - b.number].append(gone)
         return table(SENT, bucket=list(rows), batch=[b.number] * len(rows), blob=[pack(x) for x in rows.values()])
 
     def meet(group: pa.Table) -> pa.Table:
         """What also starts earlier, by batch: documents, first windows, counts."""
         back: dict[int, list[np.ndarray]] = defaultdict(list)
-        strs, fps = [], []
-        for k, blob in zip(group.column("batch").to_pylist(), group.column("blob").to_pylist(), strict=True):
+        strs = []
+        for k, bucket, blob in zip(*(group.column(c).to_pylist() for c in ("batch", "bucket", "blob")), strict=True):
             for x in unpack(blob):
-                if x[0] == "d":
-                    back[k].append(x[1])
+                if bucket < 0:
+                    back[k].append(x)  # decided in the batch
                 else:
-                    (strs if x[0] == "s" else fps).append((k, x[1:]))
+                    strs.append((k, x))
         if strs:
             _strings(strs, rule, back)
-        if fps:
-            k = np.repeat([k for k, _ in fps], [len(x[0]) for _, x in fps])
-            f1, f2, doc, key, at = (np.concatenate(x) for x in zip(*(x for _, x in fps), strict=True))
-            late = ~_earliest(_ids(f1, f2), key, at if rule.by_place else None)
-            for b in np.unique(k[late]):
-                g = late & (k == b)
-                back[int(b)].append(np.stack([doc[g], at[g], np.ones(g.sum(), np.int64)]))
         return table("batch int, blob binary", batch=list(back), blob=[pack(np.concatenate(x, axis=1)) for x in back.values()])
 
     def finished(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -197,14 +200,6 @@ def find(docs: DataFrame, rule: Rule, out: str, finish: Callable[[Batch, list],
     return d.groupBy("batch").cogroup(late.groupBy("batch")).applyInArrow(finished, out)
 
 
-def _ids(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    order = np.lexsort((b, a))
-    new = np.concatenate([[True], (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)])[: len(a)]
-    out = np.empty(len(a), np.int64)
-    out[order] = np.cumsum(new)
-    return out
-
-
 def _earliest(cls: np.ndarray, key: np.ndarray, at: np.ndarray | None) -> np.ndarray:
     """Which have the least (key, at) of their class; ties all do."""
     if not len(cls):

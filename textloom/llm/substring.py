@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from . import bwt
 from .common import Batch, chunks, runs, table
-from .earlier import Rule, Units, covered, find
+from .earlier import HOT, Rule, Units, covered, find
 
 
-def dedup_bytes(docs: DataFrame, size: int = 100, gram: int = 24, with_text: bool = False, columns: tuple[str, ...] = ()) -> DataFrame:
+def dedup_bytes(docs: DataFrame, size: int = 100, gram: int = 24, with_text: bool = False, columns: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
     """Remove each byte that lies in a `size`-byte string which also starts earlier.
 
     Earlier: in a document with a smaller doc_id, or in the same document further left. Rows that share a doc_id are
@@ -43,7 +43,7 @@ def dedup_bytes(docs: DataFrame, size: int = 100, gram: int = 24, with_text: boo
         more = dict(zip(columns, b.more, strict=True)) | ({"k": b.k, "kept": kept} if with_text else {})
         return table(out, doc_id=b.id, n_bytes=[len(t) for t in b.texts], n_removed=removed, n_spans=spans, kept_sha256=sha, **more)
 
-    return find(docs, Rule(size, gram, False, True, bwt.classes), out, finish, *(F.col(c) for c in columns))
+    return find(docs, Rule(size, gram, False, True, bwt.classes, hot), out, finish, *(F.col(c) for c in columns))
 
 
 def word_classes(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -63,7 +63,7 @@ def word_classes(texts: list[bytes], size: int) -> list[np.ndarray]:
     return np.split(cls, np.cumsum(counts)[:-1]) if counts else []
 
 
-def dedup_words(docs: DataFrame, size: int = 13, gram: int = 5, with_text: bool = False) -> DataFrame:
+def dedup_words(docs: DataFrame, size: int = 13, gram: int = 5, with_text: bool = False, hot: int = HOT) -> DataFrame:
     """Remove each word that lies in a window of `size` words which also starts in a document of smaller doc_id.
 
     Words are maximal runs of bytes other than blanks and U+0009 to U+000D, unchanged. Rows that share a doc_id are one
@@ -94,5 +94,5 @@ def dedup_words(docs: DataFrame, size: int = 13, gram: int = 5, with_text: bool
                     texts.append(kept.decode())
         return table(out, doc_id=b.id, n_words=total, n_removed=removed, kept_sha256=sha, **({"kept": texts} if with_text else {}))
 
-    return find(docs, Rule(size, gram, True, False, word_classes), out, finish)
+    return find(docs, Rule(size, gram, True, False, word_classes, hot), out, finish)
 
