@@ -134,25 +134,42 @@ def brute_hits(docs, items, size=10):
 
 
 @pytest.mark.parametrize("block", [contamination.BLOCK, 1])
-def test_contamination_equals_brute_force(spark, tmp_path, block):
+def test_contamination_equals_brute_force(spark, block, monkeypatch):
+    from .test_substring import thue
+
+    monkeypatch.setattr(contamination, "STEP", 50)
     r = random.Random(6)
     v = ["a", "B", "c", "é", "d1", "the", "The"]
-    items = [(i, " ".join(r.choice(v) for _ in range(r.choice([0, 2, 5, 10, 14])))) for i in range(25)] + [(30, None), (31, ""), (None, "rare words"), (5, "the the the the")]
+    items = [(i, " ".join(r.choice(v) for _ in range(r.choice([0, 2, 5, 10, 14])))) for i in range(25)] + [(30, None), (31, ""), (None, "rare words"), (5, "the the the the"), (40, thue(10))]
     docs = [(i, " ".join(r.choice([r.choice(v), r.choice(items)[1] or "x"]) for _ in range(r.randint(0, 30))), "h", "w") for i in range(60)] + [(99, None, "h", "w"), (100, "", "h", "w"), (None, "rare, WORDS!", "h", "w"), (101, "a " * 3000, "h", "w")]
-    docs += [docs[3], docs[3]]
-    schema = "doc_id long, text string, n_hit string, batch string"
-    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "b"))
-    b = spark.read.parquet(str(tmp_path / "b"))
-    some = items if block > 1 else items
-    got = contamination.decontaminate(spark.createDataFrame(docs, schema), b, block=block if block > 1 else 1500).collect()
-    assert sorted(repr((g.row.doc_id, g.n_words, g.n_hit, g.n_items, g.items_sha256, g.contaminated)) for g in got) == sorted(map(repr, brute_hits(docs, some)))
-
-
-def test_proximity():
-    keys, first = contamination.terms([b"one two three four", b"four x x x one"])
-    wanted, ids = __import__("numpy").unique(contamination.terms([b"one four"])[0], return_inverse=True)
-    index = contamination.Index(keys, first, wanted, 11)
-    assert len(index.proximity(tuple(ids.tolist()), 3)) == 1 and len(index.proximity(tuple(ids.tolist()), 4)) == 2
+    docs += [docs[3], docs[3], (102, thue(10, 1), "h", "w"), (103, "x " + thue(10), "h", "w")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, n_hit string, key string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda got: sorted(repr((g.row.doc_id, g.n_words, g.n_hit, g.n_items, g.items_sha256, g.contaminated)) for g in got.collect())
+    assert rows(contamination.decontaminate(df, b, block=block)) == sorted(map(repr, brute_hits(docs, items)))
+    assert contamination.decontaminate(df.limit(0), b, block=block).collect() == []
+    assert rows(contamination.decontaminate(df, b.limit(0), block=-block)) == sorted(map(repr, brute_hits(docs, [])))
+
+
+@pytest.mark.parametrize("within", [1, 3, 6])
+def test_proximity_equals_brute_force(spark, within):
+    r = random.Random(within)
+    v = "one two three four five six".split()
+    docs = [(i, " ".join(r.choices(v, [1, 2, 4, 8, 16, 32], k=r.randint(0, 25)))) for i in range(40)] + [(77, None), (78, ""), (3, "One, FIVE six"), (3, "One, FIVE six")]
+    asked = [(0, "one five"), (1, "two one"), (2, "three"), (3, "six six four"), (4, "absent one"), (5, None), (6, "!")]
+    split = lambda t: re.findall("[a-z]+", (t or "").lower())
+    seen = {x: sum(x in split(t) for t in {t for _, t in docs}) for x in [*v, "absent"]}
+    want = []
+    for q, text in asked:
+        some = list(dict.fromkeys(split(text)))
+        for d, t in docs if some else ():
+            w = split(t)
+            rare = min(some, key=lambda x: (seen[x], some.index(x)))
+            got = [i for i, x in enumerate(w) if x == rare and all(any(y == z and abs(j - i) <= within for j, z in enumerate(w)) for y in some)]
+            want += [(q, d, got)] * bool(got)
+    df = spark.createDataFrame([(*d, "k") for d in docs], "doc_id long, text string, key string")
+    got = contamination.proximity(df, spark.createDataFrame(asked, "query_id int, text string"), within).collect()
+    assert sorted((x.query_id, x.row.doc_id, list(x.places)) for x in got) == sorted(want)
 
 
 def test_quality_on_held_out_labels(spark):

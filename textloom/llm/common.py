@@ -12,6 +12,7 @@ import gc
 import pickle
 import tempfile
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -173,6 +174,20 @@ def words(buf: np.ndarray, table: np.ndarray = _SPACE) -> tuple[np.ndarray, np.n
     return np.flatnonzero(d == 1), np.flatnonzero(d == -1)
 
 
+def coded(buf: np.ndarray, s: np.ndarray, e: np.ndarray, table: np.ndarray = _SPACE) -> tuple[np.ndarray, pa.Array]:
+    """The number of each word, and the words themselves by number: words that share a number are the same bytes."""
+    at = np.zeros(len(s) + 1, np.int32)
+    np.cumsum(e - s, out=at[1:])
+    packed = np.ascontiguousarray(buf[table[buf]])
+    got = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(at), pa.py_buffer(packed)]).dictionary_encode()
+    return got.indices.to_numpy(), got.dictionary
+
+
+def keyed(some: pa.Array) -> np.ndarray:
+    """A 64-bit key of each word: BLAKE2b of its bytes, so that no text can be built to collide."""
+    return np.frombuffer(b"".join(blake2b(w, digest_size=8).digest() for w in some.to_pylist()), U64)
+
+
 def chunks(texts: list[bytes], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of whole texts of about `most` bytes; a longer text stands alone."""
     lo = size = 0

@@ -1,10 +1,13 @@
-"""Benchmark decontamination with a positional inverted index, distributed by document.
+"""Benchmark decontamination with a positional inverted index.
 
-Every part of the training documents is indexed where it lies: for each term of the test items, the sorted places at
-which it occurs. A phrase is found by taking its rarest term's postings, shifted to where the phrase would begin, and
-intersecting them with the shifted postings of its other terms from rare to common; so most phrases end after one
-short list. Test items are sent to the parts only while they fit in `BLOCK` bytes; beyond that they are searched block
-by block. Terms that no test item has are never asked for and so have no postings.
+The index holds, for each term of the test items, the sorted places at which the training documents have it. A phrase is
+found from its rarest term's postings, shifted to where the phrase would begin; they are intersected with the shifted
+postings of its other terms, from rare to common. Terms that no test item has are never asked for and have no postings.
+
+There are two layouts of the index, with the same results. `postings` stores one row for each term and document, and
+`matches` joins them: any number of documents and items, exact phrases or terms near each other. Where the items fit in
+`BLOCK` bytes by their measured size, they go to the documents instead: each part of the documents is indexed where it
+lies, all phrases are looked up in it at once, and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -15,155 +18,206 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Prefix, binary, chunks, joined, plan_bytes, words
+from .common import binary, chunks, coded, joined, kept, words
+from .graph import salted
 
 SIZE = 10
-BLOCK = 32_000_000  #: bytes of test items searched at once
+BLOCK = 8_000_000  #: bytes of test items up to which they are sent to the documents
+STEP = 500_000  #: places that are looked up at once
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  #: of a lower-cased text
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FOUND = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all words, and each text's first word."""
+def terms(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The number of each word, the words by number, and each text's first word."""
     buf, start = joined([t.translate(FOLD) for t in texts])
     s, e = words(buf, _WORD)
-    return Prefix(buf).of(s, e), np.searchsorted(s, start)
+    return *coded(buf, s, e, _WORD), np.searchsorted(s, start)
+
+
+class Phrases:
+    """The different windows of the items: their terms, and which items have them."""
+
+    def __init__(self, items: list[tuple], size: int):
+        codes, names, first = terms([(t or "").encode() for _, t in items])
+        self.size, self.wanted = size, {w: i for i, w in enumerate(names.to_pylist())}
+        of: dict[tuple[int, ...], dict] = defaultdict(dict)
+        for (item, _), i, j in zip(items, first.tolist(), first[1:].tolist(), strict=False):
+            for k in range(i, max(i + 1, j - size + 1)):
+                if w := tuple(codes[k : min(k + size, j)].tolist()):
+                    of[w][str(item)] = None
+        self.items = [list(x) for x in of.values()]
+        self.terms = np.array([w + (-1,) * (size - len(w)) for w in of], np.int32).reshape(-1, size)
+        self.length = (self.terms >= 0).sum(1)
 
 
 class Index:
     """Postings of the wanted terms over some texts. Places of different texts are at least `gap` apart."""
 
-    def __init__(self, keys: np.ndarray, first: np.ndarray, wanted: np.ndarray, gap: int):
-        self.first, self.gap = first, gap
-        at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
-        hit = np.flatnonzero(wanted[at] == keys) if len(wanted) else np.zeros(0, np.int64)
-        text = np.searchsorted(first, hit, "right") - 1
-        order = np.argsort(at[hit], kind="stable")
-        self.places = (hit + text * gap)[order]
-        self.cut = np.searchsorted(at[hit][order], np.arange(len(wanted) + 1))
+    def __init__(self, texts: list[bytes], wanted: dict[bytes, int], gap: int):
+        codes, names, self.first = terms(texts)
+        self.gap, self.n = gap, len(codes)
+        term = np.array([wanted.get(w, -1) for w in names.to_pylist()], np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
+        hit = np.flatnonzero(term >= 0)
+        text = np.searchsorted(self.first, hit, "right") - 1
+        place, term = hit + text * gap, term[hit]
+        order = np.argsort(term, kind="stable")
+        self.places, term = place[order], term[order]
+        self.cut = np.searchsorted(term, np.arange(len(wanted) + 1))
+        self.span = self.n + len(texts) * gap + gap + 1
+        self.keys = term * self.span + self.places
 
     def postings(self, term: int) -> np.ndarray:
         return self.places[self.cut[term] : self.cut[term + 1]]
 
-    def phrase(self, phrase: tuple[int, ...]) -> np.ndarray:
-        """Places at which the terms follow each other."""
-        order = sorted(range(len(phrase)), key=lambda i: self.cut[phrase[i] + 1] - self.cut[phrase[i]])
-        start = self.postings(phrase[order[0]]) - order[0]
-        for i in order[1:]:
-            if not len(start):
-                break
-            start = start[_in(start + i, self.postings(phrase[i]))]
-        return start
-
-    def proximity(self, some: tuple[int, ...], within: int) -> np.ndarray:
-        """Places of the rarest term that have every other term at most `within` words away (within < gap)."""
-        order = sorted(set(some), key=lambda t: self.cut[t + 1] - self.cut[t])
-        got = self.postings(order[0])
-        for t in order[1:]:
-            p = self.postings(t)
-            got = got[np.searchsorted(p, got - within) < np.searchsorted(p, got + within, "right")]
-        return got
+    def has(self, term: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether each place is among the postings of its term."""
+        key = term * self.span + place
+        return self.keys[np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)] == key
+
+    def phrases(self, asked: Phrases) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Numbers of phrases and the places at which they begin."""
+        if not len(self.keys) or not len(asked.terms):
+            return
+        often = np.where(asked.terms >= 0, np.diff(self.cut)[asked.terms], np.iinfo(np.int64).max)
+        live = np.flatnonzero(often.min(1) > 0)
+        order = np.argsort(often[live], axis=1, kind="stable")  # rare terms first, absent ones last
+        count = often[live, order[:, 0]] if len(live) else np.zeros(0, np.int64)
+        edge = np.searchsorted(np.cumsum(count), np.arange(STEP, count.sum() + STEP, STEP), "right")
+        for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(live)], strict=True):
+            if lo == hi:
+                continue
+            n = count[lo:hi]
+            own = np.repeat(np.arange(lo, hi), n)
+            rarest = asked.terms[live[own], order[own, 0]]
+            at = self.places[self.cut[rarest] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)] - order[own, 0]
+            for k in range(1, asked.size):
+                i = order[own, k]
+                term = asked.terms[live[own], i].astype(np.int64)
+                ok = (term < 0) | self.has(term, at + i)
+                own, at = own[ok], at[ok]
+            yield live[own], at
 
     def text_and_word(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         text = np.searchsorted(self.first[:-1] + np.arange(len(self.first) - 1) * self.gap, place, "right") - 1
         return text, place - text * self.gap - self.first[text]
 
 
-def _in(x: np.ndarray, sorted_places: np.ndarray) -> np.ndarray:
-    if not len(sorted_places):
-        return np.zeros(len(x), bool)
-    return sorted_places[np.minimum(np.searchsorted(sorted_places, x), len(sorted_places) - 1)] == x
+def search(texts: list[bytes], asked: Phrases) -> Iterator[tuple[int, int, set]]:
+    """For each text: its number of words, how many are hit, and the items found."""
+    for lo, hi in chunks(texts, 2_000_000):
+        index = Index(texts[lo:hi], asked.wanted, asked.size + 1)
+        first = index.first
+        edges, items = np.zeros(index.n + 1, np.int64), defaultdict(set)
+        for own, at in index.phrases(asked):
+            text, word = index.text_and_word(at)
+            np.add.at(edges, word + first[text], 1)
+            np.add.at(edges, word + first[text] + asked.length[own], -1)
+            for t, p in np.unique(np.stack([text, own]), axis=1).T.tolist():
+                items[t].update(asked.items[p])
+        hit = np.concatenate([[0], np.cumsum(np.cumsum(edges[:-1]) > 0)])
+        for t in range(hi - lo):
+            yield int(first[t + 1] - first[t]), int(hit[first[t + 1]] - hit[first[t]]), items.get(t, set())
 
 
-def _phrases(items: list[tuple], size: int) -> tuple[np.ndarray, list[tuple[tuple[int, ...], list]]]:
-    """The wanted terms, and each different window with the items that have it."""
-    keys, first = terms([(t or "").encode() for _, t in items])
-    wanted, ids = np.unique(keys, return_inverse=True)
-    of: dict[tuple[int, ...], dict] = defaultdict(dict)
-    for (item, _), i, j in zip(items, first.tolist(), first[1:].tolist(), strict=False):
-        for k in range(i, max(i + 1, j - size + 1)):
-            if w := tuple(ids[k : min(k + size, j)].tolist()):
-                of[w][item] = None
-    return wanted, [(w, list(x)) for w, x in of.items()]
+# ---------------------------------------------------------------- the stored index
 
 
-def search(texts: list[bytes], wanted: np.ndarray, phrases: list, size: int) -> Iterator[tuple[int, int, np.ndarray, set]]:
-    """For each text: its number, its words, which of them are hit, and the items found."""
-    for lo, hi in chunks(texts, 2_000_000):
-        keys, first = terms(texts[lo:hi])
-        index = Index(keys, first, wanted, size + 1)
-        hits, items = np.zeros(len(keys) + 1, np.int64), defaultdict(set)
-        for phrase, own in phrases:
-            if len(got := index.phrase(phrase)):
-                text, word = index.text_and_word(got)
-                np.add.at(hits, word + first[text], 1)
-                np.add.at(hits, word + first[text] + len(phrase), -1)
-                for t in np.unique(text).tolist():
-                    items[t].update(own)
-        hit = np.cumsum(hits[:-1]) > 0
-        for t in range(hi - lo):
-            yield lo + t, int(first[t + 1] - first[t]), hit[first[t] : first[t + 1]], items.get(t, set())
+def split(text: Column) -> Column:
+    return F.regexp_extract_all(F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, UPPER.lower()), F.lit(WORD), F.lit(0))
+
+
+def postings(texts: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(term, key, places): the sorted places, from 0, at which the text of each key has the term.
+
+    texts has key and text; wanted (term) limits the terms. A null text has no terms."""
+    every = texts.select("key", F.posexplode(split(F.col("text"))).alias("place", "term"))
+    if wanted is not None:
+        every = every.join(wanted.select("term").distinct(), "term", "left_semi")
+    return every.groupBy("term", "key").agg(F.sort_array(F.collect_list("place")).alias("places"))
 
 
-def _row(n: int, hit: int, items: set) -> tuple:
-    names = sorted(str(x) for x in items)
-    return n, hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0
+def matches(index: DataFrame, asked: DataFrame, within: int | None = None) -> DataFrame:
+    """(phrase, key, places): where each text has each phrase, a string of terms with one blank between.
+
+    Without `within`, the terms follow each other and places are where they begin. With it, the terms may come in any
+    order, and places are those of the rarest term that have every other one at most `within` words away.
+    The rarest term by the number of texts picks the texts; only their postings of the other terms are read."""
+    term = asked.select("phrase").distinct().select("phrase", F.posexplode(F.split("phrase", " ")).alias("i", "term"))
+    often = index.groupBy("term").agg(F.count("key").alias("n"))
+    rare = term.join(often, "term", "left").groupBy("phrase").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "i", "term")).alias("rare"), F.count("i").alias("size"))
+    rare = rare.where("rare.n > 0").select("phrase", "size", F.col("rare.i").alias("rare"), "rare.term")
+    some = salted(index, rare, ["term"], F.col("key")).select("phrase", "size", "rare", "key", F.col("places").alias("own"))
+    other = some.join(term, "phrase").where("i != rare").join(index, ["key", "term"])
+    lists = other.groupBy("phrase", "key").agg(F.collect_list(F.struct("i", "places")).alias("lists"))
+    some = some.join(lists, ["phrase", "key"], "left").withColumn("lists", F.coalesce("lists", F.array().cast(lists.schema["lists"].dataType))).where("size(lists) = size - 1")
+    if within is None:
+        start = F.transform("own", lambda p: p - F.col("rare"))
+        got = F.aggregate("lists", start, lambda kept_, x: F.array_intersect(kept_, F.transform(x["places"], lambda p: p - x["i"])))
+    else:
+        got = F.filter("own", lambda p: F.forall("lists", lambda x: F.exists(x["places"], lambda q: F.abs(q - p) <= within)))
+    return some.select("phrase", "key", got.alias("places")).where("size(places) > 0")
+
+
+def windows(items: DataFrame, size: int) -> DataFrame:
+    """(item, phrase): each item's windows, or the item as a whole if it is shorter."""
+    w = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("None")).alias("item"), split(F.col("text")).alias("w")).where("size(w) > 0")
+    at = F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1))))
+    return w.select("item", "w", at.alias("at")).select("item", F.array_join(F.slice("w", F.col("at"), F.lit(size)), " ").alias("phrase")).distinct()
+
+
+def _stored(source: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
+    keyed = source.withColumn("key", F.sha2("text", 256))  # equal texts fare alike
+    asked = kept(windows(benchmark, size))
+    index = kept(postings(keyed.select("key", "text").dropDuplicates(["key"]), asked.select(F.explode(F.split("phrase", " ")).alias("term"))))
+    got = kept(matches(index, asked.select("phrase")))
+    cover = got.select("key", F.explode("places").alias("p"), F.size(F.split("phrase", " ")).alias("n")).select("key", F.explode(F.expr("sequence(p, p + n - 1)")).alias("p"))
+    hits = cover.groupBy("key").agg(F.countDistinct("p").alias("n_hit"))
+    items = got.join(asked, "phrase").select("key", "item").distinct().groupBy("key").agg(F.count("item").alias("n_items"), F.array_join(F.sort_array(F.collect_list("item")), ",").alias("items"))
+    x = salted(keyed, hits.join(items, "key"), ["key"], F.col("row.doc_id"), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return x.select("row", F.size(split(F.col("text"))).cast("long").alias("n_words"), zero("n_hit"), zero("n_items"), F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+
+
+def proximity(docs: DataFrame, queries: DataFrame, within: int) -> DataFrame:
+    """(query_id, row, places) of each query (query_id, text) and document: the places, from 0, of the query's rarest word
+    that have all its other words at most `within` words away. row is the document's whole row as a struct.
+
+    Words as in `decontaminate`. Nulls and texts without words find nothing; equal rows are found each."""
+    source = docs.select(F.struct("*").alias("row"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("key"), F.col("text").cast("string").alias("text"))
+    asked = queries.select("query_id", F.array_join(F.array_distinct(split(F.col("text"))), " ").alias("phrase")).where("phrase != ''")
+    index = kept(postings(source.select("key", "text").dropDuplicates(["key"]), asked.select(F.explode(F.split("phrase", " ")).alias("term"))))
+    got = kept(matches(index, asked, within))
+    few = got.join(asked, "phrase").select("query_id", "key", "places")
+    return salted(source.drop("text"), few, ["key"], F.col("row.doc_id")).select("query_id", "row", "places")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block: int = BLOCK) -> DataFrame:
     """(row, n_words, n_hit, n_items, items_sha256, contaminated): row is the document's whole row as a struct.
 
-    A-Z are lower-cased; words are runs of ASCII letters, digits and non-ASCII characters. A window is `size`
-    consecutive words of an item, or a shorter item as a whole; items and documents without words, and nulls, match
-    nothing. A null item_id counts as the text 'None'. Items that share an id count once. items_sha256 is the SHA-256
-    of the found item_ids as sorted strings joined by commas (of the empty string where none is found)."""
-    n = plan_bytes(benchmark) // block + 1
+    A-Z are lower-cased; words are runs of ASCII letters, digits and non-ASCII characters, compared as bytes. A window
+    is `size` consecutive words of an item, or a shorter item as a whole; items and documents without words, and nulls,
+    match nothing. A null item_id counts as the text 'None'. Items that share an id count once. items_sha256 is the
+    SHA-256 of the found item_ids as sorted strings joined by commas (of the empty string where none is found).
+    Equal rows fare alike; an empty table gives no rows, an empty benchmark finds nothing."""
     source = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    kind = source.schema["row"].dataType.simpleString()
-    names = [x.split()[0] for x in FOUND.split(", ")]
-
-    def run(part: DataFrame, finish, schema: str) -> DataFrame:
-        items = [tuple(r) for r in part.collect()]  # at most about `block` bytes
-        if not items:
-            items = [(None, None)]
-        wanted, phrases = _phrases(items, size)
-
-        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rb in batches:
-                got = [finish(*x[1:]) for x in search(binary(rb.column("text")), wanted, phrases, size)]
-                cols = list(zip(*got, strict=True)) if got else [[]] * (len(schema.split(", ")))
-                kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
-                arrays = [pa.array(list(c), kinds[x.split()[1]]) for c, x in zip(cols, schema.split(", "), strict=True)]
-                yield pa.RecordBatch.from_arrays([rb.column("row"), *arrays], ["row", *(x.split()[0] for x in schema.split(", "))])
-
-        return source.mapInArrow(f, f"row {kind}, {schema}")
-
-    ask = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
-    if n == 1:
-        return run(ask, lambda n_words, hit, items: _row(n_words, int(hit.sum()), items), FOUND)
-    # several blocks: what each finds in a document is united
-    import pickle
-
-    blocks = [run(ask.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i), lambda w, hit, items: (w, pickle.dumps((np.flatnonzero(hit), items))), "w long, got binary").withColumn("i", F.lit(i)) for i in range(n)]
-    every = blocks[0]
-    for b in blocks[1:]:
-        every = every.union(b)
-
-    def unite(group: pa.Table) -> pa.Table:
-        got = [pickle.loads(x) for x in group.column("got").to_pylist()]
-        row = _row(group.column("w")[0].as_py(), len(np.unique(np.concatenate([g[0] for g in got]))), set().union(*(g[1] for g in got)))
-        same = group.filter(pa.compute.equal(group.column("i"), 0))  # equal rows are in one group
-        out = {"row": same.column("row")}
-        for name, x in zip(names, row, strict=True):
-            out[name] = pa.array([x] * same.num_rows)
-        return pa.table(out)
-
-    return every.withColumn("key", F.xxhash64(F.to_json("row"))).groupBy("key").applyInArrow(unite, f"row {kind}, {FOUND}")
-
-
+    measured = benchmark.agg(F.sum(F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) + 16)).first()[0] or 0
+    if measured > block:
+        return _stored(source, benchmark, size)
+    asked = Phrases([tuple(r) for r in benchmark.select("item_id", F.col("text").cast("string")).collect()], size)  # at most `block` bytes
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            n, hit, names = zip(*search(binary(rb.column("text")), asked), strict=True) if rb.num_rows else ((), (), ())
+            names = [sorted(x) for x in names]
+            arrays = [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(map(len, names), pa.int64()), pa.array((hashlib.sha256(",".join(x).encode()).hexdigest() for x in names), pa.string()), pa.array((x > 0 for x in hit), pa.bool_())]
+            yield pa.RecordBatch.from_arrays([rb.column("row"), *arrays], ["row", *(x.split()[0] for x in FOUND.split(", "))])
+
+    return source.mapInArrow(f, f"row {source.schema['row'].dataType.simpleString()}, {FOUND}")
