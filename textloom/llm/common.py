@@ -242,17 +242,18 @@ def unpack_keys(planes: np.ndarray) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(U64).ravel(), dtype=U64)
 
 
-def send(batch: int, keys: np.ndarray, nb: int, count: np.ndarray) -> pa.Table:
-    """One row per bucket that has keys; keys are distinct and sorted."""
+def send(batch: int, keys: np.ndarray, nb: int, *counts: np.ndarray) -> pa.Table:
+    """One row per bucket that has keys; keys are distinct and sorted, each with one count or several."""
     cut = _ranges(keys, nb)
     full = np.flatnonzero(np.diff(cut))
-    return table(SENT, bucket=full, batch=np.full(len(full), batch), blob=[pack((pack_keys(keys[cut[b] : cut[b + 1]]), count[cut[b] : cut[b + 1]].astype(np.int32))) for b in full])
+    n = np.stack(counts).astype(np.int32)
+    return table(SENT, bucket=full, batch=np.full(len(full), batch), blob=[pack((pack_keys(keys[cut[b] : cut[b + 1]]), np.ascontiguousarray(n[:, cut[b] : cut[b + 1]]))) for b in full])
 
 
-def counted(sent: DataFrame, about: Callable[[np.ndarray, np.ndarray], object] | None = None) -> DataFrame:
+def counted(sent: DataFrame, about: Callable[..., object] | None = None) -> DataFrame:
     """Totals of each key over all batches: (bucket, batch, blob of totals in the order sent).
 
-    With `about`, a bucket adds a row of batch -1 that holds about(distinct keys, totals).
+    With `about`, a bucket adds a row of batch -1 that holds about(distinct keys, *totals).
 
     Entries of one key come once from each batch, so a bucket is bounded by its distinct keys times the batches that
     have them, and packed sorted runs are summed by one sort."""
@@ -260,28 +261,28 @@ def counted(sent: DataFrame, about: Callable[[np.ndarray, np.ndarray], object] |
     def total(group: pa.Table) -> pa.Table:
         blobs = [unpack(b) for b in group.column("blob").to_pylist()]
         keys = np.concatenate([unpack_keys(b[0]) for b in blobs])
-        n = np.concatenate([b[1] for b in blobs]).astype(np.int64)
+        n = np.concatenate([b[1] for b in blobs], axis=1)
         uniq, inv = np.unique(keys, return_inverse=True)
-        each = np.bincount(inv, n, len(uniq)).astype(np.int64)
-        got = each[inv]
-        cut = np.cumsum([0] + [len(b[1]) for b in blobs])
+        each = np.stack([np.bincount(inv, x, len(uniq)).astype(np.int64) for x in n])
+        got = each[:, inv]
+        cut = np.cumsum([0] + [b[1].shape[1] for b in blobs])
         kind = np.int32 if got.max(initial=0) < 2**31 else np.int64
-        back = [pack(got[i:j].astype(kind)) for i, j in zip(cut, cut[1:], strict=False)]
+        back = [pack(got[:, i:j].astype(kind)) for i, j in zip(cut, cut[1:], strict=False)]
         bucket, batch = group.column("bucket").to_pylist(), group.column("batch").to_pylist()
         if about:
-            bucket, batch, back = [*bucket, bucket[0]], [*batch, -1], [*back, pack(about(uniq, each))]
+            bucket, batch, back = [*bucket, bucket[0]], [*batch, -1], [*back, pack(about(uniq, *each))]
         return table(SENT, bucket=bucket, batch=batch, blob=back)
 
     return sent.groupBy("bucket").applyInArrow(total, SENT)
 
 
-def totals(keys: np.ndarray, nb: int, back: pa.Table) -> np.ndarray:
-    """The totals of a batch's distinct sorted keys, from what counted() sent back to it."""
+def totals(keys: np.ndarray, nb: int, back: pa.Table, counts: int = 1) -> np.ndarray:
+    """The totals of a batch's distinct sorted keys, from what counted() sent back to it; of several counts a row each."""
     cut = _ranges(keys, nb)
-    out = np.zeros(len(keys), np.int64)
+    out = np.zeros((counts, len(keys)), np.int64)
     for b, blob in zip(back.column("bucket").to_pylist(), back.column("blob").to_pylist(), strict=True):
-        out[cut[b] : cut[b + 1]] = unpack(blob)
-    return out
+        out[:, cut[b] : cut[b + 1]] = unpack(blob)
+    return out if counts > 1 else out[0]
 
 
 def release(df: DataFrame) -> None:

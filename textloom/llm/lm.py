@@ -2,9 +2,10 @@
 
 The model mixes maximum-likelihood estimates of the bigram, the unigram and the uniform order. The mixture weights
 depend on how often the context was seen (one set per power of two) and are learned by expectation-maximisation on
-deleted counts: each training token is held out in turn, so its own occurrence counts for nothing in the estimates that
-predict it. Counts cover every training document. Each batch sends each distinct word and word pair once, with its
-count, to the bucket of its hash; the totals come back to the batches that have it.
+held-out counts: of every five training documents about one is held out from the estimates that predict its tokens.
+The weights found so mix the estimates from all training documents. Each batch sends each distinct word and word pair
+once, with its counts, to the bucket of its key; the totals come back to the batches that have it. A word's key is 64
+bits of BLAKE2b, a pair's a hash of both keys: of n different words any two share one with probability n**2 / 2**65.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SENT, U64, Batch, Prefix, batched, chunks, counted, joined, mix, parts, send, settled, table, totals, unpack, words
+from .common import SENT, U64, Batch, batched, chunks, coded, counted, joined, keyed, mix, parts, send, settled, table, totals, unpack, words
 
 END, START = U64(0x1234567887654320), U64(0x0FEDCBA987654322)  #: keys of the end token and of the context before the first word
 STEP = 8  #: bins in a factor of two, for the EM's table of estimates
@@ -34,22 +35,27 @@ def _tokens(b: Batch, fold: bool = True):
         end = np.cumsum(n) - 1
         word = np.ones(len(key), bool)
         word[end] = False
-        key[word] = Prefix(buf).of(s, e) & ~U64(1)
+        code, names = coded(buf, s, e)
+        key[word] = (keyed(names) & ~U64(1))[code]
         key[end] = END
         before = np.concatenate([[START], key[:-1]])
         before[end - n + 1] = START
         yield lo, n, key, before, mix(before * U64(0x9E3779B97F4A7C15) + key) | U64(1)
 
 
-def _tables(b: Batch, train: np.ndarray):
-    """All tokens of the batch, its distinct keys, and how often each occurs in its training documents."""
+TRAIN, TUNE, HELD = 0, 1, 2  #: roles of documents: tuning ones are training ones too
+
+
+def _tables(b: Batch):
+    """All tokens of the batch, their documents' roles, its distinct keys, and how often each occurs in its training and
+    in its tuning documents."""
     got = list(_tokens(b))
     n, key, before, pair = (np.concatenate(x) for x in zip(*(g[1:] for g in got), strict=True))
-    seen = np.repeat(train, n)
+    role = np.repeat(np.array(b.more[0], np.int8), n)
     u, ui = np.unique(key, return_inverse=True)
     p, pi = np.unique(pair, return_inverse=True)
-    cu, cp = np.bincount(ui, seen, len(u)).astype(np.int64), np.bincount(pi, seen, len(p)).astype(np.int64)
-    return n, before, seen, u, ui, cu, p, pi, cp
+    count = lambda i, of: np.stack([np.bincount(i, flag, len(of)).astype(np.int64) for flag in (role != HELD, role == TUNE)])
+    return n, before, role, u, ui, count(ui, u), p, pi, count(pi, p)
 
 
 def _sorted(u, p, *more):
@@ -82,49 +88,51 @@ def learn(cells: list[tuple[int, int, int, int]], uniform: float, rounds: int =
     return out
 
 
-def score(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
+def score(docs: DataFrame, fold: int = 7, held: int = 2, tuning: int = 5) -> DataFrame:
     """Score every text; learn from the documents whose crc32(doc_id as text) mod `fold` isn't `held`.
 
+    Of those, the ones whose crc32 divided by `fold` leaves no remainder by `tuning` are held out to learn the weights.
     A null text is empty: its only token is the end. A null doc_id counts as the empty id. Equal rows get equal
     results. Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. If nothing is left to learn
-    from, N and V are 0: every token has base probability 1 and score 0."""
-    role = (F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(fold)) == held).alias("held")
+    from, N and V are 0: every token has base probability 1 and score 0; without tuning documents all orders weigh alike."""
+    crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    role = F.when(F.pmod(crc, F.lit(fold)) == held, HELD).when(F.pmod(F.floor(crc / fold), F.lit(tuning)) == 0, TUNE).otherwise(TRAIN)
     d, n = batched(docs, role)
     d = settled(d)  # three steps read the batches
     nb = parts(docs, 3_000_000, 48)
 
     def tell(group: pa.Table) -> pa.Table:
         b = Batch(group)
-        _, _, _, u, _, cu, p, _, cp = _tables(b, ~np.array(b.more[0], bool))
+        _, _, _, u, _, cu, p, _, cp = _tables(b)
         keys, order = _sorted(u, p)
-        return send(b.number, keys, nb, np.concatenate([cu, cp])[order])
+        return send(b.number, keys, nb, *np.concatenate([cu, cp], axis=1)[:, order])
 
-    def about(keys: np.ndarray, total: np.ndarray) -> tuple[int, int]:
+    def about(keys: np.ndarray, total: np.ndarray, tune: np.ndarray) -> tuple[int, int, int]:
         one = (keys & U64(1)) == 0
-        return int(total[one].sum()), int((total[one] > 0).sum())
+        return int(total[one].sum()), int((total[one] > 0).sum()), int(tune[one].sum())
 
     back = settled(counted(d.groupBy("batch").applyInArrow(tell, SENT), about).repartition(n, "batch"))
-    sums = back.where("batch = -1").mapInArrow(lambda it: (pa.RecordBatch.from_pydict(dict(zip("nv", ([unpack(x)[k] for x in rb.column("blob").to_pylist()] for k in (0, 1)), strict=True))) for rb in it), "n long, v long")
-    big_n, big_v = (int(x or 0) for x in sums.agg(F.sum("n"), F.sum("v")).first())
+    sums = back.where("batch = -1").mapInArrow(lambda it: (pa.RecordBatch.from_pydict(dict(zip("nvt", ([unpack(x)[k] for x in rb.column("blob").to_pylist()] for k in range(3)), strict=True))) for rb in it), "n long, v long, t long")
+    big_n, big_v, tuned = (int(x or 0) for x in sums.agg(F.sum("n"), F.sum("v"), F.sum("t")).first())
     back = back.where("batch >= 0")
 
     def estimates(b: Batch, right: pa.Table):
-        train = ~np.array(b.more[0], bool)
-        n, before, seen, u, ui, _, p, pi, _ = _tables(b, train)
+        """Tokens per text, roles, and for each token the counts of itself, its context and its pair: in all training
+        documents, and in the tuning ones among them."""
+        n, before, role, u, ui, _, p, pi, _ = _tables(b)
         keys, order = _sorted(u, p)
-        got = np.empty(len(keys), np.int64)
-        got[order] = totals(keys, nb, right)
-        cu, cp = got[: len(u)], got[len(u) :]
+        got = np.empty((2, len(keys)), np.int64)
+        got[:, order] = totals(keys, nb, right, 2)
+        cu, cp = got[:, : len(u)], got[:, len(u) :]
         at = np.minimum(np.searchsorted(u, before), len(u) - 1)
-        ctx = np.where(u[at] == before, cu[at], 0)
-        ends = cu[np.searchsorted(u, END)]
-        ctx[before == START] = ends  # as often as a document ends
-        return n, seen, cu[ui], ctx, cp[pi]
+        ctx = np.where(u[at] == before, cu[:, at], 0)
+        ctx[:, before == START] = cu[:, [np.searchsorted(u, END)]]  # as often as a document ends
+        return n, role, cu[:, ui], ctx, cp[:, pi]
 
     def cells(left: pa.Table, right: pa.Table) -> pa.Table:
-        _, seen, c1, cv, c2 = estimates(Batch(left), right)
-        c1, cv, c2 = c1[seen], cv[seen] - 1, c2[seen]
-        x = np.stack([_bucket(cv), _quantum((c2 - 1) / np.maximum(cv, 1)), _quantum((c1 - 1) / max(big_n - 1, 1))])
+        _, role, *counts = estimates(Batch(left), right)
+        c1, cv, c2 = (c[0, role == TUNE] - c[1, role == TUNE] for c in counts)
+        x = np.stack([_bucket(cv), _quantum(c2 / np.maximum(cv, 1)), _quantum(c1 / max(big_n - tuned, 1))])
         x, c = np.unique(x[0] << 40 | x[1] << 20 | x[2], return_counts=True)
         return table("b long, p2 long, p1 long, c long", b=x >> 40, p2=(x >> 20) & 0xFFFFF, p1=x & 0xFFFFF, c=c)
 
@@ -134,13 +142,15 @@ def score(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         b = Batch(left)
-        n, _, c1, cv, c2 = estimates(b, right)
+        n, _, *counts = estimates(b, right)
+        c1, cv, c2 = (c[0] for c in counts)
         first = np.cumsum(n) - n
         add = lambda x: np.add.reduceat(x, first)
         w = weight[_bucket(cv)]
         p = w[:, 0] * c2 / np.maximum(cv, 1) + w[:, 1] * c1 / max(big_n, 1) + w[:, 2] / (big_v + 1)
         base = add(np.log10((c1 + 1) / (big_n + big_v + 1)))
-        return table(OUT, doc_id=b.id, held_out=b.more[0], n_tokens=n, n_known=add((c1 > 0).astype(np.int64)), train_tokens=np.full(len(n), big_n), base_score=base, score=add(np.log10(p)) if big_n else np.zeros(len(n)))
+        held_ = [r == HELD for r in b.more[0]]
+        return table(OUT, doc_id=b.id, held_out=held_, n_tokens=n, n_known=add((c1 > 0).astype(np.int64)), train_tokens=np.full(len(n), big_n), base_score=base, score=add(np.log10(p)) if big_n else np.zeros(len(n)))
 
     return d.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(scored, OUT)
 
