@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from textloom.llm.bwt import Shard, classes, intervals, merge
+from textloom.llm.bwt import build, classes, intervals, merge
 from textloom.llm.substring import dedup_bytes, dedup_words, word_classes
 
 SCHEMA = "doc_id long, text string, batch string, k string"  # extra columns with names used inside
@@ -94,8 +94,8 @@ def test_windows_are_compared_themselves(spark):
 def test_common_prefixes():
     r = random.Random(6)
     raw = [bytes(r.choice(b"abc") for _ in range(n)) for n in (70, 300, 10, 200)]
-    shards = [Shard(np.frombuffer(t + bytes(20), np.uint8), 20) for t in raw]
-    z, common = merge(shards)
+    shards, symbols = build([np.frombuffer(t + bytes(20), np.uint8) for t in raw], 20)
+    z, common = merge(shards, symbols, 20)
     at, suffixes = [0] * len(shards), []
     for i in z.tolist():  # the interleave read back
         s, t = shards[i], raw[i] + bytes(20)
@@ -104,7 +104,7 @@ def test_common_prefixes():
     assert suffixes == sorted(suffixes)
     for a, b, n in zip(suffixes, suffixes[1:], common[1:].tolist()):
         real = next((i for i in range(20) if a[i] != b[i]), 20)
-        assert n == 20 if real == 20 else n <= real < n + 8
+        assert n == 20 if real == 20 else n <= real < n + 16
     assert len(set(intervals(common, 20).tolist())) == len(set(suffixes))
 
 
@@ -116,7 +116,7 @@ def test_empty_table(spark):
 def test_merged_transforms_class_equal_windows():
     r = random.Random(5)
     texts = [bytes(r.choice(b"ab") for _ in range(r.randint(0, 90))) for _ in range(80)] + [b"ab" * 50, b"a" * 77]
-    for depth in (8, 12, 27):
+    for depth in (5, 8, 12, 16, 27, 32, 47):
         got = classes(texts, depth, shard_bytes=500)
         seen, back = {}, {}
         for t, c in zip(texts, got):

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from .common import SENT, U64, Batch, Prefix, batched, chunks, counted, joined, mix, pack, parts, send, table, totals, unpack, words
+from .common import SENT, U64, Batch, Prefix, batched, chunks, counted, distinct, joined, mix, pack, parts, send, table, totals, unpack, words
 
 
 HOT = 2000
@@ -139,7 +139,7 @@ def find(docs: DataFrame, rule: Rule, out: str, finish: Callable[[Batch, list],
         runs = []
         for lo, _, u in _parts(b, rule):
             runs.append((lo, u, *_runs(u, rule, Prefix(u.buf))))
-        keys = np.unique(np.concatenate([*(r[4] for r in runs), np.zeros(0, U64)]))
+        keys = distinct(np.concatenate([*(r[4] for r in runs), np.zeros(0, U64)]))
         total = totals(keys, nb, right)
         done: list[np.ndarray] = []
         ids: dict[bytes, int] = {}
