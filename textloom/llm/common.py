@@ -54,20 +54,28 @@ def row_key(*cols: str) -> Column:
 
 
 class Batch:
-    """A batch's documents ordered by k, which identifies a row by its id and text: equal rows share it, and every result.
+    """A batch's documents ordered by k (a hash of id and text), id and text: equal rows follow each other and share every result.
 
-    doc is the id as an order key, id the id itself, texts are UTF-8 bytes, more holds the further columns asked for."""
+    doc is the id as an order key, id the id itself, texts are UTF-8 bytes, more holds the further columns asked for.
+    node numbers the different rows: the batch in the upper half, the row's place among them in the lower."""
 
     def __init__(self, group: pa.Table):
         self.number = int(group.column("batch")[0].as_py())
         got = [unpack(x) for x in group.column("blob").to_pylist()]
         k = np.concatenate([x[0] for x in got])
-        order = np.argsort(k, kind="stable")
-        self.k, self.doc = k[order], np.concatenate([x[1] for x in got])[order]
+        doc = np.concatenate([x[1] for x in got])
         texts, more = [t for x in got for t in x[2]], [[v for x in got for v in x[3][c]] for c in range(len(got[0][3]))]
+        order = np.lexsort((doc, k))
+        for i, j in zip(*runs(np.diff(k[order]) == 0), strict=True):  # rows of one hash, mostly equal ones
+            order[i : j + 1] = sorted(order[i : j + 1].tolist(), key=lambda r: (doc[r], texts[r]))
+        self.k, self.doc = k[order], doc[order]
         self.texts = [texts[i] for i in order]
         self.more = [[m[i] for i in order] for m in more]
         self.id = [None if x == LAST else x for x in self.doc.tolist()]
+        new = np.concatenate([[True], (np.diff(self.k) != 0) | (np.diff(self.doc) != 0)])[: len(k)]
+        for i in np.flatnonzero(~new).tolist():
+            new[i] = self.texts[i] != self.texts[i - 1]
+        self.node = (self.number << 32) + np.cumsum(new)
 
 
 def batched(docs: DataFrame, *more: Column, each: int = 4_000_000) -> tuple[DataFrame, int]:

@@ -7,14 +7,17 @@ candidates' similarity is then computed from all their shingles. Equal texts are
 
 Within a band's bucket all texts are first compared with one leader, the text that meets most others in all bands: of
 copies with edits that is mostly the original. What the leaders' links don't unite is looked at again: texts of one
-bucket that are in different components, and whose samples agree well enough, are compared in blocks, until they are
-in one component or all such pairs are done. So no class that a band proposes is split, a bucket of copies costs one
-comparison each, and no pairs are emitted but those that are linked.
+bucket that are in different components are compared in blocks, until they are in one component or all such pairs are
+done. Left out are only pairs that can't be alike: by their total weights, or because even if all weight that their
+shingles have in each of 128 ranges of hashes were shared, they would stay below the threshold. Texts of a bucket's
+largest component aren't compared with each other, so a bucket of copies costs few comparisons each. No class that a
+band proposes is split, and no pairs are emitted but those that are linked.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ from .graph import components, salted
 
 BANDS, ROWS, WORDS, LIKE = 12, 4, 5, 0.8
 BLOCK = 250  #: texts of a bucket that meet at once in the second look
-AGREE = 0.57  #: share of equal samples below which two texts aren't compared: four deviations under 0.8
+BINS = 128  #: ranges of hashes whose weights bound a pair's similarity
 
 
 def _gamma_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -148,9 +151,23 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(least / (a[1].sum(dtype=np.float64) + b[1].sum(dtype=np.float64) - least))
 
 
+def binned(text: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's total weight, and the share of it in each range of hashes, rounded up to 65535ths."""
+    got = np.bincount(text * BINS + (h >> U64(57)).astype(np.int64), w, n * BINS).reshape(n, BINS)
+    total = got.sum(1)
+    return total, np.ceil(got / np.maximum(total, 1e-30)[:, None] * 65535).astype(np.uint16)
+
+
+def bound(weight: np.ndarray, bins: np.ndarray, i: int, js: np.ndarray) -> np.ndarray:
+    """What the similarity of text i and each of the others is at most."""
+    most = np.minimum(bins[js] * (weight[js] / 65535)[:, None], bins[i] * (weight[i] / 65535)).sum(1)
+    most = np.minimum(most, np.minimum(weight[js], weight[i]))
+    return most / (weight[js] + weight[i] - most)
+
+
 def near_duplicates(docs: DataFrame, like: float = LIKE) -> DataFrame:
     """One row per document: doc_id, class_id (the least doc_id of its class), first (whether it is its class's document
-    of least id), k (xxhash64 of doc_id and text).
+    of least id), same (the first 16 bytes of its text's SHA-256; with doc_id, it says which rows are meant).
 
     Null texts are empty; texts without words match only equal texts. Equal rows share everything but are one document,
     so each of them is `first` where one is. A null doc_id comes after all others."""
@@ -168,7 +185,7 @@ def near_duplicates(docs: DataFrame, like: float = LIKE) -> DataFrame:
 
     def sketched(left: pa.Table, right: pa.Table) -> pa.Table:
         b = Batch(left)
-        bands, samples = [], []
+        bands, weight, bins = [], [], []
         for own, text, h, w in _shingles(b, right, many, nb):
             s = _samples(text, h, w, len(own))
             got = np.zeros((len(own), BANDS), U64)
@@ -177,16 +194,18 @@ def near_duplicates(docs: DataFrame, like: float = LIKE) -> DataFrame:
                 for j in range(ROWS):
                     x = mix(x * U64(31) + s[:, i * ROWS + j])
                 got[:, i] = x
-            samples += [x.tobytes() for x in (s >> U64(32)).astype(np.uint32)]
+            total, share = binned(text, h, w, len(own))
+            weight += total.tolist()
+            bins += [x.tobytes() for x in share]
             some = np.zeros(len(own), bool)
             some[text] = True
             bands += [x if y else [] for x, y in zip(got.view(np.int64).tolist(), some.tolist(), strict=True)]
-        t = table("k long, doc long, same binary", k=b.k, doc=b.doc, same=[hashlib.sha256(x).digest()[:16] for x in b.texts])
-        return t.append_column("bands", pa.array(bands, pa.list_(pa.int64()))).append_column("samples", pa.array(samples, pa.binary()))
+        t = table("k long, doc long, same binary, weight double, bins binary", k=b.node, doc=b.doc, same=[hashlib.sha256(x).digest()[:16] for x in b.texts], weight=weight, bins=bins)
+        return t.append_column("bands", pa.array(bands, pa.list_(pa.int64())))
 
-    sketch = kept(d.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(sketched, "k long, doc long, same binary, bands array<long>, samples binary"))
-    own = sketch.groupBy("same").agg(F.min(F.struct("doc", "k")).alias("x"), F.first("bands").alias("bands"), F.first("samples").alias("samples"))
-    texts = kept(own.select("same", "x.doc", "x.k", "bands", "samples"))
+    sketch = kept(d.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(sketched, "k long, doc long, same binary, weight double, bins binary, bands array<long>"))
+    own = sketch.groupBy("same").agg(F.min(F.struct("doc", "k")).alias("x"), *(F.first(c).alias(c) for c in ("bands", "weight", "bins")))
+    texts = kept(own.select("same", "x.doc", "x.k", "bands", "weight", "bins"))
     rows = texts.select("k", F.explode("bands").alias("band"))
     rows = kept(salted(rows, rows.groupBy("band").agg(F.count("k").alias("n")).where("n > 1"), ["band"], F.col("k")))
     met = rows.groupBy("k").agg(F.sum("n").alias("met"))
@@ -199,18 +218,18 @@ def near_duplicates(docs: DataFrame, like: float = LIKE) -> DataFrame:
         if not asked or not left.num_rows:
             return table("k long, blob binary", k=[], blob=[])
         b, right = Batch(left), right.filter(pa.compute.is_valid(right.column("blob")))
-        first = {k: i for i, k in reversed(list(enumerate(b.k.tolist()))) if k in asked}
+        first = {k: i for i, k in reversed(list(enumerate(b.node.tolist()))) if k in asked}
         ks, blobs = [], []
         for own, text, h, w in _shingles(b, right, many, nb, np.array(sorted(first.values()), np.int64)):
             cut = np.searchsorted(text, np.arange(len(own) + 1))
-            for i, k in enumerate(b.k[own].tolist()):
+            for i, k in enumerate(b.node[own].tolist()):
                 ks.append(k)
                 blobs.append(pack((h[cut[i] : cut[i + 1]], w[cut[i] : cut[i + 1]])))
         return table("k long, blob binary", k=ks, blob=blobs)
 
     def shingles(asked: DataFrame) -> DataFrame:
         """(k, blob of hashes and weights) of each k asked for."""
-        asked = asked.distinct().select(F.pmod("k", F.lit(n)).cast("int").alias("batch"), "k")
+        asked = asked.distinct().select(F.shiftright("k", 32).cast("int").alias("batch"), "k")
         asked = asked.groupBy("batch").agg(F.collect_list("k").alias("ks"))  # at most a batch's documents
         right = back.withColumn("ks", F.lit(None).cast("array<long>")).unionByName(asked, allowMissingColumns=True)
         return kept(d.groupBy("batch").cogroup(right.groupBy("batch")).applyInArrow(features, "k long, blob binary"))
@@ -238,25 +257,36 @@ def near_duplicates(docs: DataFrame, like: float = LIKE) -> DataFrame:
     # a second look at buckets that hold several components
     root = components(links)
     own = texts.select("k", F.posexplode("bands").alias("i", "band")).join(root.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    split = own.groupBy("band").agg(F.count("k").alias("n"), (F.min("root") != F.max("root")).alias("split")).where("n > 1 and split").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("n"))
-    part = salted(own, split, ["band"], F.col("k")).join(texts.select("k", "bands", "samples"), "k").withColumn("block", F.pmod(F.xxhash64("k"), F.col("n")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
-    part = part.select("k", "root", "samples", "i", "band", "bands", "block", other).select("*", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).drop("other")
-    look = "k long, root long, samples binary, i int, band long, bands array<long>, block int, lo int, hi int"
+    split = own.groupBy("band", "root").agg(F.count("k").alias("n")).groupBy("band").agg(F.max(F.struct("n", "root")).alias("top"), F.count("root").alias("roots"))
+    split = split.where("roots > 1").select("band", F.col("top.root").alias("top"))
+    # a class of weights holds those within a factor; texts of classes further apart can't be alike
+    part = salted(own, split, ["band"], F.col("k")).join(texts.select("k", "bands", "weight", "bins"), "k").select(
+        "*", F.floor(F.log("weight") / F.lit(-1.001 * math.log(like))).cast("int").alias("class"), (F.col("root") != F.col("top")).alias("minor")
+    )
+    sizes = kept(part.groupBy("band", "class", "minor").agg(F.ceil(F.count("k") / BLOCK).cast("int").alias("n")))
+    place = lambda c, m, i: (F.col(c) + 10_000) * F.lit(2 << 32) + F.col(m).cast("long") * F.lit(1 << 32) + i
+    part = salted(part, sizes, ["band", "class", "minor"], F.col("k")).withColumn("block", place("class", "minor", F.pmod(F.xxhash64("k"), F.col("n")))).drop("n", "top")
+    other = sizes.select("band", F.explode(F.sequence(F.col("class") - 1, F.col("class") + 1)).alias("class"), F.col("class").alias("of"), F.col("minor").alias("m"), "n")
+    part = salted(part, other, ["band", "class"], F.col("k")).where("minor or m").select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j")).withColumn("other", place("of", "m", F.col("j")))
+    part = part.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    look = "k long, root long, weight double, bins binary, i int, band long, bands array<long>, block long, lo long, hi long"
+    part = part.select(*(x.split()[0] for x in look.split(", ")))
 
     def pairing(group: pa.Table):
         """For each text but the last: the later ones worth a comparison that no earlier band and no other block pair makes."""
-        s = np.frombuffer(b"".join(group.column("samples").to_pylist()), np.uint32).reshape(group.num_rows, -1)
+        bins = np.frombuffer(b"".join(group.column("bins").to_pylist()), np.uint16).reshape(group.num_rows, -1)
         bands = np.array(group.column("bands").to_pylist(), np.int64)
-        at, root, block = group.column("i").to_numpy(), group.column("root").to_numpy(), group.column("block").to_numpy()
+        at, root, block, weight = (group.column(c).to_numpy() for c in ("i", "root", "block", "weight"))
         cross = group.column("lo")[0].as_py() != group.column("hi")[0].as_py()
         for i in range(group.num_rows - 1):
-            ok = (root[i + 1 :] != root[i]) & ((s[i + 1 :] == s[i]).sum(1) >= AGREE * s.shape[1])
+            ok = root[i + 1 :] != root[i]
             if cross:
                 ok &= block[i + 1 :] != block[i]
             ok &= ~(bands[i + 1 :, : at[i]] == bands[i, : at[i]]).any(1)
-            if ok.any():
-                yield i, i + 1 + np.flatnonzero(ok)
+            js = i + 1 + np.flatnonzero(ok)
+            js = js[bound(weight, bins, i, js) >= like - 1e-6]
+            if len(js):
+                yield i, js
 
     def worth(group: pa.Table) -> pa.Table:
         use = np.zeros(group.num_rows, bool)
@@ -301,5 +331,5 @@ def near_duplicates(docs: DataFrame, like: float = LIKE) -> DataFrame:
     named = kept(salted(named, least, ["root"], F.col("k")).select("same", "least"))
     real = lambda c: F.when(F.col(c) != int(np.iinfo(np.int64).max), F.col(c))
     return sketch.select("k", "doc", "same").join(named, "same").select(
-        real("doc").alias("doc_id"), real("least.doc").alias("class_id"), (F.struct("doc", "k") == F.col("least")).alias("first"), "k"
+        real("doc").alias("doc_id"), real("least.doc").alias("class_id"), (F.struct("doc", "k") == F.col("least")).alias("first"), "same"
     )

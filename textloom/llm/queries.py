@@ -46,7 +46,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.near_duplicates(_read(spark, sf_dir, "documents")).drop("k")
+    return near.near_duplicates(_read(spark, sf_dir, "documents")).drop("same")
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
