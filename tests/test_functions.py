@@ -1,8 +1,10 @@
 """Golden cases of single functions."""
 
+import random
 import unicodedata
 
 import pytest
+import regex
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -41,9 +43,69 @@ def test_splits(spark, text, f, want):
     assert one(spark, text, lambda x: P.values(f(P.as_pieces(x)))) == want
 
 
+def brute_split(text, pattern, mode, invert, most):
+    """By one scan of the matches."""
+    if not text:
+        return [""]
+    parts, at = [], 0
+    for m in regex.finditer(pattern, text):
+        parts += [(text[at : m.start()], False)] * (m.start() > at) + [(m[0], True)]
+        at = m.end()
+    parts += [(text[at:], False)] * (at < len(text))
+    out, begin, run = [], 0, []  # pieces as (start, end)
+    for s, hit in parts:
+        end = begin + len(s)
+        if mode == "remove":
+            out += [(begin, end)] * (hit == invert)
+        elif mode == "isolate":
+            out.append((begin, end))
+        elif mode == "contiguous":
+            if hit and run and run[-1]:
+                out[-1] = (out[-1][0], end)
+            else:
+                out.append((begin, end))
+        else:
+            ends = hit != invert  # such a part ends (begins) a piece
+            glue = bool(run) and (not run[-1] if mode == "mergedwithprevious" else not ends)
+            if glue:
+                out[-1] = (out[-1][0], end)
+            else:
+                out.append((begin, end))
+            run.append(ends)
+            begin = end
+            continue
+        run.append(hit)
+        begin = end
+    if 0 < most <= len(out):
+        out = [*out[: most - 1], (out[most - 1][0], len(text))]
+    return [text[i:j] for i, j in out]
+
+
+@pytest.mark.parametrize("pattern", ["ab", ", ", "a+", "ab|b", "[ab]", r"\s+", "a(?=b)", "(?<=a)b", "aba|é+"])
+def test_splits_equal_brute_force(spark, pattern):
+    r = random.Random(pattern)
+    texts = ["", "xabyabz", "one, two", "ab", "abab", "é", ", , "] + ["".join(r.choice("aabb, é") for _ in range(r.randint(1, 14))) for _ in range(150)]
+    how = [(m, i, n) for m in P.MODES for i in (False, True) for n in (-1, 1, 2, 3)]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    got = df.select("x", *[P.split_strings(F.col("x"), pattern, *h).alias(f"y{k}") for k, h in enumerate(how)]).collect()
+    for row in got:
+        for k, h in enumerate(how):
+            if h[1] and h[0].startswith("merged"):
+                continue  # below
+            assert row[f"y{k}"] == brute_split(row.x, pattern, *h), (row.x, pattern, h)
+    for row in got:  # inverted merges: nothing is lost, and a gap and a match meet only on the one side
+        for k, (mode, invert, most) in enumerate(how):
+            if invert and mode.startswith("merged"):
+                assert "".join(row[f"y{k}"]) == row.x and (most < 0 or len(row[f"y{k}"]) <= most)
+
+
 def test_long_text_does_not_recurse(spark):
     assert one(spark, "ab " * 100_000, lambda x: F.size(P.bert_split(P.as_pieces(x)))) == 100_000
     assert one(spark, "x" * 300_000, lambda x: F.size(P.byte_level_split(P.as_pieces(x)))) == 1
+    for mode in P.MODES:
+        for invert in (False, True):
+            assert one(spark, "ab, " * 50_000, lambda x: F.size(P.split_strings(x, ", |b", mode, invert))) > 0
+            assert one(spark, "b" * 200_000, lambda x: F.size(P.split_strings(x, "b", mode, invert, 3))) <= 3
 
 
 def test_special_tokens(spark):

@@ -45,37 +45,37 @@ def split_strings(x: Column, pattern: str, mode: str = "isolate", invert: bool =
     """array<string>: the text cut at the matches of the pattern.
 
     remove: the gaps (inverted: the matches). isolate: both. contiguous: as isolate, with neighbouring matches as one.
-    mergedwithprevious: each match ends a piece. mergedwithnext: each match begins one. Pieces are never empty; an empty
-    text is one empty piece. most: at most so many pieces, the last goes on to the end of the text."""
+    mergedwithprevious: each match ends a piece. mergedwithnext: each match begins one. Inverted, the last two take gaps
+    for matches. Pieces are never empty; an empty text is one empty piece. most: at most so many pieces, the last goes on
+    to the end of the text."""
     if mode not in MODES:
         raise ValueError(f"mode is one of {', '.join(MODES)}")
     if most != -1 and most < 1:
         raise ValueError("most is -1 or at least 1")
     if can_be_empty(pattern):
         raise ValueError(f"the pattern matches the empty text: {pattern}")
-    p = to_java(pattern)
+    p = f"(?:{to_java(pattern)})"
+    # possessive repeats: without them Java would recurse for every character
+    gap = f"(?:(?!{p})(?s:.))++"
     if mode == "contiguous":
-        p, mode = (p if pattern.endswith("+") else f"(?:{p})+"), "isolate"
-    gap = f"(?:(?!{p})(?s:.))"  # possessive repeats below: without them Java would recurse for every character
+        p = f"{p}++"
     found = {
-        ("remove", True): p,
-        ("remove", False): f"{gap}++",
-        "isolate": f"(?:{p})|{gap}++",
-        "mergedwithprevious": f"{gap}*+(?:{p})|{gap}++",
-        "mergedwithnext": f"(?:{p}){gap}*+|{gap}++",
-    }[(mode, invert) if mode == "remove" else mode]
-    got = F.regexp_extract_all(x, F.lit(found), F.lit(0))
+        ("remove", True): p, ("isolate", False): f"{p}|{gap}", ("mergedwithprevious", False): f"(?:{gap})?+{p}|{gap}", ("mergedwithnext", False): f"{p}(?:{gap})?+|{gap}",
+        ("mergedwithprevious", True): f"{p}*+{gap}|{p}++", ("mergedwithnext", True): f"{gap}{p}*+|{p}++",
+    }
+    if mode == "remove" and not invert:
+        # Java's own split goes from match to match; a gap found by itself could begin within a match
+        got = F.filter(F.split(x, p, -1), lambda s: s != "")
+        before = f"\\A{p}*+(?:{gap}{p}++){{{most - 1}}}+"
+    else:
+        got = F.regexp_extract_all(x, F.lit(found["isolate" if mode == "contiguous" else mode, invert and mode not in ("isolate", "contiguous")]), F.lit(0))
+        before = f"\\A(?:(?:{gap})?+{p}){{{most - 1}}}+(?:{gap})?+"
     if most > 0:
-        if mode == "remove" and not invert:
-            got = F.split(F.regexp_replace(x, F.lit(f"^(?:{p})+"), F.lit("")), f"(?:{p})+", most)
-            got = F.filter(got, lambda s: s != "")
-        elif mode == "remove":
-            at = F.slice(got, 1, most - 1)
-            skip = f"^(?:{gap}*+(?:{p})){{{most - 1}}}{gap}*+"
-            got = F.when(F.size(got) > most, F.concat(at, F.array(F.regexp_replace(x, F.lit(skip), F.lit(""))))).otherwise(got)
+        if mode == "remove":  # what lies between the pieces is gone, so the last one is cut from the text
+            last = F.regexp_replace(x, F.lit(before), F.lit(""))
         else:
-            rest = F.array_join(F.slice(got, F.lit(most), F.greatest(F.size(got), F.lit(1))), "")
-            got = F.when(F.size(got) > most, F.concat(F.slice(got, 1, most - 1), F.array(rest))).otherwise(got)
+            last = F.array_join(F.slice(got, F.lit(most), F.greatest(F.size(got), F.lit(1))), "")
+        got = F.when(F.size(got) >= most, F.concat(F.slice(got, 1, most - 1), F.array(last))).otherwise(got)
     return F.when(x == "", F.array(F.lit(""))).otherwise(got)
 
 
