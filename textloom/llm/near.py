@@ -17,7 +17,6 @@ band proposes is split, and no pairs are emitted but those that are linked.
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -257,19 +256,16 @@ def near_duplicates(docs: DataFrame, like: float = LIKE) -> DataFrame:
     # a second look at buckets that hold several components
     root = components(links)
     own = texts.select("k", F.posexplode("bands").alias("i", "band")).join(root.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    split = own.groupBy("band", "root").agg(F.count("k").alias("n")).groupBy("band").agg(F.max(F.struct("n", "root")).alias("top"), F.count("root").alias("roots"))
-    split = split.where("roots > 1").select("band", F.col("top.root").alias("top"))
-    # a class of weights holds those within a factor; texts of classes further apart can't be alike
-    part = salted(own, split, ["band"], F.col("k")).join(texts.select("k", "bands", "weight", "bins"), "k").select(
-        "*", F.floor(F.log("weight") / F.lit(-1.001 * math.log(like))).cast("int").alias("class"), (F.col("root") != F.col("top")).alias("minor")
-    )
-    sizes = kept(part.groupBy("band", "class", "minor").agg(F.ceil(F.count("k") / BLOCK).cast("int").alias("n")))
-    place = lambda c, m, i: (F.col(c) + 10_000) * F.lit(2 << 32) + F.col(m).cast("long") * F.lit(1 << 32) + i
-    part = salted(part, sizes, ["band", "class", "minor"], F.col("k")).withColumn("block", place("class", "minor", F.pmod(F.xxhash64("k"), F.col("n")))).drop("n", "top")
-    other = sizes.select("band", F.explode(F.sequence(F.col("class") - 1, F.col("class") + 1)).alias("class"), F.col("class").alias("of"), F.col("minor").alias("m"), "n")
-    part = salted(part, other, ["band", "class"], F.col("k")).where("minor or m").select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j")).withColumn("other", place("of", "m", F.col("j")))
+    split = own.groupBy("band", "root").agg(F.count("k").alias("n")).groupBy("band").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    split = split.where("n > top.n").select("band", F.col("top.root").alias("top"), blocks(F.col("top.n")).alias("p"), blocks(F.col("n") - F.col("top.n")).alias("q"))
+    # the largest component's texts lie in the first p blocks and meet the q blocks of the others, which meet all
+    minor, number = F.col("root") != F.col("top"), F.xxhash64("k")
+    part = salted(own, split, ["band"], F.col("k")).join(texts.select("k", "bands", "weight", "bins"), "k")
+    part = part.withColumn("block", F.when(minor, F.col("p") + F.pmod(number, F.col("q"))).otherwise(F.pmod(number, F.col("p"))).cast("int"))
+    part = part.withColumn("other", F.explode(F.sequence(F.when(minor, 0).otherwise(F.col("p")), F.col("p") + F.col("q") - 1)))
     part = part.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-    look = "k long, root long, weight double, bins binary, i int, band long, bands array<long>, block long, lo long, hi long"
+    look = "k long, root long, weight double, bins binary, i int, band long, bands array<long>, block int, lo int, hi int"
     part = part.select(*(x.split()[0] for x in look.split(", ")))
 
     def pairing(group: pa.Table):
@@ -283,6 +279,7 @@ def near_duplicates(docs: DataFrame, like: float = LIKE) -> DataFrame:
             if cross:
                 ok &= block[i + 1 :] != block[i]
             ok &= ~(bands[i + 1 :, : at[i]] == bands[i, : at[i]]).any(1)
+            ok &= np.minimum(weight[i + 1 :], weight[i]) >= (like - 1e-6) * np.maximum(weight[i + 1 :], weight[i])
             js = i + 1 + np.flatnonzero(ok)
             js = js[bound(weight, bins, i, js) >= like - 1e-6]
             if len(js):
