@@ -241,21 +241,34 @@ def _ranges(keys: np.ndarray, nb: int) -> np.ndarray:
     return np.searchsorted(((keys >> U64(32)) * U64(nb) >> U64(32)).astype(np.int64), np.arange(nb + 1))
 
 
-def pack_keys(keys: np.ndarray) -> np.ndarray:
-    """Sorted keys as differences, byte by byte: the high bytes are nearly all zero and pack away."""
-    return np.ascontiguousarray(np.diff(keys, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T)
+def pack_ints(x: np.ndarray) -> tuple:
+    """Whole numbers from 0, byte by byte: each place of a byte packs away by itself, and places without a byte cost nothing."""
+    size = next(n for n in (1, 2, 4, 8) if int(x.max(initial=0)) < 1 << (8 * n))
+    planes = np.ascontiguousarray(x.astype(f"<u{size}").reshape(-1, 1).view(np.uint8).T)
+    return x.shape, [zstandard.compress(p.tobytes(), 1) for p in planes]
 
 
-def unpack_keys(planes: np.ndarray) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(planes.T).view(U64).ravel(), dtype=U64)
+def unpack_ints(packed: tuple, kind=np.int64) -> np.ndarray:
+    shape, planes = packed
+    bytes_ = np.stack([np.frombuffer(zstandard.decompress(p), np.uint8) for p in planes], axis=1)
+    return np.ascontiguousarray(bytes_).view(f"<u{len(planes)}").reshape(shape).astype(kind)
+
+
+def pack_keys(keys: np.ndarray) -> tuple:
+    """Sorted keys as differences, whose high bytes are nearly all zero."""
+    return pack_ints(np.diff(keys, prepend=U64(0)))
+
+
+def unpack_keys(packed: tuple) -> np.ndarray:
+    return np.cumsum(unpack_ints(packed, U64), dtype=U64)
 
 
 def send(batch: int, keys: np.ndarray, nb: int, *counts: np.ndarray) -> pa.Table:
     """One row per bucket that has keys; keys are distinct and sorted, each with one count or several."""
     cut = _ranges(keys, nb)
     full = np.flatnonzero(np.diff(cut))
-    n = np.stack(counts).astype(np.int32)
-    return table(SENT, bucket=full, batch=np.full(len(full), batch), blob=[pack((pack_keys(keys[cut[b] : cut[b + 1]]), np.ascontiguousarray(n[:, cut[b] : cut[b + 1]]))) for b in full])
+    n = np.stack(counts)
+    return table(SENT, bucket=full, batch=np.full(len(full), batch), blob=[pickle.dumps((pack_keys(keys[cut[b] : cut[b + 1]]), pack_ints(n[:, cut[b] : cut[b + 1]]))) for b in full])
 
 
 def counted(sent: DataFrame, about: Callable[..., object] | None = None) -> DataFrame:
@@ -267,18 +280,17 @@ def counted(sent: DataFrame, about: Callable[..., object] | None = None) -> Data
     have them, and packed sorted runs are summed by one sort."""
 
     def total(group: pa.Table) -> pa.Table:
-        blobs = [unpack(b) for b in group.column("blob").to_pylist()]
+        blobs = [pickle.loads(b) for b in group.column("blob").to_pylist()]
         keys = np.concatenate([unpack_keys(b[0]) for b in blobs])
-        n = np.concatenate([b[1] for b in blobs], axis=1)
+        n = np.concatenate([unpack_ints(b[1]) for b in blobs], axis=1)
         uniq, inv = np.unique(keys, return_inverse=True)
         each = np.stack([np.bincount(inv, x, len(uniq)).astype(np.int64) for x in n])
         got = each[:, inv]
-        cut = np.cumsum([0] + [b[1].shape[1] for b in blobs])
-        kind = np.int32 if got.max(initial=0) < 2**31 else np.int64
-        back = [pack(got[:, i:j].astype(kind)) for i, j in zip(cut, cut[1:], strict=False)]
+        cut = np.cumsum([0] + [b[1][0][1] for b in blobs])
+        back = [pickle.dumps(pack_ints(got[:, i:j])) for i, j in zip(cut, cut[1:], strict=False)]
         bucket, batch = group.column("bucket").to_pylist(), group.column("batch").to_pylist()
         if about:
-            bucket, batch, back = [*bucket, bucket[0]], [*batch, -1], [*back, pack(about(uniq, *each))]
+            bucket, batch, back = [*bucket, bucket[0]], [*batch, -1], [*back, pickle.dumps(about(uniq, *each))]
         return table(SENT, bucket=bucket, batch=batch, blob=back)
 
     return sent.groupBy("bucket").applyInArrow(total, SENT)
@@ -289,7 +301,7 @@ def totals(keys: np.ndarray, nb: int, back: pa.Table, counts: int = 1) -> np.nda
     cut = _ranges(keys, nb)
     out = np.zeros((counts, len(keys)), np.int64)
     for b, blob in zip(back.column("bucket").to_pylist(), back.column("blob").to_pylist(), strict=True):
-        out[:, cut[b] : cut[b + 1]] = unpack(blob)
+        out[:, cut[b] : cut[b + 1]] = unpack_ints(pickle.loads(blob))
     return out if counts > 1 else out[0]
 
 

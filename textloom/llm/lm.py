@@ -12,21 +12,24 @@ probability n / 2**52, which changes the model's score, but no count of words.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SENT, U64, Batch, batched, chunks, coded, counted, joined, keyed, mix, parts, send, settled, table, totals, unpack, words
+from .common import SENT, U64, Batch, batched, chunks, coded, counted, joined, keyed, mix, parts, send, settled, table, totals, words
 
 END, START = U64(0x1234567887654320), U64(0x0FEDCBA987654322)  #: keys of the end token and of the context before the first word
-PAIR = ~U64(0xFFF)  #: the bits of a pair's key
+TOP = U64(1 << 63)  #: set in pairs' keys only, so they follow all words' keys
+PAIR = U64((1 << 63) - (1 << 11))  #: the other bits of a pair's key
 STEP = 8  #: bins in a factor of two, for the EM's table of estimates
 BUCKETS = 24  #: context-frequency buckets; the last holds all contexts seen 2**23 times or more
 
 
 def _tokens(b: Batch, fold: bool = True):
-    """For each part of a batch: first text, tokens per text, token keys, and keys of (context, token) pairs. Low bit 1: a pair."""
+    """For each part of a batch: first text, tokens per text, token keys, and keys of (context, token) pairs."""
     for lo, hi in chunks(b.texts, 4_000_000):
         buf, start = joined(b.texts[lo:hi])
         if fold:
@@ -39,11 +42,11 @@ def _tokens(b: Batch, fold: bool = True):
         word = np.ones(len(key), bool)
         word[end] = False
         code, names = coded(buf, s, e)
-        key[word] = (keyed(names) & ~U64(1))[code]
+        key[word] = (keyed(names) >> U64(1))[code]
         key[end] = END
         before = np.concatenate([[START], key[:-1]])
         before[end - n + 1] = START
-        yield lo, n, key, before, mix(before * U64(0x9E3779B97F4A7C15) + key) & PAIR | U64(1)
+        yield lo, n, key, before, mix(before * U64(0x9E3779B97F4A7C15) + key) & PAIR | TOP
 
 
 TRAIN, TUNE, HELD = 0, 1, 2  #: roles of documents: tuning ones are training ones too
@@ -61,12 +64,6 @@ def _tables(b: Batch):
     return n, before, role, u, ui, count(ui, u), p, pi, count(pi, p)
 
 
-def _sorted(u, p, *more):
-    keys = np.concatenate([u, p])
-    order = np.argsort(keys)
-    return keys[order], order
-
-
 def _quantum(p: np.ndarray) -> np.ndarray:
     """Bin of a probability; 0 is for none."""
     return np.where(p > 0, np.rint(-STEP * np.log2(np.where(p > 0, p, 1))) + 1, 0).astype(np.int64)
@@ -102,20 +99,19 @@ def score(docs: DataFrame, fold: int = 7, held: int = 2, tuning: int = 5) -> Dat
     role = F.when(F.pmod(crc, F.lit(fold)) == held, HELD).when(F.pmod(F.floor(crc / fold), F.lit(tuning)) == 0, TUNE).otherwise(TRAIN)
     d, n = batched(docs, role)
     d = settled(d)  # three steps read the batches
-    nb = parts(docs, 3_000_000, 48)
+    nb = parts(docs, 2_000_000, 48)
 
     def tell(group: pa.Table) -> pa.Table:
         b = Batch(group)
         _, _, _, u, _, cu, p, _, cp = _tables(b)
-        keys, order = _sorted(u, p)
-        return send(b.number, keys, nb, *np.concatenate([cu, cp], axis=1)[:, order])
+        return send(b.number, np.concatenate([u, p]), nb, *np.concatenate([cu, cp], axis=1))
 
     def about(keys: np.ndarray, total: np.ndarray, tune: np.ndarray) -> tuple[int, int, int]:
-        one = (keys & U64(1)) == 0
+        one = keys < TOP
         return int(total[one].sum()), int((total[one] > 0).sum()), int(tune[one].sum())
 
     back = settled(counted(d.groupBy("batch").applyInArrow(tell, SENT), about).repartition(n, "batch"))
-    sums = back.where("batch = -1").mapInArrow(lambda it: (pa.RecordBatch.from_pydict(dict(zip("nvt", ([unpack(x)[k] for x in rb.column("blob").to_pylist()] for k in range(3)), strict=True))) for rb in it), "n long, v long, t long")
+    sums = back.where("batch = -1").mapInArrow(lambda it: (pa.RecordBatch.from_pydict(dict(zip("nvt", ([pickle.loads(x)[k] for x in rb.column("blob").to_pylist()] for k in range(3)), strict=True))) for rb in it), "n long, v long, t long")
     big_n, big_v, tuned = (int(x or 0) for x in sums.agg(F.sum("n"), F.sum("v"), F.sum("t")).first())
     back = back.where("batch >= 0")
 
@@ -123,9 +119,7 @@ def score(docs: DataFrame, fold: int = 7, held: int = 2, tuning: int = 5) -> Dat
         """Tokens per text, roles, and for each token the counts of itself, its context and its pair: in all training
         documents, and in the tuning ones among them."""
         n, before, role, u, ui, _, p, pi, _ = _tables(b)
-        keys, order = _sorted(u, p)
-        got = np.empty((2, len(keys)), np.int64)
-        got[:, order] = totals(keys, nb, right, 2)
+        got = totals(np.concatenate([u, p]), nb, right, 2)
         cu, cp = got[:, : len(u)], got[:, len(u) :]
         at = np.minimum(np.searchsorted(u, before), len(u) - 1)
         ctx = np.where(u[at] == before, cu[:, at], 0)
