@@ -123,7 +123,7 @@ def test_special_tokens(spark):
         ("", lambda x: X.prepend(x, "▁"), ""), ("\n", lambda x: X.prepend(x, "▁"), "▁\n"), ("▁a", lambda x: X.prepend(x, "▁", "▁"), "▁a"),
         ("aXbX", lambda x: X.regex_normalize(x, "(X)", r"<\1>", everywhere=False), "a<X>bX"), ("a\nXbX", lambda x: X.regex_normalize(x, "X", "$", everywhere=False), "a\n$bX"), ("aXbX", lambda x: X.regex_normalize(x, "(X)", "<$1>"), "a<X>b<X>"),
         ("a  b　", lambda x: X.strip(x), "a  b"), ("do n't go .", X.tidy_spaces, "don't go."), ("中a", X.space_han, " 中 a"), ("a\x07b​c\n", X.drop_controls, "abc\n"),
-        ("ЮAz", X.ascii_case, "Юaz"), ("ЮΣß", lambda x: U.fold_case(x), "юσss"), ("The other THE end", lambda x: X.stop_words(x, ["the"]), "other end"), (" x", X.drop_first, "x"), ("x ", X.drop_last, "x"),
+        ("ЮAz", X.ascii_case, "Юaz"), ("ЮΣß", lambda x: U.fold_case(x), "юσss"), ("The other THE end", lambda x: X.stop_words(x, ["the"]), "other end"), ("Die Straße THE", lambda x: X.stop_words(x, ["the"], action="lower"), "die strasse "), (" x", X.drop_first, "x"), ("x ", X.drop_last, "x"),
         (None, X.ascii_case, None), (None, lambda x: U.fold_case(x), None),
     ],
 )
@@ -154,7 +154,7 @@ def test_bytes(spark):
 
 
 # The published function's results for short texts.
-HASHES = {"": 11160318154034397263, "a": 12917804110809363939, "abc": 2640714258260161385, "test": 8581389452482819506, "Hello": 15404698994557526151, "TensorFlow": 4265654129848386254, "error": 15516388950515943933}
+HASHES = {"": 11160318154034397263, "a": 12917804110809363939, "abc": 2640714258260161385, "test": 8581389452482819506, "Hello": 15404698994557526151, "TensorFlow": 4265654129848386254, "error": 15516388950515943933, "1footrue": 16905089972579912905, "2applefalse": 2794438866806483259, "3true": 13566585846811780304}
 
 
 def test_hash(spark):
@@ -182,6 +182,51 @@ def test_padding(spark):
     assert one(spark, [[1], [2, 3, 4]], lambda c: R.to_tensor(c, 3, 0, 2), "array<array<int>>") == [[1, 0], [2, 3], [0, 0]]
 
 
+def test_row_offsets_of_repeated_and_null_keys(spark):
+    r = random.Random(1)
+    data = [(r.choice([None, 1, 5, 5, 9, 100]), r.choice([None, 0, 3, 7])) for _ in range(60)]
+    df = spark.createDataFrame(data, "k long, n int").repartition(5)
+    want, at = [], 0
+    for k, n in sorted(data, key=lambda x: (x[0] is None, x[0] or 0, x[1] or 0)):
+        want.append((k, at, at + (n or 0)))
+        at += n or 0
+    for each in (1_000_000, 1):
+        assert sorted(map(repr, map(tuple, R.row_offsets(df, "k", F.col("n"), each).collect()))) == sorted(map(repr, want))
+    assert R.row_offsets(df.limit(0), "k", F.col("n")).collect() == []
+    nulls = R.row_offsets(df.where("k is null"), "k", F.col("n")).collect()
+    assert len(nulls) == sum(k is None for k, _ in data)
+
+
+def test_row_ids(spark):
+    ids = spark.createDataFrame([(0,), (2,), (2,), (4,)], "r long")
+    rows = lambda n: [tuple(x) for x in R.from_row_ids(spark, ids, "r", n).orderBy("r").collect()]
+    assert rows(None) == [(0, 0, 1), (1, 1, 1), (2, 1, 3), (3, 3, 3), (4, 3, 4)] and rows(2) == [(0, 0, 1), (1, 1, 1)] and rows(6)[-1] == (5, 4, 4)
+    assert R.from_row_ids(spark, ids.limit(0), "r").collect() == []
+
+
+def test_rows_that_share_a_key_stay_apart(spark):
+    df = spark.createDataFrame([(1, [0, 1]), (1, [1]), (1, []), (2, None), (None, [7, None])], "k int, ids array<int>")
+    text = V.id_to_text(df, "ids", "a\t0\nb\t1\nB\t1\r\n\t\nx\t-4", "?", "k").collect()
+    assert sorted(map(repr, map(tuple, text))) == sorted(map(repr, [(1, ["a", "B"]), (1, ["B"]), (1, []), (2, None), (None, ["?", "?"])]))
+    got = V.decode(df, "k", "ids", V.from_list(spark, ["a", "b"]), skip=[0]).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, ["", "b"]), (1, ["b"]), (1, [""]), (2, None), (None, ["", ""])]))
+
+
+@pytest.mark.parametrize("size", [None, 7])
+def test_vocabulary_from_counts(spark, size):
+    r = random.Random(2)
+    words = ["".join(r.choice("abé") for _ in range(r.randint(1, 4))) for _ in range(400)]
+    count = {w: words.count(w) for w in words}
+    want = sorted(count, key=lambda w: (-count[w], w.encode()))[:size]
+    got = V.from_counts(spark.createDataFrame([(w,) for w in words], "token string").repartition(4), size=size).orderBy("id").collect()
+    assert [(x.token, x.id, x.n) for x in got] == [(w, i, count[w]) for i, w in enumerate(want)]
+
+
+@pytest.mark.parametrize("sep, most, text, want", [("", -1, " \ta b\u00a0 c\n", ["a", "b", "c"]), ("", 2, "a b c ", ["a", "b c"]), (", ", -1, "a, b,c, ", ["a", "b,c"]), ("[0-9]+", 2, "a1b22c", ["a", "b22c"]), ("", -1, "", [""])])
+def test_split_words(spark, sep, most, text, want):
+    assert [p.value for p in one(spark, text, lambda x: X.split_words(x, sep, most))] == want
+
+
 def test_id_to_text_and_vectors(spark):
     df = spark.createDataFrame([(1, [3, 4, 0, 99, -1])], "k int, ids array<int>")
     assert V.id_to_text(df, "ids", "a\t0\nb\t1\nc\t2\nbad\nhello\t3\nworld\t4", "<unk>", "k").first().text == ["hello", "world", "a", "<unk>", "<unk>"]

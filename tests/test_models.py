@@ -4,6 +4,7 @@ import itertools
 import json
 import random
 import struct
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -180,7 +181,85 @@ def test_charsmap():
 
 def test_fusion():
     got = fused([Stage("nfd"), Stage("fold"), Stage("strip_accents"), Stage("nfc"), Stage("metaspace_split"), Stage("words")])
-    assert [[s.name for s in g] for g in got] == [["nfd", "fold"], ["strip_accents"], ["nfc"], ["metaspace_split"]]
+    assert [[s.name for s in g] for g in got] == [["nfd", "fold"], ["strip_accents"], ["nfc"], ["metaspace_split"], ["words"]]  # words still cuts off punctuation
+
+
+def public(name):
+    return pytest.importorskip("public_tokenizers").path(name)
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    return [t for t in docs if t] + ["", " ", "\n\n  x", "don't  stop…  ", "日本語 Ünïcödé 🙂🙂", "a\u00a0b\u3000c", "<|endoftext|>x", "x" * 3000]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_public_definitions(spark, documents, name):
+    tokenizers = pytest.importorskip("tokenizers")
+    other = tokenizers.Tokenizer.from_file(public(name))
+    p = D.from_tokenizer_json(json.loads(Path(public(name)).read_text()))
+    # `Lowercase` is full case folding here, and an empty piece still gets its word end
+    documents = [t for t in documents if t.casefold() == t.lower() and (t or name.startswith("byte"))]
+    want = [e.ids for e in other.encode_batch(documents, add_special_tokens=False)]
+    got = run(spark, p.ids, documents)
+    assert [i for i, (a, b) in enumerate(zip(got, want)) if a != b] == []
+    texts = run(spark, lambda c: p.decode(p.ids(c)), documents)
+    if name.startswith("byte"):
+        assert texts == [other.decode(w) for w in want]
+
+
+def test_public_ranks(spark, documents):
+    tiktoken = pytest.importorskip("tiktoken")
+    for name in ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"):
+        ranks = D.read_ranks(Path(public(name)).read_text().splitlines())
+        pattern = __import__("public_tokenizers").PATTERN
+        other = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        p = D.from_ranks(ranks, pattern)
+        got = run(spark, p.ids, documents)
+        assert [i for i, (a, t) in enumerate(zip(got, documents)) if a != other.encode_ordinary(t)] == []
+        assert run(spark, lambda c: p.decode(p.ids(c)), documents) == documents
+
+
+def test_public_sentencepiece(spark, documents):
+    spm = pytest.importorskip("sentencepiece")
+    other = spm.SentencePieceProcessor(model_file=public("piece_bpe_32k.model"))
+    m, p = D.from_sentencepiece(Path(public("piece_bpe_32k.model")).read_bytes(), add_bos=True, add_eos=True)
+    want = [other.encode(t) for t in documents]
+    got = run(spark, p.ids, documents)
+    assert [i for i, (a, b) in enumerate(zip(got, want)) if a != b] == []
+    df = spark.createDataFrame([("the end",)], "t string")
+    assert p.encode(df, "t").first().input_ids == [1, *other.encode("the end"), 2]
+    back = run(spark, lambda c: p.decode(p.ids(c)), documents)
+    assert back == [other.decode(w) for w in want]
+    again = D.Pipeline.from_json(p.to_json())
+    assert run(spark, again.ids, ["of the of"]) == [other.encode("of the of")]
+
+
+def test_sentencepiece_special_tokens(spark):
+    blob = sp_blob(1, True)
+    m, p = D.from_sentencepiece(blob, special={"<turn>": 900, "sop": 901})
+    got = run(spark, p.ids, ["the<turn>hello", "people sop", "sopx", "<turn>"])
+    assert got[0] == [*m.encode("the"), 900, *m.encode("hello")] and got[3] == [900]
+    assert got[1] == [*m.encode("people "), 901] and 901 not in run(spark, p.ids, ["psopx"])[0] and got[2] == [901, *m.encode("x")]
+    assert run(spark, lambda c: p.decode(p.ids(c)), ["the<turn>hello"]) == ["the hello"]
+
+
+def test_long_piece_bpe():
+    blob = sp_blob(2, True)
+    m = D.SentencePiece.read(blob)
+    import time
+
+    began = time.process_time()
+    m.encode("hello the and " * 20_000)
+    assert time.process_time() - began < 20
+
+
+def test_metaspace_first(spark):
+    split = {"type": "Metaspace", "replacement": "▁", "prepend_scheme": "first", "split": True}
+    d = {"model": {"type": "WordLevel", "vocab": {"▁a": 0, "a": 1, "▁b": 2, "?": 3}, "unk_token": "?"}, "pre_tokenizer": split, "added_tokens": [{"id": 9, "content": "<s>", "special": True}]}
+    p = D.from_tokenizer_json(d)
+    assert run(spark, p.ids, ["a b", "<s>a b", "a<s>a", " a"]) == [[0, 2], [9, 1, 2], [0, 9, 1], [0]]
 
 
 def test_explain_stages(spark):

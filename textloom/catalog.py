@@ -135,7 +135,7 @@ def q_hash_bucket(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", U.hash_bucket(F.col("p_type"), 1000).alias("bucket"), U.hash_bucket(F.col("p_name"), 1 << 20).alias("name_bucket"))
 
 
-@query("select conv_id, turn, array_to_string(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+\\s*|[^\\p{L}\\p{M}\\p{N}_]+'), lambda x: regexp_extract(x, '^\\S*') not in ('the', 'and', 'of')), '') as kept from conversations")
+@query("select conv_id, turn, array_to_string(list_filter(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{M}\\p{N}_]+\\s*|[^\\p{L}\\p{M}\\p{N}_]+'), lambda x: regexp_extract(x, '^\\S*') not in ('the', 'and', 'of')), '') as kept from conversations")
 def q_string_normalizer(spark, sf_dir):
     x = read(spark, sf_dir, "conversations")
     return x.select("conv_id", "turn", X.stop_words("text", ["the", "and", "of"], action="lower").alias("kept"))
@@ -186,6 +186,17 @@ def q_split_remove(spark, sf_dir):
     return _split(spark, sf_dir, "documents", "doc_id", "text", " +", "remove")
 
 
+@query("select doc_id, (i - 1)::bigint as pos, p[i] as piece from (select doc_id, list_filter(string_split(text, ', '), lambda x: x <> '') as p from documents), unnest(range(1, len(p) + 1)) as t(i)")
+def q_split_remove_long(spark, sf_dir):
+    return _split(spark, sf_dir, "documents", "doc_id", "text", ", ", "remove")
+
+
+@query("select conv_id, turn, (i - 1)::bigint as pos, p[i] as value from (select conv_id, turn, case when len(w) < 4 then w else list_append(w[:3], regexp_replace(t, '^(?:\\S+\\s+){3}', '')) end as p from (select conv_id, turn, trim(text, ' ' || chr(9) || chr(10) || chr(13)) as t, regexp_extract_all(text, '\\S+') as w from conversations)), unnest(range(1, len(p) + 1)) as t(i)")
+def q_string_split_words(spark, sf_dir):
+    x = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(X.split_words("text", most=4)).alias("s"))
+    return x.select("conv_id", "turn", "s.pos", "s.value")
+
+
 @query(_split_sql("documents", "doc_id", "text", "\\p{L}+"))
 def q_split_keep_matches(spark, sf_dir):
     return _split(spark, sf_dir, "documents", "doc_id", "text", r"\p{L}+", "remove", invert=True)
@@ -300,9 +311,9 @@ def q_row_splits(spark, sf_dir):
     return R.row_offsets(x, "c_custkey", F.col("n")).select("c_custkey", (F.col("end") - F.col("begin")).alias("n"), F.col("end").alias("end_at"))
 
 
-@query("with n as (select r, count(o_custkey)::bigint as n from range(100) t(r) left join orders on o_custkey = r group by r) select r as row_id, (sum(n) over (order by r) - n)::bigint as \"begin\", (sum(n) over (order by r))::bigint as \"end\" from n")
+@query("with n as (select r, count(o_custkey)::bigint as n from (select unnest(range((select max(o_custkey) + 1 from orders))) as r) left join orders on o_custkey = r group by r) select r as row_id, (sum(n) over (order by r) - n)::bigint as \"begin\", (sum(n) over (order by r))::bigint as \"end\" from n")
 def q_row_ids(spark, sf_dir):
-    return R.from_row_ids(spark, read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("row_id")), "row_id", 100)
+    return R.from_row_ids(spark, read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("row_id")), "row_id")
 
 
 @query("select o_custkey, array_to_string(list(o_orderkey order by o_orderkey)[1:4], ',') as firsts from orders group by 1")
@@ -360,10 +371,32 @@ def q_id_to_text(spark, sf_dir):
     return V.id_to_text(x, "ids", "zero\t0\nthree\t3\nbroken line\nseven\t7", "<unk>", "s_suppkey", "texts").select("s_suppkey", X.join_text("texts", "+").alias("texts"))
 
 
-@query(f"select doc_id, id, count(*)::bigint as n from {DOC_WORDS} w join {VOCAB} v on w.token = v.token where id < 50 group by 1, 2")
+@query("select o_custkey, case when o_orderkey % 5 = 0 then '' when o_orderkey % 3 = 0 then 'last' when o_orderkey % 3 = 1 then 'one' else '<unk>' end as texts, count(*)::bigint as n from orders group by 1, 2")
+def q_id_to_text_repeated_keys(spark, sf_dir):
+    x = read(spark, sf_dir, "orders").select("o_custkey", F.when(F.col("o_orderkey") % 5 == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.col("o_orderkey") % 3)).alias("ids"))
+    x = V.id_to_text(x, "ids", "first\t0\nlast\t0\none\t1", "<unk>", "o_custkey", "texts").select("o_custkey", X.join_text("texts").alias("texts"))
+    return x.groupBy("o_custkey", "texts").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select coalesce(k, -1)::bigint as k, n, (sum(n) over (order by k nulls last, n rows unbounded preceding) - n)::bigint as begin_at from (select case when l_orderkey % 7 = 0 then null else l_partkey % 50 end as k, l_linenumber::bigint as n from lineitem)")
+def q_row_offsets_repeated_keys(spark, sf_dir):
+    k = F.when(F.col("l_orderkey") % 7 != 0, F.col("l_partkey") % 50)
+    x = read(spark, sf_dir, "lineitem").select(k.alias("k"), F.col("l_linenumber").cast("long").alias("n"))
+    return R.row_offsets(x, "k", F.col("n")).select(F.coalesce("k", F.lit(-1)).alias("k"), (F.col("end") - F.col("begin")).alias("n"), F.col("begin").alias("begin_at"))
+
+
+@query(f"select doc_id, id, count(*)::bigint as n from {DOC_WORDS} w join {VOCAB.replace(' limit 2000', '')} v on w.token = v.token group by 1, 2")
 def q_term_counts(spark, sf_dir):
     w = _doc_words(spark, sf_dir)
-    return V.term_counts(w, "doc_id", "token", V.from_counts(w, size=50))
+    return V.term_counts(w, "doc_id", "token", V.from_counts(w))
+
+
+@query(f"with v as {VOCAB.replace('2000', '20')} select doc_id, array_to_string([count(*) filter (id = i) for i in range(20)], ',') as counts from documents left join {DOC_WORDS} w using (doc_id) left join v using (token) group by doc_id".replace("[count(*) filter (id = i) for i in range(20)]", "[" + ", ".join(f"count(id) filter (id = {i})" for i in range(20)) + "]"))
+def q_term_vector(spark, sf_dir):
+    w = _doc_words(spark, sf_dir)
+    counts = V.term_counts(w, "doc_id", "token", V.from_counts(w, size=20))
+    x = V.term_vector(read(spark, sf_dir, "documents"), "doc_id", counts, 20)
+    return x.select("doc_id", F.array_join(F.transform("vector", lambda v: v.cast("int").cast("string")), ",").alias("counts"))
 
 
 # ---------------------------------------------------------------- models
@@ -371,7 +404,13 @@ def q_term_counts(spark, sf_dir):
 
 def _model(spark, sf_dir, model) -> DataFrame:
     pieces = F.transform(words(), lambda w: F.struct(w.alias("piece"), F.lit(False).alias("skip")))
-    return M.flat_ids(read(spark, sf_dir, "documents").select("doc_id", M.encode_pieces(pieces, model).alias("ids")), "doc_id", "ids")
+    return M.flat_ids(spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", M.encode_pieces(pieces, model).alias("ids")), "doc_id", "ids")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where the scan has fewer tasks than that (a small file is one row group); else as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _values(pairs) -> str:

@@ -90,16 +90,17 @@ class SpecialToken:
     text: str
     strip_left: bool = False
     strip_right: bool = False
+    at_edge: bool = False  #: only where a word begins or ends with it
 
 
 def special_pattern(tokens: Iterable[SpecialToken]) -> str:
     """One alternation; longer tokens of a kind come first, stripped white space is outside the token."""
-    kinds: dict[tuple[bool, bool], list[str]] = {}
+    kinds: dict[tuple[bool, bool, bool], list[str]] = {}
     for t in sorted(tokens, key=lambda t: t.text, reverse=True):
-        kinds.setdefault((t.strip_left, t.strip_right), []).append(t.text)
+        kinds.setdefault((t.strip_left, t.strip_right, t.at_edge), []).append(t.text)
     parts = []
-    for (left, right), texts in kinds.items():
-        either = "|".join(quoted(t) for t in texts)
+    for (left, right, edge), texts in kinds.items():
+        either = "|".join(rf"\b{quoted(t)}|{quoted(t)}\b" if edge else quoted(t) for t in texts)
         parts.append((r"\s*" if left else "") + f"(?:{either})" + (r"\s*" if right else ""))
     return "|".join(parts)
 
@@ -138,6 +139,12 @@ def metaspace_split(pieces: Column, mark: str = "▁") -> Column:
     return regex_split(pieces, quoted(mark), "mergedwithnext")
 
 
+def prepend_first(pieces: Column, prefix: str, unless_starts: str) -> Column:
+    """The prefix before the first piece alone, unless it is empty, a special token, or begins with `unless_starts`."""
+    on = lambda p, i: (i == 0) & ~p["skip"] & (p["piece"] != "") & ~F.startswith(p["piece"], F.lit(unless_starts))
+    return F.transform(pieces, lambda p, i: F.struct(F.when(on(p, i), F.concat(F.lit(prefix), p["piece"])).otherwise(p["piece"]).alias("piece"), p["skip"].alias("skip")))
+
+
 def byte_level_split(pieces: Column, single_digits: bool = False) -> Column:
     return regex_split(pieces, BYTE_LEVEL_DIGITS if single_digits else BYTE_LEVEL, "isolate")
 

@@ -88,27 +88,29 @@ def from_sparse(df: DataFrame, key: str, pos: str, value: str, name: str = "valu
     return df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(pos, value))), lambda s: s[value]).alias(name))
 
 
-def row_offsets(df: DataFrame, key: str, size: Column, buckets: int = 64) -> DataFrame:
+def row_offsets(df: DataFrame, key: str, size: Column, each: int = 1_000_000) -> DataFrame:
     """(key, begin, end): where each row lies if the rows are stored one after another in the order of `key` (a number).
 
-    A running sum over all rows is one task's work, so keys are cut into ranges: sums of ranges, a running sum over
-    those few, and running sums within each."""
-    x = df.select(F.col(key), size.cast("long").alias("_n"))
-    lo, hi = F.min(key).alias("lo"), F.max(key).alias("hi")
-    ends = x.agg(lo, hi)
-    part = F.floor((F.col(key) - F.col("lo")) * F.lit(buckets) / (F.col("hi") - F.col("lo") + 1))
-    x = x.crossJoin(F.broadcast(ends)).select(key, "_n", part.alias("_part"))
+    Rows that share a key follow each other, the shorter first; rows with a null key come last, and a null size is 0.
+    A running sum over all rows is one task's work, so keys are cut into ranges, about one for `each` rows: sums of
+    ranges, a running sum over those, and running sums within each."""
+    x = df.select(F.col(key), F.coalesce(size.cast("long"), F.lit(0)).alias("_n"))
+    ends = x.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), (F.count(F.lit(1)) / each + 64).cast("long").alias("parts"))
+    part = F.floor((F.col(key) - F.col("lo")) * F.col("parts") / (F.col("hi") - F.col("lo") + 1)).cast("long")
+    x = x.crossJoin(F.broadcast(ends)).select(key, "_n", F.coalesce(part, F.col("parts")).alias("_part"))  # one row
     sums = x.groupBy("_part").agg(F.sum("_n").alias("_sum"))
     before = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    run = F.sum("_n").over(Window.partitionBy("_part").orderBy(key))
-    x = x.join(F.broadcast(before), "_part").withColumn("end", F.col("_before") + run)  # at most `buckets` rows
+    run = F.sum("_n").over(Window.partitionBy("_part").orderBy(F.col(key).asc_nulls_last(), "_n").rowsBetween(Window.unboundedPreceding, 0))
+    x = x.join(before, "_part").withColumn("end", F.col("_before") + run)
     return x.select(key, (F.col("end") - F.col("_n")).alias("begin"), "end")
 
 
-def from_row_ids(spark, ids: DataFrame, row_id: str, rows: int) -> DataFrame:
-    """(row_id, begin, end) of rows 0 to rows - 1 from sorted row ids of values; rows without values are empty.
+def from_row_ids(spark, ids: DataFrame, row_id: str, rows: int | None = None) -> DataFrame:
+    """(row_id, begin, end) of rows 0 to rows - 1 from row ids of values; rows without values are empty.
 
-    Ids beyond the last row don't count; a negative id fails."""
+    Without `rows` there are as many as the greatest id asks for. Ids beyond the last row don't count; a negative id fails."""
+    if rows is None:
+        rows = int(ids.agg(F.coalesce(F.max(row_id), F.lit(-1))).first()[0]) + 1
     checked = ids.select(F.when(F.col(row_id) < 0, F.raise_error(F.lit("negative row id")).cast("long")).otherwise(F.col(row_id)).alias(row_id))
     counts = checked.where(F.col(row_id) < rows).groupBy(row_id).agg(F.count(F.lit(1)).alias("n"))
     every = spark.range(rows).withColumnRenamed("id", row_id)

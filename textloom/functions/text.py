@@ -94,15 +94,31 @@ def split_text(x: Column | str, delimiter: str, skip_empty: bool = False) -> Col
     return F.filter(out, lambda s: s["value"] != "") if skip_empty else out
 
 
+def split_words(x: Column | str, separator: str = "", most: int = -1) -> Column:
+    """array<struct<pos long, value string>>: parts between matches of the separator, a pattern; empty parts are left out.
+
+    Without a separator the text is trimmed and split at white space. most: at most so many parts."""
+    from .pieces import split_strings
+
+    t = _col(x)
+    if not separator:
+        t, separator = strip(t), r"[\s\p{Zs}]+"
+    return F.transform(split_strings(t, separator, "remove", most=most), lambda v, i: F.struct(i.cast("long").alias("pos"), v.alias("value")))
+
+
 def stop_words(x: Column | str, words: Sequence[str], case_sensitive: bool = False, action: str = "none") -> Column:
-    """Delete whole stop words and the white space after each, then change the case: none, lower or upper."""
+    """Delete whole stop words and the white space after each, then change the case: none, lower (full case folding) or upper (ASCII)."""
     t = _col(x)
     if words:
         either = "|".join(quoted(w) for w in sorted(words, key=len, reverse=True))
         t = F.regexp_replace(t, F.lit(f"(?U){'' if case_sensitive else '(?iu)'}\\b(?:{either})\\b\\s*"), F.lit(""))
     if action == "none":
         return t
-    return F.lower(t) if action == "lower" else ascii_case(t, lower=False)
+    if action == "lower":
+        from .unicode import fold_case
+
+        return fold_case(t)
+    return ascii_case(t, lower=False)
 
 
 def matches(x: Column | str, pattern: str, least: int = 1, unit: str = "byte") -> Column:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MEMO = 200_000  #: pieces that a task remembers
+MEMO = 64 << 20  #: bytes of pieces and ids that a task remembers
 
 
 class Model(Protocol):
@@ -32,35 +32,45 @@ def _ragged(lengths: np.ndarray, uniq: list[list[int]], codes: np.ndarray, at: n
     return pa.ListArray.from_arrays(offsets, values)
 
 
-def encode_pieces(pieces: Column, model: Model, special: dict[str, int] | None = None) -> Column:
+def encode_pieces(pieces: Column, model: Model, special: dict[str, int] | None = None, remember: bool = True) -> Column:
     """array<int>: the ids of all pieces of a row in order. A special token has the id that `special` names, if any."""
     special = special or {}
 
     @F.arrow_udf("array<int>")
     def each(x: pa.Array) -> pa.Array:
-        memo = each_memo
+        memo, room = each_memo, each_room
         lengths = np.array([-1 if n is None else n for n in x.value_lengths().to_pylist()], np.int64)
         flat = x.flatten()
-        text, skip = flat.field("piece"), flat.field("skip")
-        coded = pa.array([f"{'s' if k else 'p'}{t}" for t, k in zip(text.to_pylist(), skip.to_pylist(), strict=True)], pa.string()).dictionary_encode()
+        skip = flat.field("skip").to_numpy(zero_copy_only=False).astype(bool)
+        coded = flat.field("piece").dictionary_encode()
+        names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        if skip.any():  # a text may be a special token here and a plain piece there
+            both, codes = np.unique(codes * 2 + skip, return_inverse=True)
+            keys = [(names[k >> 1], bool(k & 1)) for k in both.tolist()]
+        else:
+            keys = [(name, False) for name in names]
         uniq = []
-        for key in coded.dictionary.to_pylist():
-            if (ids := memo.get(key)) is None:
-                piece = key[1:]
-                ids = [special[piece]] if key[0] == "s" and piece in special else model.encode(piece)
-                if len(memo) < MEMO:
-                    memo[key] = ids
+        for piece, whole in keys:
+            if whole and piece in special:
+                uniq.append([special[piece]])
+                continue
+            if (ids := memo.get(piece)) is None:
+                ids = model.encode(piece)
+                if remember and room[0] > 0:
+                    memo[piece] = ids
+                    room[0] -= len(piece) + 8 * len(ids) + 200
             uniq.append(ids)
         at = np.concatenate([[0], np.cumsum(np.maximum(lengths, 0))])
-        return _ragged(lengths, uniq, coded.indices.to_numpy(zero_copy_only=False), at)
+        return _ragged(lengths, uniq, codes, at)
 
     each_memo: dict[str, list[int]] = {}
+    each_room = [MEMO]
     return each(pieces)
 
 
 def encode_texts(x: Column, model: Model) -> Column:
-    """The ids of a whole text as one piece."""
-    return encode_pieces(F.when(x.isNotNull(), F.array(F.struct(x.alias("piece"), F.lit(False).alias("skip")))), model)
+    """The ids of a whole text as one piece; texts aren't remembered."""
+    return encode_pieces(F.when(x.isNotNull(), F.array(F.struct(x.alias("piece"), F.lit(False).alias("skip")))), model, remember=False)
 
 
 def flat_ids(df: DataFrame, key: str, ids: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,11 +10,22 @@ from pyspark.sql import functions as F
 
 
 def from_counts(words: DataFrame, token: str = "token", size: int | None = None, first_id: int = 0) -> DataFrame:
-    """(token, id, n): the most frequent tokens, ties in the tokens' order; size: how many."""
+    """(token, id, n): the most frequent tokens, ties in the tokens' order; size: how many.
+
+    With a size, the few tokens left are numbered in one task. Without one, tokens that occur equally often are numbered
+    together, after the number of all more frequent ones; only tokens that occur once may be many, so they are numbered
+    by ranges of themselves."""
     counts = words.groupBy(token).agg(F.count(F.lit(1)).alias("n"))
     if size is not None:
         counts = counts.orderBy(F.desc("n"), token).limit(size)
-    return counts.select(token, (F.row_number().over(Window.orderBy(F.desc("n"), token)) - 1 + first_id).cast("int").alias("id"), "n")
+        return counts.select(token, (F.row_number().over(Window.orderBy(F.desc("n"), token)) - 1 + first_id).cast("int").alias("id"), "n")
+    group = [F.col("n"), F.substring(token, 1, 2).alias("_start")]
+    sizes = counts.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))  # one row for each count and two characters
+    before = F.coalesce(F.sum("_size").over(Window.orderBy(F.desc("n"), "_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("n", "_start", before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy("n", "_start").orderBy(token)) - 1
+    x = counts.withColumn("_start", F.substring(token, 1, 2)).join(sizes, ["n", "_start"])
+    return x.select(token, (F.col("_before") + place + first_id).cast("int").alias("id"), "n")
 
 
 def from_list(spark: SparkSession, tokens: Sequence[str]) -> DataFrame:
@@ -40,14 +52,23 @@ def lookup(df: DataFrame, key: str, table: DataFrame, default, name: str = "foun
     return df.join(t, df[key] == t["_key"], "left").withColumn(name, F.coalesce("_value", F.lit(default))).drop("_key", "_value")
 
 
+def _by_row(df: DataFrame, key: str, ids: str, table: DataFrame, default: str, name: str) -> DataFrame:
+    """(key, name): for each row the token that table (_of, _token) has for each of its ids, in order.
+
+    Rows are told apart by a number of their own, not by their key. A null array stays null."""
+    flat = df.select(F.monotonically_increasing_id().alias("_row"), key, ids).select("_row", key, F.col(ids).isNull().alias("_none"), F.posexplode_outer(ids).alias("_pos", "_id"))
+    flat = flat.join(table, flat["_id"] == table["_of"], "left").select("_row", key, "_none", F.struct("_pos", F.coalesce("_token", F.lit(default)).alias("_token")).alias("_t"))
+    got = flat.groupBy("_row").agg(F.first(key).alias(key), F.first("_none").alias("_none"), F.array_sort(F.collect_list("_t")).alias("_t"))
+    return got.select(key, F.when(~F.col("_none"), F.transform("_t", lambda s: s["_token"])).alias(name), F.get("_t", 0)["_pos"].isNull().alias("_empty"))
+
+
 def decode(df: DataFrame, key: str, ids: str, vocab: DataFrame, skip: Sequence[int] = (), name: str = "tokens") -> DataFrame:
-    """(key, tokens): the token of each id in order. Negative, unknown and skipped ids are empty strings; an empty array is one empty string."""
-    flat = df.select(key, F.posexplode_outer(ids).alias("_pos", "_id"))
-    if skip:
-        flat = flat.withColumn("_id", F.when(~F.col("_id").isin(list(skip)), F.col("_id")))
+    """(key, tokens): the token of each id in order, a row for each row of df, also where rows share a key.
+
+    Negative, unknown and skipped ids are empty strings; an empty array is one empty string, a null array null."""
+    x = df.select(key, F.transform(ids, lambda i: F.when(~i.isin(list(skip)), i)).alias(ids)) if skip else df
     v = vocab.groupBy(F.col("id").alias("_of")).agg(F.max("token").alias("_token"))
-    flat = flat.join(v, flat["_id"] == v["_of"], "left").select(key, "_pos", F.coalesce("_token", F.lit("")).alias("_token"))
-    return flat.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_token"))), lambda s: s["_token"]).alias(name))
+    return _by_row(x, key, ids, v, "", name).drop("_empty")
 
 
 def decode_small(ids: Column, tokens: Sequence[str], skip: Sequence[int] = ()) -> Column:
@@ -58,11 +79,17 @@ def decode_small(ids: Column, tokens: Sequence[str], skip: Sequence[int] = ()) -
 
 
 def id_to_text(df: DataFrame, ids: str, mapping: str, unk: str, key: str, name: str = "text") -> DataFrame:
-    """(key, texts) by a mapping of lines `token<tab>id`; malformed lines don't count, ids without a token are `unk`."""
-    pairs = [(p[0], int(p[1])) for line in mapping.split("\n") if len(p := line.rsplit("\t", 1)) == 2 and p[1].strip().lstrip("-").isdigit()]
-    vocab = df.sparkSession.createDataFrame([(t, i) for t, i in pairs if i >= 0] or [("", -1)], "token string, id int")
-    flat = df.select(key, F.posexplode(ids).alias("_pos", "_id")).join(F.broadcast(vocab), F.col("_id") == F.col("id"), "left")
-    return flat.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("token", F.lit(unk)).alias("t")))), lambda s: s["t"]).alias(name))
+    """(key, texts) by a mapping of lines `token<tab>id`, a row for each row of df; an empty array stays empty, a null one null.
+
+    Malformed lines don't count; of lines that share an id the last does; ids without a token are `unk`."""
+    pairs: dict[int, str] = {}
+    for line in mapping.split("\n"):
+        token, tab, number = line.partition("\t")
+        if tab and (m := re.match(r"\s*[+-]?\d+", number)) and int(m[0]) >= 0:
+            pairs[int(m[0])] = token
+    table = df.sparkSession.createDataFrame(list(pairs.items()), "_of long, _token string")
+    got = _by_row(df, key, ids, table, unk, name)
+    return got.select(key, F.when(F.col("_empty") & F.col(name).isNotNull(), F.array().cast("array<string>")).otherwise(F.col(name)).alias(name))
 
 
 def label_encode(df: DataFrame, column: str, keys: Sequence[str], values: Sequence[int] | None = None, default: int = -1, name: str = "label") -> DataFrame:

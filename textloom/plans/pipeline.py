@@ -29,6 +29,10 @@ def build_model(spec: dict):
         return K.Trie(**{**a, "vocab": {bytes.fromhex(t): i for t, i in a["vocab"].items()}})
     if kind == "unigram":
         return K.Unigram([tuple(x) for x in a.pop("vocab")], **a)
+    if kind == "sentencepiece":
+        from ..sources.sentencepiece import SentencePiece
+
+        return SentencePiece.read(bytes.fromhex(a["blob"]), **a["options"])
     if kind == "bpe":
         raw = chars_to_bytes_text if a.pop("byte_level", False) else str.encode
         if a.pop("hexed", False):
@@ -48,7 +52,7 @@ class Pipeline:
     model: dict
     stages: list[Stage] = field(default_factory=list)
     special: dict[str, int] = field(default_factory=dict)
-    stripping: dict[str, tuple[bool, bool]] = field(default_factory=dict)
+    stripping: dict[str, tuple[bool, ...]] = field(default_factory=dict)
     template: list[tuple] = field(default_factory=lambda: [("A", 0)])
     pair: list[tuple] = field(default_factory=lambda: [("A", 0), ("B", 1)])
     max_length: int | None = None
@@ -82,7 +86,8 @@ class Pipeline:
 
     def ids(self, text: Column) -> Column:
         """The ids of the text alone: no template, no limit."""
-        return encode_pieces(self.pieces(text), build_model(self.model), self.special)
+        ids = encode_pieces(self.pieces(text), build_model(self.model), self.special)
+        return F.reverse(ids) if self.model.get("reverse") else ids
 
     def _filled(self, items: list[tuple], **segments: Column) -> tuple[Column, Column]:
         cols = [segments[x] if isinstance(x, str) else [x] for x, _ in items]

@@ -41,7 +41,7 @@ TEXTS: dict[str, Callable[..., Callable[[str], str]]] = {
 #: Of pieces; built-in expressions.
 SPLITS: dict[str, Callable[..., Column]] = {
     "split": P.regex_split, "chars": P.split_chars, "bert": P.bert_split, "words": P.whitespace_split, "metaspace_split": P.metaspace_split, "byte_level": P.byte_level_split,
-    "digits": P.digits_split, "punctuation": P.punctuation_split,
+    "digits": P.digits_split, "punctuation": P.punctuation_split, "prepend_first": P.prepend_first,
 }
 
 
@@ -54,10 +54,7 @@ def _charsmap(blob: bytes, squeeze: bool) -> Callable[[str], str]:
 
 
 def fused(stages: Iterable[Stage]) -> list[list[Stage]]:
-    """Neighbouring stages that run in Python together; all others alone. A words split after a metaspace split does nothing more."""
-    stages = list(stages)
-    if any(s.name == "metaspace_split" for s in stages):
-        stages = [s for s in stages if s.name != "words"]
+    """Neighbouring stages that run in Python together; all others alone."""
     out: list[list[Stage]] = []
     for s in stages:
         if out and s.name in TEXTS and out[-1][0].name in TEXTS:

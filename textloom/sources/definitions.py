@@ -13,7 +13,7 @@ from ..operators.kernels import merges_from_ranks
 from ..operators.vocab import as_list
 from ..plans.pipeline import NO_LIMIT, Pipeline
 from ..plans.stages import Stage
-from .sentencepiece import BYTE, CONTROL, SPACE, SentencePiece
+from .sentencepiece import BYTE, CONTROL, SPACE, UNKNOWN, UNKNOWN_TEXT, SentencePiece
 
 TIDY = ("tidy_spaces", {})
 
@@ -90,7 +90,7 @@ def _splitter(s: dict) -> list[Stage]:
         mark, scheme = s.get("replacement", SPACE), s.get("prepend_scheme", "always" if s.get("add_prefix_space", True) else "never")
         out = [Stage("metaspace", {"mark": mark})]
         if scheme != "never":
-            out.append(Stage("prepend", {"prefix": mark, "unless_starts": mark}))
+            out.append(Stage("prepend_first" if scheme == "first" else "prepend", {"prefix": mark, "unless_starts": mark}))
         return [*out, Stage("metaspace_split", {"mark": mark})] if s.get("split", True) else out
     raise ValueError(f"pre-tokenizer {kind} isn't known")
 
@@ -232,12 +232,23 @@ def from_trie_lines(lines: Iterable[str]) -> Pipeline:
     return p
 
 
-def from_sentencepiece(blob: bytes, **options) -> tuple[SentencePiece, Pipeline]:
-    """The model itself (for `encode_texts`), and a pipeline that decodes its ids."""
+def from_sentencepiece(blob: bytes, special: dict[str, int] | None = None, **options) -> tuple[SentencePiece, Pipeline]:
+    """The model itself (for `encode_texts`), and a pipeline that encodes and decodes with it.
+
+    special: tokens that are cut out before the model sees a text, one of letters alone only at a word's edge. The
+    options add_bos, add_eos and reverse are the pipeline's template; the others go to the model."""
     m = SentencePiece.read(blob, **options)
-    p = Pipeline({"type": "wordlevel", "vocab": m.ids, "unk_id": m.unk_id})
-    p.tokens = [(bytes([int(t[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else t.replace(SPACE, " ").encode()).hex() for t, _, kind in m.pieces]
-    p.skip_ids = [i for i, (_, _, kind) in enumerate(m.pieces) if kind == CONTROL]
+    around = {k: options.pop(k, False) for k in ("add_bos", "add_eos", "reverse")}
+    p = Pipeline({"type": "sentencepiece", "blob": blob.hex(), "options": options, "reverse": around["reverse"]}, special=dict(special or {}))
+    p.stripping = {t: (False, False, True) for t in p.special if t.isascii() and t.isalpha()}
+    bos, eos = [(m.bos_id, 0)] * bool(around["add_bos"]), [(m.eos_id, 0)] * bool(around["add_eos"])
+    p.template = [*eos, ("A", 0), *bos] if around["reverse"] else [*bos, ("A", 0), *eos]
+    names = [(bytes([int(t[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else UNKNOWN_TEXT if kind == UNKNOWN else t.replace(SPACE, " ").encode()) for t, _, kind in m.pieces]
+    names += [b""] * (max([-1, *p.special.values()]) + 1 - len(names))
+    for t, i in p.special.items():
+        names[i] = names[i] or t.encode()
+    p.tokens = [t.hex() for t in names]
+    p.skip_ids = sorted({i for i, (_, _, kind) in enumerate(m.pieces) if kind == CONTROL} | set(p.special.values()))
     p.decoder = [("drop_first", {})] if m.dummy_prefix else []
     p.info = {"alphabet": len(byte_alphabet())} if m.byte_fallback else {}
     return m, p

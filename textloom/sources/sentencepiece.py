@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -13,6 +14,7 @@ from ..operators.kernels import Unigram
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM_MODEL, BPE_MODEL = 1, 2
 SPACE = "▁"
+UNKNOWN_TEXT = " ⁇ ".encode()  #: what an unknown piece decodes to
 
 
 def _fields(blob: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -105,16 +107,29 @@ class SentencePiece:
 
     def _bpe(self, text: str) -> list[int]:
         """Merge the neighbours whose union has the best score, leftmost first, until none is known."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = None
-            for i in range(len(parts) - 1):
-                j = self.ids.get(parts[i] + parts[i + 1])
-                if j is not None and self.pieces[j][2] in (NORMAL, USER) and (best is None or self.pieces[j][1] > best[0]):
-                    best = (self.pieces[j][1], i)
-            if best is None:
-                break
-            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+        part, n = list(text), len(text)
+        before, after, heap = list(range(-1, n - 1)), [*range(1, n), n], []
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if j < n and (k := self.ids.get(both := part[i] + part[j])) is not None and self.pieces[k][2] in (NORMAL, USER):
+                heapq.heappush(heap, (-self.pieces[k][1], i, both))
+
+        for i in range(n - 1):
+            offer(i)
+        while heap:
+            _, i, both = heapq.heappop(heap)
+            j = after[i]
+            if not part[i] or j >= n or part[i] + part[j] != both:
+                continue
+            part[i], part[j] = both, ""
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        parts = [p for p in part if p]
         out: list[int] = []
         for p in parts:
             i = self.ids.get(p)
@@ -148,7 +163,7 @@ class SentencePiece:
             if t == BYTE:
                 out += bytes([int(p[3:5], 16)])
             elif t == UNKNOWN:
-                out += " ⁇ ".encode()
+                out += UNKNOWN_TEXT
             elif t != CONTROL:
                 out += p.replace(SPACE, " ").encode()
         return out
