@@ -8,6 +8,7 @@ at most once, however often it occurs there: a key that fills a third of the cor
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import pickle
 import tempfile
@@ -60,6 +61,7 @@ class Batch:
     node numbers the different rows: the batch in the upper half, the row's place among them in the lower."""
 
     def __init__(self, group: pa.Table):
+        trim()
         self.number = int(group.column("batch")[0].as_py())
         got = [unpack(x) for x in group.column("blob").to_pylist()]
         k = np.concatenate([x[0] for x in got])
@@ -226,9 +228,24 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(d == 1), np.flatnonzero(d == -1)
 
 
+try:
+    _give_back = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # not glibc
+    _give_back = lambda _: None
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a worker lives on between tasks, and would keep the most it ever had."""
+    pa.default_memory_pool().release_unused()
+    _give_back(0)
+
+
 def table(schema: str, **columns) -> pa.Table:
     kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}
-    return pa.table({n: pa.array(columns[n], kinds[k]) for n, k in (x.split() for x in schema.split(", "))})
+    out = pa.table({n: pa.array(columns[n], kinds[k]) for n, k in (x.split() for x in schema.split(", "))})
+    columns.clear()
+    trim()
+    return out
 
 
 # ---------------------------------------------------------------- exact counts over all batches
