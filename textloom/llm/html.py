@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!(?!--)[^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)>", re.S)
+#: A comment, a declaration, or a tag. A tag with an open quote ends at its first `>`, one without any at the page's end.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)(?:((?:\"[^\"]*+\"|'[^']*+'|[^>\"']++)*+)>|([^>]*+)(?:>|\Z))", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|data-noise)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 BLOCK = frozenset(
     "html body div p article main section nav header footer aside form fieldset ul ol li dl dt dd table thead tbody tfoot tr td th caption h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address details summary hr "
@@ -50,7 +51,13 @@ class Page:
         self.length, self.linked = [0], [0]
         self.blocks: list[tuple[int, str]] = []
         stack, own, links, hidden = [("html", 0)], [], 0, []
-        at = 0
+        at, last = 0, {}
+
+        def closed(tag: str) -> bool:
+            """Whether the tag's end comes at all."""
+            if tag not in last:
+                last[tag] = max((m.start() for m in re.finditer(f"</{tag}", html, re.I)), default=-1)
+            return last[tag] >= at
 
         def flush():
             nonlocal own
@@ -84,7 +91,7 @@ class Page:
                 elif tag == "hr":
                     flush()
             elif tag in HIDDEN:
-                if not closing:
+                if not closing and (tag == "head" or closed(tag)):
                     hidden.append(tag)
                 elif tag in hidden:
                     del hidden[hidden.index(tag) :]
@@ -102,7 +109,7 @@ class Page:
                         while stack.pop()[0] != tag:
                             pass
                     continue
-                attributes = m[3]
+                attributes = m[3] or m[4] or ""
                 if tag == "html":
                     continue
                 if stack[-1][0] == "p":
@@ -114,16 +121,16 @@ class Page:
                         if stack[i][0] in CLOSES[tag]:
                             del stack[i:]
                             break
-                mark, noise = 0, False
+                bad, good, noise = 0, 0, False
                 if "=" in attributes:
                     for name, *values in ATTRIBUTE.findall(attributes):
                         value = "".join(values)
                         if name.lower() == "data-noise":
                             noise = True
-                        elif BAD.search(value):
-                            mark = 1
-                        elif not mark and GOOD.search(value):
-                            mark = 2
+                        else:
+                            bad += len(BAD.findall(value))
+                            good += len(GOOD.findall(value))
+                mark = 1 if bad > good else 2 if good > bad else 3 * (good > 0)  # words that say boilerplate, content, or both alike
                 self.tags.append(tag)
                 self.parents.append(stack[-1][1])
                 self.marks.append(mark)
@@ -135,7 +142,8 @@ class Page:
 
     def evidence(self) -> Iterator[tuple]:
         for tag, mark, n, links in zip(self.tags, self.marks, self.length, self.linked, strict=True):
-            yield ("tag", FAMILY.get(tag, tag)), ("mark", mark), ("size", 0 if not n else 1 + (n > 40) + (n > 160)), ("links", 0 if not n else 1 + (2 * links > n))
+            family = FAMILY.get(tag, tag)
+            yield ("tag", family), ("mark", mark), ("size", 0 if not n else 1 + (n > 40) + (n > 160)), ("links", 0 if not n else 1 + (2 * links > n), family == "li")
 
 
 class Model:
@@ -205,6 +213,8 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[str]:
 
     def noise(tag: str, inner: str, *names: str) -> str:
         t = r.choice([tag, "div", "section"]) if names and r.random() < 0.4 else tag
+        if r.random() < 0.15:
+            names = [f"{x}-{r.choice(['content', 'body', 'post', 'text'])}" for x in names]
         attr = named(*names) if names and (t != tag or tag in ("div", "section", "p") or r.random() < 0.4) else ""
         return f"<{t} {attr} data-noise=1>{inner}</{t}>"
 
@@ -234,7 +244,7 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[str]:
     for _ in range(n):
         story = [f"<h1>{say(2, 9)}</h1>"] * (r.random() < 0.8)
         for _ in range(r.randint(1, 14)):
-            story.append(r.choices([f"<p>{say(1, 80)}</p>", f"<p><b>{say(2, 9)}</b><br>{say(5, 60)}", f"<h{r.choice('23')}>{say(1, 6)}</h2>", f"<ul><li>{say(2, 20)}<li>{say(2, 20)}</ul>", f"<blockquote><p>{say(5, 40)}</p></blockquote>", f"<pre>{say(3, 20)}</pre>", f"<p>{say(5, 30)} {link()} {say(5, 40)}</p>", f"<table><tr><td>{say(1, 4)}<td>{say(1, 4)}</table>", f"<div>{say(5, 60)}</div>"], [9, 2, 2, 1, 1, 1, 2, 1, 1])[0])
+            story.append(r.choices([f"<p>{say(1, 80)}</p>", f"<p><b>{say(2, 9)}</b><br>{say(5, 60)}", f"<h{r.choice('23')}>{say(1, 6)}</h2>", "<ul>" + "".join(f"<li>{say(1, r.choice([3, 20]))}" for _ in range(r.randint(2, 8))) + "</ul>", f"<blockquote><p>{say(5, 40)}</p></blockquote>", f"<pre>{say(3, 20)}</pre>", f"<p>{say(5, 30)} {link()} {say(5, 40)}</p>", f"<table><tr><td>{say(1, 4)}<td>{say(1, 4)}</table>", f"<div>{say(5, 60)}</div>"], [9, 2, 2, 2, 1, 1, 2, 1, 1])[0])
         for x in r.sample(odd(), r.choice([0, 0, 1, 2])):
             story.insert(r.randint(0, len(story)), x)
         if r.random() < 0.15:
@@ -242,7 +252,7 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[str]:
         kind = r.choice(["article", "article", "main", "div", "bare"])
         inner = "".join(story)
         if kind == "div":
-            inner = f"<div {named('content', 'post', 'entry', 'article', 'story', 'main')}>{inner}</div>"
+            inner = f"<div {named('content', 'post', 'entry', 'article', 'story', 'main', 'post-meta-body content', 'entry-form main-content')}>{inner}</div>"
         elif kind != "bare":
             inner = f"<{kind} {r.choice(['', named('content', 'post')])}>{inner}</{kind}>"
         if r.random() < 0.3:
