@@ -14,6 +14,7 @@ the text classifier and counts their pseudo-labels by metadata for the other, so
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from hashlib import blake2b
@@ -23,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Prefix, binary, chunks, joined, kept, mix, pack, parts, unpack, words
+from .common import U64, Prefix, binary, chunks, distinct, joined, kept, mix, pack, parts, unpack, words
 from .contamination import _WORD, FOLD
 
 LABELLED = 8000
 ROUNDS, SURE = 4, 0.97
-STYLE, META = 16, 96
+STYLE = 16
+SEEN, LENGTHS = 10, 24  #: labelled documents that a language or source needs for a column of its own; columns of lengths
 _KINDS = np.zeros((5, 256), bool)
 _KINDS[0, 0x41:0x5B] = True  # capitals
 _KINDS[1, 0x30:0x3A] = True  # digits
@@ -75,16 +77,32 @@ def style(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
     return (np.concatenate(rows) if rows else np.zeros((0, STYLE))), sets
 
 
-def slots(lang: list, source: list, n_chars: list) -> np.ndarray:
-    """The metadata columns that a document sets: language and source by hash, and the stated length in steps of two."""
-    import zlib
+@dataclass
+class Slots:
+    """The metadata columns: one for each language and each source that the labelled sample has SEEN times, one for all others
+    of either, and the stated length in steps of two."""
+
+    lang: dict
+    source: dict
+
+    @classmethod
+    def of(cls, lang: list, source: list) -> Slots:
+        number = lambda some: {x: i + 1 for i, x in enumerate(sorted((x for x, n in Counter(some).items() if n >= SEEN), key=repr))}
+        return cls(number(lang), number(source))
 
-    got = [(zlib.crc32(repr(a).encode()) % 8, 8 + zlib.crc32(repr(b).encode()) % 64, 72 + min(max(int(c or 0), 0).bit_length(), 23)) for a, b, c in zip(lang, source, n_chars, strict=True)]
-    return np.array(got, np.int64).reshape(-1, 3)
+    @property
+    def width(self) -> int:
+        return len(self.lang) + len(self.source) + 2 + LENGTHS
 
+    def at(self, lang: list, source: list, n_chars: list) -> np.ndarray:
+        """The three columns that each document sets."""
+        a, b = len(self.lang) + 1, len(self.lang) + len(self.source) + 2
+        got = [(self.lang.get(x, 0), a + self.source.get(y, 0), b + min(max(int(c or 0), 0).bit_length(), LENGTHS - 1)) for x, y, c in zip(lang, source, n_chars, strict=True)]
+        return np.array(got, np.int64).reshape(-1, 3)
 
-def metadata(at: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(at), META))
+
+def metadata(at: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(at), width))
     out[np.arange(len(at))[:, None], at] = 1
     return out
 
@@ -138,6 +156,7 @@ def marking(sets: list[np.ndarray], bad: np.ndarray) -> tuple[np.ndarray, np.nda
 
 @dataclass
 class Model:
+    slots: Slots = field(default_factory=lambda: Slots({}, {}))
     words: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     mean: np.ndarray = None
     scale: np.ndarray = None
@@ -164,8 +183,8 @@ class Model:
         z = (form - self.mean) / self.scale
         return np.concatenate([np.clip(z, -6, 6), np.clip(z, -6, 6) ** 2 / 4, np.stack(cols, axis=1)], axis=1)
 
-    def views(self, form: np.ndarray, sets: list[np.ndarray], meta: np.ndarray) -> np.ndarray:
-        z = np.stack([linear(self.text, self.text_features(form, sets)), linear(self.meta, meta)], axis=1)
+    def views(self, form: np.ndarray, sets: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+        z = np.stack([linear(self.text, self.text_features(form, sets)), linear(self.meta, metadata(at, self.slots.width))], axis=1)
         return np.stack([linear(c, z[:, [i]]) for i, c in enumerate(self.calibrated)], axis=1) if self.calibrated else z
 
     def score(self, *features) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,6 +228,7 @@ class Pool:
     """The unlabelled documents' features, packed. A document's pseudo-labels follow from the earlier rounds' models."""
 
     def __init__(self, docs: DataFrame, model: Model, labelled: np.ndarray):
+        self.width = model.slots.width
         n = parts(docs, 32_000_000, 12)
         own = {b.tobytes() for b in labelled}
 
@@ -224,8 +244,8 @@ class Pool:
 
             for rb in batches:
                 form, sets = style(binary(rb.column("text")))
-                bag = _digests([np.unique(s).tobytes() for s in sets])
-                held.append((bag, rb.column("order").to_numpy(), slots(*(rb.column(c).to_pylist() for c in ("lang", "source", "n_chars"))), _thin(model.text_features(form, sets))))
+                bag = _digests([distinct(s).tobytes() for s in sets])
+                held.append((bag, rb.column("order").to_numpy(), model.slots.at(*(rb.column(c).to_pylist() for c in ("lang", "source", "n_chars"))), _thin(model.text_features(form, sets))))
                 if sum(len(h[0]) for h in held) > 50_000:
                     yield from flush()
                     held.clear()
@@ -243,6 +263,7 @@ class Pool:
 
     def slopes(self, meta: list, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the text classifier, over the documents that the metadata classifier's rounds label."""
+        width = self.width
 
         def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grad, bend = np.zeros(len(beta)), np.zeros((len(beta), len(beta)))
@@ -250,7 +271,7 @@ class Pool:
                 for b in rb.column("blob").to_pylist():
                     at, x = unpack(b)
                     kinds, of = np.unique(at, axis=0, return_inverse=True)
-                    y = surely(meta, metadata(kinds))[of.ravel()]
+                    y = surely(meta, metadata(kinds, width))[of.ravel()]
                     use = ~np.isnan(y)
                     g, h = slopes(_wide(x[use]), y[use], np.full(use.sum(), 0.5), beta)
                     grad += g
@@ -291,28 +312,32 @@ class Start:
 def trivial() -> Model:
     """Every document is good."""
     none = np.zeros(0, U64), np.zeros(0)
-    return Model([none, none], np.zeros(STYLE), np.ones(STYLE), np.zeros(2 * STYLE + 7), np.zeros(META + 1), None, np.array([0, 0, 2.0]))
+    m = Model(words=[none, none], mean=np.zeros(STYLE), scale=np.ones(STYLE), text=np.zeros(2 * STYLE + 7), both=np.array([0, 0, 2.0]))
+    m.meta = np.zeros(m.slots.width + 1)
+    return m
 
 
 def held_out(n: int) -> np.ndarray:
     return np.arange(n) % 5 == 4  # the sample is in hash order
 
 
-def begin(form, sets, at, quality, toxic, bags) -> Start | None:
-    """None without labels of both kinds."""
+def begin(form, sets, meta, quality, toxic, bags) -> Start | None:
+    """meta: languages, sources and lengths. None without labels of both kinds."""
     good = (quality == 1) & (toxic == 0)
     if len(good) < 20 or good.all() or not good.any():
         return None
     fit = ~held_out(len(good))
-    m = Model(mean=form[fit].mean(0), scale=form[fit].std(0) + 1e-3)
+    m = Model(slots=Slots.of(*meta[:2]), mean=form[fit].mean(0), scale=form[fit].std(0) + 1e-3)
     some = [s for s, f in zip(sets, fit, strict=True) if f]
     m.words = [marking(some, toxic[fit] == 1), marking(some, quality[fit] == 0)]
-    return Start(m, m.text_features(form, sets), at, good, bags)
+    return Start(m, m.text_features(form, sets), m.slots.at(*meta), good, bags)
 
 
 def co_train(start: Start, pool: Pool) -> Model:
     """Fit on the labelled documents and all of the pool."""
-    m, xt, xm, y = start.model, start.text, metadata(start.at), start.good.astype(float)
+    m, xt, y = start.model, start.text, start.good.astype(float)
+    wide = m.slots.width
+    xm = metadata(start.at, wide)
     test = held_out(len(y))
     fit = ~test
     one = np.ones(fit.sum())
@@ -322,7 +347,7 @@ def co_train(start: Start, pool: Pool) -> Model:
         if turn:
             more, (at, said, n) = (lambda beta: pool.slopes(rounds[1], beta)), pool.tallies(rounds[0])
         text = logistic(xt[fit], y[fit], one, more=more)
-        meta = logistic(np.concatenate([xm[fit], metadata(at)]), np.concatenate([y[fit], said]), np.concatenate([one, n / 2]))
+        meta = logistic(np.concatenate([xm[fit], metadata(at, wide)]), np.concatenate([y[fit], said]), np.concatenate([one, n / 2]))
         z = [linear(text, xt), linear(meta, xm)]
         m.calibrated = [logistic(zi[test][:, None], y[test], np.ones(test.sum()), 0.1) for zi in z]
         rounds[0].append((text, m.calibrated[0]))
@@ -351,7 +376,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
             form, sets = style(binary(rb.column("text")))
             same = [rb.column(c) for c in ("doc_id", "quality", "toxic", "lang", "source", "n_chars")]
             yield pa.RecordBatch.from_arrays(
-                [*same[:3], pa.array([x.tobytes() for x in form], pa.binary()), pa.array([np.unique(s).tobytes() for s in sets], pa.binary()), *same[3:]],
+                [*same[:3], pa.array([x.tobytes() for x in form], pa.binary()), pa.array([distinct(s).tobytes() for s in sets], pa.binary()), *same[3:]],
                 ["doc_id", "quality", "toxic", "form", "words", "lang", "source", "n_chars"],
             )
 
@@ -363,8 +388,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
         group = group.take(key)
         bags = group.column("words").to_pylist()
         form = np.frombuffer(b"".join(group.column("form").to_pylist()), np.float64).reshape(group.num_rows, -1)
-        at = slots(*(group.column(c).to_pylist() for c in ("lang", "source", "n_chars")))
-        got = begin(form, [np.frombuffer(b, U64) for b in bags], at, *(np.array(group.column(c).to_pylist()) for c in ("quality", "toxic")), _digests(bags))
+        meta = [group.column(c).to_pylist() for c in ("lang", "source", "n_chars")]
+        got = begin(form, [np.frombuffer(b, U64) for b in bags], meta, *(np.array(group.column(c).to_pylist()) for c in ("quality", "toxic")), _digests(bags))
         return pa.table({"start": pa.array([pack(got)], pa.binary())})
 
     # the labelled sample is bounded, so one task on an executor can see its words and the driver gets features alone
@@ -390,7 +415,7 @@ def classify(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             form, sets = style(binary(rb.column("text")))
-            a, b, both = model.score(form, sets, metadata(slots(*(rb.column(c).to_pylist() for c in ("lang", "source", "n_chars")))))
+            a, b, both = model.score(form, sets, model.slots.at(*(rb.column(c).to_pylist() for c in ("lang", "source", "n_chars"))))
             yield pa.RecordBatch.from_arrays([rb.column("row"), *(pa.array(x, pa.float64()) for x in (a, b, both)), pa.array(both >= model.threshold)], ["row", "text_score", "meta_score", "score", "good"])
 
     return source.mapInArrow(f, f"row {source.schema['row'].dataType.simpleString()}, {SCORED}")
