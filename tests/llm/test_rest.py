@@ -389,18 +389,36 @@ def test_pipeline(spark, tmp_path):
     ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
     for before, after in steps[:-1]:
         assert after.columns == before.columns == list(corpus_pipeline.COLUMNS) and ids(after) <= ids(before)
+    before, after = steps[0]
+    good = quality.classify(before, spark.read.parquet(str(tmp_path / "labels.parquet"))).where("good").select("row.*")
+    assert sorted(map(repr, good.collect())) == sorted(map(repr, after.collect())) and 0 < after.count() < before.count()
+    known = {r.doc_id: r.quality == 1 and r.toxic == 0 for r in spark.read.parquet(str(tmp_path / "labels.parquet")).collect()}
+    stay = ids(after)
+    assert sum((d in stay) == ok for d, ok in known.items()) / len(known) > 0.9
     from .test_near import brute
 
     before, after = steps[1]
     classes = brute([(r.doc_id, r.text) for r in before.collect()])
     assert ids(after) == {c for _, c in classes}
-    from .test_substring import brute_bytes
+    from .test_substring import kept_bytes
 
     before, after = steps[2]
-    want = {d: n - gone for d, n, gone, *_ in brute_bytes([(r.doc_id, r.text) for r in before.collect()])}
-    assert all(len(r.text.encode()) <= want[r.doc_id] for r in after.collect())
+    want = {(d, b.decode("utf-8", "ignore"), b == (t or "").encode()) for d, b, t in kept_bytes([(r.doc_id, r.text) for r in before.collect()])}
+    want = {(d, t) for d, t, whole in want if whole or re.search(r"[^\x20\x09-\x0D]", t)}
+    assert {(r.doc_id, r.text) for r in after.collect()} == want and all(r.n_chars == len(r.text) for r in after.collect())
     before, after = steps[3]
     items = [(r.item_id, r.text) for r in spark.read.parquet(str(tmp_path / "benchmark.parquet")).collect()]
     assert ids(after) == {d for d, *_, bad in brute_hits([(r.doc_id, r.text) for r in before.collect()], items) if not bad}
+    before, after = steps[4]
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    rows, sizes = before.collect(), {}
+    for r in rows:
+        sizes[r.source] = sizes.get(r.source, 0) + size(r.text)
+    target, want = brute_targets(sizes), []
+    for r in rows:
+        rate = target[r.source] / sizes[r.source] if sizes[r.source] else 0
+        u = int(hashlib.md5(f"42:{r.doc_id}:{r.text}".encode()).hexdigest()[:13], 16) / 2**52
+        want += [(r.doc_id, r.text, k) for k in range(int(rate) + (u < float(rate) - int(rate)))]
+    assert sorted((r.doc_id, r.text, r["copy"]) for r in after.collect()) == sorted(want)
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(repr, got.collect())) == sorted(map(repr, steps[-1][1].collect()))

@@ -23,20 +23,30 @@ def corpus(seed, n=60, hot=False):
     return [(*x, "a", "b") for x in rows]
 
 
-def brute_bytes(rows, k=100):
+def covered_bytes(rows, k=100):
+    """Each row's bytes and which of them go."""
     first, big = {}, 1 << 62
     for d, t, *_ in rows:
         b = (t or "").encode()
         for i in range(len(b) - k + 1):
             key = (big if d is None else d, i)
             first[b[i : i + k]] = min(first.get(b[i : i + k], key), key)
-    out = []
     for d, t, *_ in rows:
         b = (t or "").encode()
         gone = [False] * len(b)
         for i in range(len(b) - k + 1):
             if (big if d is None else d, i) > first[b[i : i + k]]:
                 gone[i : i + k] = [True] * k
+        yield d, t, b, gone
+
+
+def kept_bytes(rows):
+    return [(d, bytes(x for x, g in zip(b, gone) if not g), t) for d, t, b, gone in covered_bytes(rows)]
+
+
+def brute_bytes(rows):
+    out = []
+    for d, _, b, gone in covered_bytes(rows):
         spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
         kept = bytes(x for x, g in zip(b, gone) if not g)
         out.append((d, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))

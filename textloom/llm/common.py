@@ -12,7 +12,9 @@ import ctypes
 import gc
 import pickle
 import tempfile
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -248,9 +250,64 @@ def table(schema: str, **columns) -> pa.Table:
     return out
 
 
-# ---------------------------------------------------------------- exact counts over all batches
+# ---------------------------------------------------------------- from batches to buckets and back
 
 SENT = "bucket int, batch int, blob binary"
+FAN = 2000  #: rows that a batch sends, and that a bucket gets, at most
+
+
+@dataclass(frozen=True)
+class Lanes:
+    """The way from many senders to many receivers.
+
+    A row for each pair of them would grow with the square of the input. So where either are more than FAN, rows travel
+    in hops: a hop parts the receivers' numbers into `wide` times as many lanes, and joins what `fan` neighbouring
+    senders have for one lane. A sender's rows are bounded by `wide` then, and their number grows with the input."""
+
+    wide: int
+    hops: int
+    fan: int
+
+    @classmethod
+    def of(cls, senders: int, receivers: int, fan: int | None = None) -> Lanes:
+        fan = fan or FAN
+        hops = next(h for h in range(1, 64) if fan**h >= max(senders, receivers))
+        return cls(receivers if hops == 1 else next(w for w in range(1, fan + 1) if w**hops >= receivers), hops, fan)
+
+    def count(self, hop: int) -> int:
+        """Lanes after so many hops; after the last one each is a receiver."""
+        return self.wide**hop
+
+    @property
+    def first(self) -> int:
+        return self.count(1)
+
+
+def post(sender: int, items: dict[int, object], lanes: Lanes, hop: int = 1) -> pa.Table:
+    """What a sender has for each receiver, a row for each lane. Receivers below 0 get it at once."""
+    step, rows = lanes.count(lanes.hops - hop), defaultdict(list)
+    for to, x in items.items():
+        rows[to if to < 0 else to // step].append((to, sender, x))
+    return table(SENT, bucket=list(rows), batch=[sender] * len(rows), blob=[pack(x) for x in rows.values()])
+
+
+def _regrouping(step: int) -> Callable[[pa.Table], pa.Table]:
+    def regroup(group: pa.Table) -> pa.Table:
+        rows = defaultdict(list)
+        for blob in group.column("blob").to_pylist():
+            for x in unpack(blob):
+                rows[x[0] if x[0] < 0 else x[0] // step].append(x)
+        node = group.column("node")[0].as_py()
+        return table(SENT, bucket=list(rows), batch=[node] * len(rows), blob=[pack(x) for x in rows.values()])
+
+    return regroup
+
+
+def relayed(posted: DataFrame, lanes: Lanes) -> DataFrame:
+    """The same by receiver: rows of (bucket: receiver, batch, blob: (receiver, sender, item)s)."""
+    for hop in range(2, lanes.hops + 1):
+        posted = posted.withColumn("node", F.floor(F.col("batch") / lanes.fan).cast("int")).groupBy("bucket", "node").applyInArrow(_regrouping(lanes.count(lanes.hops - hop)), SENT)
+    return posted
 
 
 def _ranges(keys: np.ndarray, nb: int) -> np.ndarray:
@@ -288,29 +345,52 @@ def send(batch: int, keys: np.ndarray, nb: int, *counts: np.ndarray) -> pa.Table
     return table(SENT, bucket=full, batch=np.full(len(full), batch), blob=[pickle.dumps((pack_keys(keys[cut[b] : cut[b + 1]]), pack_ints(n[:, cut[b] : cut[b + 1]]))) for b in full])
 
 
-def counted(sent: DataFrame, about: Callable[..., object] | None = None) -> DataFrame:
+def _summed(blobs: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of some senders, their totals, each entry's place among them, and each sender's first entry."""
+    keys = np.concatenate([unpack_keys(b[0]) for b in blobs])
+    n = np.concatenate([unpack_ints(b[1]) for b in blobs], axis=1)
+    uniq, inv = np.unique(keys, return_inverse=True)
+    return uniq, np.stack([np.bincount(inv, x, len(uniq)).astype(np.int64) for x in n]), inv, np.cumsum([0] + [b[1][0][1] for b in blobs])
+
+
+def _shared(group: pa.Table, total: np.ndarray, inv: np.ndarray, cut: np.ndarray) -> dict[str, list]:
+    got = total[:, inv]
+    return {"bucket": group.column("bucket").to_pylist(), "batch": group.column("batch").to_pylist(), "blob": [pickle.dumps(pack_ints(got[:, i:j])) for i, j in zip(cut, cut[1:], strict=False)]}
+
+
+def counted(sent: DataFrame, lanes: Lanes, about: Callable[..., object] | None = None, hop: int = 1) -> DataFrame:
     """Totals of each key over all batches: (bucket, batch, blob of totals in the order sent).
 
     With `about`, a bucket adds a row of batch -1 that holds about(distinct keys, *totals).
 
-    Entries of one key come once from each batch, so a bucket is bounded by its distinct keys times the batches that
-    have them, and packed sorted runs are summed by one sort."""
-
-    def total(group: pa.Table) -> pa.Table:
-        blobs = [pickle.loads(b) for b in group.column("blob").to_pylist()]
-        keys = np.concatenate([unpack_keys(b[0]) for b in blobs])
-        n = np.concatenate([unpack_ints(b[1]) for b in blobs], axis=1)
-        uniq, inv = np.unique(keys, return_inverse=True)
-        each = np.stack([np.bincount(inv, x, len(uniq)).astype(np.int64) for x in n])
-        got = each[:, inv]
-        cut = np.cumsum([0] + [b[1][0][1] for b in blobs])
-        back = [pickle.dumps(pack_ints(got[:, i:j])) for i, j in zip(cut, cut[1:], strict=False)]
-        bucket, batch = group.column("bucket").to_pylist(), group.column("batch").to_pylist()
-        if about:
-            bucket, batch, back = [*bucket, bucket[0]], [*batch, -1], [*back, pickle.dumps(about(uniq, *each))]
-        return table(SENT, bucket=bucket, batch=batch, blob=back)
-
-    return sent.groupBy("bucket").applyInArrow(total, SENT)
+    Entries of one key come once from each sender, so a group is bounded by its distinct keys times the senders that
+    have them, and packed sorted runs are summed by one sort. Before the last hop, `fan` senders' sums travel on as one
+    sender's, and what comes back is shared out among them."""
+    if hop == lanes.hops:
+
+        def total(group: pa.Table) -> pa.Table:
+            uniq, each, inv, cut = _summed([pickle.loads(b) for b in group.column("blob").to_pylist()])
+            out = _shared(group, each, inv, cut)
+            if about:
+                out = {k: [*x, y] for (k, x), y in zip(out.items(), (out["bucket"][0], -1, pickle.dumps(about(uniq, *each))), strict=True)}
+            return table(SENT, **out)
+
+        return sent.groupBy("bucket").applyInArrow(total, SENT)
+
+    def merge(group: pa.Table) -> pa.Table:
+        uniq, each, *_ = _summed([pickle.loads(b) for b in group.column("blob").to_pylist()])
+        return send(group.column("node")[0].as_py(), uniq, lanes.count(hop + 1), *each)
+
+    def share(left: pa.Table, right: pa.Table) -> pa.Table:
+        uniq, each, inv, cut = _summed([pickle.loads(b) for b in left.column("blob").to_pylist()])
+        total = totals(uniq, lanes.count(hop + 1), right, len(each))
+        return table(SENT, **_shared(left, total.reshape(len(each), -1), inv, cut))
+
+    mine = sent.withColumn("node", F.floor(F.col("batch") / lanes.fan).cast("int")).repartition("bucket", "node")
+    back = counted(mine.groupBy("bucket", "node").applyInArrow(merge, SENT), lanes, about, hop + 1)
+    wider = back.where("batch >= 0").withColumn("lane", F.floor(F.col("bucket") / lanes.wide).cast("int"))
+    out = mine.groupBy("bucket", "node").cogroup(wider.groupBy("lane", "batch")).applyInArrow(share, SENT)
+    return out.union(back.where("batch < 0")) if about else out
 
 
 def totals(keys: np.ndarray, nb: int, back: pa.Table, counts: int = 1) -> np.ndarray:

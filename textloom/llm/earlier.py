@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from .common import SENT, U64, Batch, Prefix, batched, chunks, counted, distinct, joined, mix, pack, parts, send, table, totals, unpack, words
+from .common import SENT, U64, Batch, Lanes, Prefix, batched, chunks, counted, distinct, joined, mix, parts, post, relayed, send, totals, unpack, words
 
 
 HOT = 2000
@@ -119,8 +119,9 @@ def _parts(b: Batch, rule: Rule):
 
 def find(docs: DataFrame, rule: Rule, out: str, finish: Callable[[Batch, list], pa.Table], *more: Column) -> DataFrame:
     """finish() gets a batch and, per document, the (start, count) arrays of its windows that also start earlier."""
-    d, _ = batched(docs, *more)
+    d, n = batched(docs, *more)
     nb = parts(docs, 3_000_000, 48)
+    there, home = Lanes.of(n, nb), Lanes.of(nb, n)
 
     def minimisers(group: pa.Table) -> pa.Table:
         b = Batch(group)
@@ -132,7 +133,7 @@ def find(docs: DataFrame, rule: Rule, out: str, finish: Callable[[Batch, list],
                 h = h[pair]
             found.append(h)
         keys, c = np.unique(np.concatenate([*found, np.zeros(0, U64)]), return_counts=True)
-        return send(b.number, keys, nb, c.astype(np.int32))
+        return send(b.number, keys, there.first, c)
 
     def strings(left: pa.Table, right: pa.Table) -> pa.Table:
         b = Batch(left)
@@ -140,7 +141,7 @@ def find(docs: DataFrame, rule: Rule, out: str, finish: Callable[[Batch, list],
         for lo, _, u in _parts(b, rule):
             runs.append((lo, u, *_runs(u, rule, Prefix(u.buf))))
         keys = distinct(np.concatenate([*(r[4] for r in runs), np.zeros(0, U64)]))
-        total = totals(keys, nb, right)
+        total = totals(keys, there.first, right)
         done: list[np.ndarray] = []
         ids: dict[bytes, int] = {}
         occ: list[tuple] = []
@@ -169,35 +170,35 @@ def find(docs: DataFrame, rule: Rule, out: str, finish: Callable[[Batch, list],
                     rows[int(bucket[g[0]])].append((own, [names[x] for x in c], inv.astype(np.int32), doc[g].astype(np.int32), key[g], at[g], count[g].astype(np.int32)))
         if done and (gone := np.concatenate(done, axis=1)).size:
             rows[-1 - b.number].append(gone)
-        return table(SENT, bucket=list(rows), batch=[b.number] * len(rows), blob=[pack(x) for x in rows.values()])
+        return post(b.number, rows, there)
 
     def meet(group: pa.Table) -> pa.Table:
-        """What also starts earlier, by batch: documents, first windows, counts."""
+        """What also starts earlier, for each batch: documents, first windows, counts."""
         back: dict[int, list[np.ndarray]] = defaultdict(list)
         strs = []
-        for k, bucket, blob in zip(*(group.column(c).to_pylist() for c in ("batch", "bucket", "blob")), strict=True):
-            for x in unpack(blob):
-                if bucket < 0:
-                    back[k].append(x)  # decided in the batch
+        for blob in group.column("blob").to_pylist():
+            for to, k, entries in unpack(blob):
+                if to < 0:
+                    back[k] += entries  # decided in the batch
                 else:
-                    strs.append((k, x))
+                    strs += [(k, x) for x in entries]
         if strs:
             _strings(strs, rule, back)
-        return table("batch int, blob binary", batch=list(back), blob=[pack(np.concatenate(x, axis=1)) for x in back.values()])
+        return post(abs(group.column("bucket")[0].as_py()), {k: np.concatenate(x, axis=1) for k, x in back.items()}, home)
 
     def finished(left: pa.Table, right: pa.Table) -> pa.Table:
         b = Batch(left)
-        gone = [unpack(x) for x in right.column("blob").to_pylist()]
+        gone = [x for blob in right.column("blob").to_pylist() for _, _, x in unpack(blob)]
         doc, at, count = np.concatenate([*gone, np.zeros((3, 0), np.int64)], axis=1)
         order = np.argsort(doc, kind="stable")
         doc, at, count = doc[order], at[order], count[order]
         cut = np.searchsorted(doc, np.arange(len(b.texts) + 1))
         return finish(b, [(at[i:j], count[i:j]) for i, j in zip(cut, cut[1:], strict=False)])
 
-    back = counted(d.groupBy("batch").applyInArrow(minimisers, SENT))
+    back = counted(d.groupBy("batch").applyInArrow(minimisers, SENT), there)
     sent = d.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(strings, SENT)
-    late = sent.groupBy("bucket").applyInArrow(meet, "batch int, blob binary")
-    return d.groupBy("batch").cogroup(late.groupBy("batch")).applyInArrow(finished, out)
+    late = relayed(relayed(sent, there).groupBy("bucket").applyInArrow(meet, SENT), home)
+    return d.groupBy("batch").cogroup(late.groupBy("bucket")).applyInArrow(finished, out)
 
 
 def _earliest(cls: np.ndarray, key: np.ndarray, at: np.ndarray | None) -> np.ndarray:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SENT, U64, Batch, batched, chunks, coded, counted, joined, keyed, mix, parts, send, settled, table, totals, words
+from .common import SENT, U64, Batch, Lanes, batched, chunks, coded, counted, joined, keyed, mix, parts, send, settled, table, totals, words
 
 END, START = U64(0x1234567887654320), U64(0x0FEDCBA987654322)  #: keys of the end token and of the context before the first word
 TOP = U64(1 << 63)  #: set in pairs' keys only, so they follow all words' keys
@@ -99,18 +99,18 @@ def score(docs: DataFrame, fold: int = 7, held: int = 2, tuning: int = 5) -> Dat
     role = F.when(F.pmod(crc, F.lit(fold)) == held, HELD).when(F.pmod(F.floor(crc / fold), F.lit(tuning)) == 0, TUNE).otherwise(TRAIN)
     d, n = batched(docs, role)
     d = settled(d)  # three steps read the batches
-    nb = parts(docs, 2_000_000, 48)
+    lanes = Lanes.of(n, parts(docs, 2_000_000, 48))
 
     def tell(group: pa.Table) -> pa.Table:
         b = Batch(group)
         _, _, _, u, _, cu, p, _, cp = _tables(b)
-        return send(b.number, np.concatenate([u, p]), nb, *np.concatenate([cu, cp], axis=1))
+        return send(b.number, np.concatenate([u, p]), lanes.first, *np.concatenate([cu, cp], axis=1))
 
     def about(keys: np.ndarray, total: np.ndarray, tune: np.ndarray) -> tuple[int, int, int]:
         one = keys < TOP
         return int(total[one].sum()), int((total[one] > 0).sum()), int(tune[one].sum())
 
-    back = settled(counted(d.groupBy("batch").applyInArrow(tell, SENT), about).repartition(n, "batch"))
+    back = settled(counted(d.groupBy("batch").applyInArrow(tell, SENT), lanes, about).repartition(n, "batch"))
     sums = back.where("batch = -1").mapInArrow(lambda it: (pa.RecordBatch.from_pydict(dict(zip("nvt", ([pickle.loads(x)[k] for x in rb.column("blob").to_pylist()] for k in range(3)), strict=True))) for rb in it), "n long, v long, t long")
     big_n, big_v, tuned = (int(x or 0) for x in sums.agg(F.sum("n"), F.sum("v"), F.sum("t")).first())
     back = back.where("batch >= 0")
@@ -119,7 +119,7 @@ def score(docs: DataFrame, fold: int = 7, held: int = 2, tuning: int = 5) -> Dat
         """Tokens per text, roles, and for each token the counts of itself, its context and its pair: in all training
         documents, and in the tuning ones among them."""
         n, before, role, u, ui, _, p, pi, _ = _tables(b)
-        got = totals(np.concatenate([u, p]), nb, right, 2)
+        got = totals(np.concatenate([u, p]), lanes.first, right, 2)
         cu, cp = got[:, : len(u)], got[:, len(u) :]
         at = np.minimum(np.searchsorted(u, before), len(u) - 1)
         ctx = np.where(u[at] == before, cu[:, at], 0)

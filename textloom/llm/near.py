@@ -24,7 +24,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SENT, U64, Batch, Prefix, batched, chunks, counted, distinct, kept, mix, pack, parts, send, settled, table, totals, unpack
+from .common import SENT, U64, Batch, Lanes, Prefix, batched, chunks, counted, distinct, kept, mix, pack, parts, send, settled, table, totals, unpack
 from .earlier import Units
 from .graph import components, salted
 
@@ -172,7 +172,8 @@ def near_duplicates(docs: DataFrame, like: float = LIKE) -> DataFrame:
     so each of them is `first` where one is. A null doc_id comes after all others."""
     d, n = batched(docs)
     d = settled(d)  # several steps read the batches
-    nb = parts(docs, 3_000_000, 48)
+    lanes = Lanes.of(n, parts(docs, 3_000_000, 48))
+    nb = lanes.first
     many = docs.count()
 
     def tell(group: pa.Table) -> pa.Table:
@@ -180,7 +181,7 @@ def near_duplicates(docs: DataFrame, like: float = LIKE) -> DataFrame:
         keys, c = _df_words(b)
         return send(b.number, keys, nb, c)
 
-    back = settled(counted(d.groupBy("batch").applyInArrow(tell, SENT)).repartition(n, "batch"))
+    back = settled(counted(d.groupBy("batch").applyInArrow(tell, SENT), lanes).repartition(n, "batch"))
 
     def sketched(left: pa.Table, right: pa.Table) -> pa.Table:
         b = Batch(left)
