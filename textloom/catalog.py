@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +37,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where the scan has fewer tasks than that (a small file is one row group); else as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -65,7 +72,7 @@ def _ids(c: str = "text") -> Column:
 
 
 def _doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(words()).alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(words()).alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
 
 
 # ---------------------------------------------------------------- texts
@@ -81,7 +88,7 @@ def q_case_fold_ascii(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", low().alias("lower_text"), X.ascii_case("lang", lower=False).alias("upper_lang"))
 
 
-@query()
+@query("select doc_id, replace(lower(text), 'ß', 'ss') as folded from documents")
 def q_case_fold_unicode(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", U.fold_case(F.col("text")).alias("folded"))
 
@@ -97,7 +104,15 @@ def q_strip_accents(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", decomposed.alias("d")).select("doc_id", X.strip_accents("d").alias("plain"))
 
 
-@query()
+def _decomposed(compatible: bool) -> str:
+    """SQL for the text with each letter taken apart, by a table of the letters up to U+024F and of compatibility forms."""
+    form = "NFKD" if compatible else "NFD"
+    some = [chr(c) for block in ((0xA0, 0x250), (0x2000, 0x2150), (0xFB00, 0xFB07), (0xFF00, 0xFF5F)) for c in range(*block)]
+    table = ", ".join(f"'{c}': '{d}'" for c in some if (d := unicodedata.normalize(form, c).replace("'", "''")) != c)
+    return f"array_to_string(list_transform(regexp_extract_all(text, '(?s).'), lambda c: coalesce(map {{{table}}}[c], c)), '')"
+
+
+@query(f"select doc_id, {_decomposed(False)} as nfd, nfc_normalize({_decomposed(True)}) as nfkc, {_decomposed(True)} as nfkd from documents")
 def q_normalize_forms(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", *[U.normalize_unicode(F.col("text"), f).alias(f.lower()) for f in ("NFD", "NFKC", "NFKD")])
 
@@ -115,7 +130,7 @@ def q_utf8_validate(spark, sf_dir):
 
 @query("select doc_id, text as back, octet_length(encode(text))::bigint as n from documents")
 def q_byte_level_roundtrip(spark, sf_dir):
-    x = read(spark, sf_dir, "documents").select("doc_id", U.bytes_to_chars(F.col("text")).alias("c"))
+    x = spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", U.bytes_to_chars(F.col("text")).alias("c"))
     return x.select("doc_id", F.decode(U.chars_to_bytes(F.col("c")), "UTF-8").alias("back"), F.length("c").cast("long").alias("n"))
 
 
@@ -177,7 +192,7 @@ def _split_sql(table: str, key: str, column: str, pattern: str) -> str:
 
 
 def _split(spark, sf_dir, table: str, key: str, column: str, *how, **more) -> DataFrame:
-    x = read(spark, sf_dir, table).select(key, P.regex_split(P.as_pieces(column), *how, **more).alias("p"))
+    x = spread(read(spark, sf_dir, table).select(key, column)).select(key, P.regex_split(P.as_pieces(column), *how, **more).alias("p"))
     return x.select(key, F.posexplode(P.values(F.col("p"))).alias("pos", "piece")).withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -227,10 +242,14 @@ def q_split_limited(spark, sf_dir):
     return _split(spark, sf_dir, "pages", "page_id", "url", "/", "isolate", most=3)
 
 
-@query()
+# the look-ahead of the pattern, said without one: a mark that no piece takes stands before the last of several blanks
+@query(_split_sql("documents", "doc_id", r"regexp_replace(text, '(\s+)(\s)(\S)', '\1' || chr(57344) || '\2\3', 'g')", r"''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\x{E000}]+|\s+"))
 def q_split_byte_level(spark, sf_dir):
-    x = read(spark, sf_dir, "documents").select("doc_id", P.byte_level_split(P.as_pieces("text")).alias("p"))
-    return x.select("doc_id", F.posexplode(P.values(F.col("p"))).alias("pos", "piece"))
+    return _exploded(spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", P.byte_level_split(P.as_pieces("text")).alias("p")))
+
+
+def _exploded(x: DataFrame) -> DataFrame:
+    return x.select("doc_id", F.posexplode(P.values(F.col("p"))).alias("pos", "piece")).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("select conv_id, turn, (i - 1)::bigint as pos, p[i] as piece, p[i] in ('<|user|>', '<|assistant|>', '<|end|>') as skip from (select conv_id, turn, regexp_extract_all('<|' || case when role = 'user' then 'user' else 'assistant' end || '|>' || replace(text, '<', '') || '<|end|>', '<\\|(?:user|assistant|end)\\|>|[^<]+') as p from conversations), unnest(range(1, len(p) + 1)) as t(i)")
@@ -407,12 +426,6 @@ def _model(spark, sf_dir, model) -> DataFrame:
     return M.flat_ids(spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", M.encode_pieces(pieces, model).alias("ids")), "doc_id", "ids")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt to all cores where the scan has fewer tasks than that (a small file is one row group); else as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _values(pairs) -> str:
     return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in p) + ")" for p in pairs)
 
@@ -448,18 +461,74 @@ def q_bpe(spark, sf_dir):
     return _model(spark, sf_dir, K.BPE(BPE_VOCAB, MERGES))
 
 
-@query()
+#: best[p + 1] is the best score of the first p letters, path[p + 1] its tokens; of equal scores that of the token that starts first
+VITERBI = """st(word, p, best, path) as (select word, 0, [0::float], [[]::int[]] from words union all
+ select s.word, s.p + 1, list_append(s.best, b.score), list_append(s.path, list_append(s.path[s.p + 2 - b.n], b.id)) from st s, lateral (
+  select length(tok) as n, id, (s.best[s.p + 2 - length(tok)] + v.score)::float as score from v where length(tok) <= s.p + 1 and substr(s.word, s.p + 2 - length(tok), length(tok)) = tok order by 3 desc, 1 desc limit 1) b where s.p < length(s.word)),
+done as (select word, path[p + 1] as ids from st where p = length(word))"""
+
+
+@query(_model_sql(f"v(tok, id, score) as (select tok, id, score::float from (values {_values((t, i, s) for i, (t, s) in enumerate(UNIGRAMS) if i)}) as x(tok, id, score)), {VITERBI}"))
 def q_unigram(spark, sf_dir):
     return _model(spark, sf_dir, K.Unigram(UNIGRAMS, UNK))
 
 
-@query()
-def q_sentencepiece(spark, sf_dir):
-    from .sources.sentencepiece import CONTROL, NORMAL, SPACE, UNKNOWN, SentencePiece
+SP_PIECES = ["<unk>", "<s>", "</s>", "▁", *(t for t, _ in UNIGRAMS[1:])]
+LONGEST = max(len(t) for t, _ in UNIGRAMS[1:])
+#: the places of the last few letters are all that a token can begin at
+SP_SQL = f"""v(tok, id, score) as (select tok, id, score::float from (values ('▁', 3, -3.0), {_values((t, i + 3, s) for i, (t, s) in enumerate(UNIGRAMS) if i)}) as x(tok, id, score)),
+low as (select conv_id, turn, string_split(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ') as w from conversations),
+norm as (select conv_id, turn, case when len(list_filter(w, lambda x: x <> '')) > 0 then '▁' || array_to_string(list_filter(w, lambda x: x <> ''), '▁') else '' end as word from low),
+st(word, p, best, path) as (select word, 0, [0::float], [[]::int[]] from (select distinct word from norm) union all
+ select s.word, s.p + 1, list_append(s.best[-{LONGEST}:], b.score), list_append(s.path[-{LONGEST}:], list_append(s.path[-b.n], b.id)) from st s, lateral (
+  select n, id, (s.best[-n] + e.score)::float as score from (
+   select length(tok) as n, id, score from v where length(tok) <= s.p + 1 and substr(s.word, s.p + 2 - length(tok), length(tok)) = tok
+   union all select 1, 0, {min(s for _, s in UNIGRAMS[1:]) - 10}::float where not exists (select 1 from v where tok = substr(s.word, s.p + 1, 1))) e order by 3 desc, 1 desc limit 1) b where s.p < length(s.word)),
+done as (select word, path[-1] as raw from st where p = length(word)),
+ids as (select conv_id, turn, list_concat([1], list_filter(raw, lambda x, i: x <> 0 or i = 1 or raw[i - 1] <> 0), [2]) as ids from norm join done using (word)),
+flat as (select conv_id, turn, (unnest(range(1, len(ids) + 1)) - 1)::bigint as pos, unnest(ids)::int as token_id from ids),
+names(id, name) as (values {_values((i, " ⁇ " if i == 0 else "" if i < 3 else t.replace("▁", " ")) for i, t in enumerate(SP_PIECES))})"""
+
+
+def _sentencepiece(spark, sf_dir) -> tuple[DataFrame, list[bytes]]:
+    """(conv_id, turn, ids) and the bytes of each id."""
+    from .sources.sentencepiece import CONTROL, NORMAL, SPACE, UNKNOWN, UNKNOWN_TEXT, SentencePiece
 
     m = SentencePiece([("<unk>", 0.0, UNKNOWN), ("<s>", 0.0, CONTROL), ("</s>", 0.0, CONTROL), (SPACE, -3.0, NORMAL), *((t, s, NORMAL) for t, s in UNIGRAMS[1:])], options={"add_bos": True, "add_eos": True})
-    x = read(spark, sf_dir, "conversations").select("conv_id", "turn", M.encode_texts(low(), m).alias("ids"))
-    return x.select("conv_id", "turn", F.posexplode("ids").alias("pos", "token_id"))
+    x = spread(read(spark, sf_dir, "conversations")).select("conv_id", "turn", M.encode_texts(low(), m).alias("ids"))
+    return x, [UNKNOWN_TEXT if k == UNKNOWN else b"" if k == CONTROL else t.replace(SPACE, " ").encode() for t, _, k in m.pieces]
+
+
+@query(f"with recursive {SP_SQL} select conv_id, turn, pos, token_id from flat")
+def q_sentencepiece(spark, sf_dir):
+    x, _ = _sentencepiece(spark, sf_dir)
+    return x.select("conv_id", "turn", F.posexplode("ids").alias("pos", "token_id")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"with recursive {SP_SQL} select conv_id, turn, regexp_replace(string_agg(name, '' order by pos), '^ ', '') as text from flat join names on id = token_id group by 1, 2")
+def q_sentencepiece_decode(spark, sf_dir):
+    x, tokens = _sentencepiece(spark, sf_dir)
+    return x.select("conv_id", "turn", X.drop_first(M.decode_bytes(F.col("ids"), tokens)).alias("text"))
+
+
+@query(f"with recursive {SP_SQL} select conv_id, turn, (pos // 8)::bigint as part, hex(string_agg(name, '' order by pos)) as bytes_hex from flat join names on id = token_id group by 1, 2, 3")
+def q_sentencepiece_stream(spark, sf_dir):
+    """Eight ids at a time, as a stream gives them: the bytes of each part."""
+    from .streaming.decode import token_bytes
+
+    x, tokens = _sentencepiece(spark, sf_dir)
+    part = F.transform(F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / 8)), lambda i: F.slice("ids", (i * 8 + 1).cast("int"), F.lit(8)))
+    x = x.select("conv_id", "turn", F.posexplode(part).alias("part", "some"))
+    return x.select("conv_id", "turn", F.col("part").cast("long").alias("part"), F.hex(token_bytes(F.col("some"), tokens)).alias("bytes_hex"))
+
+
+# White space and signs by which the words of a text are cut.
+BERT_SQL = f"""v(tok, id, rest) as (values {_values((t.removeprefix('##'), i, str(t.startswith('##')).lower()) for t, i in WORDPIECES.items())}),
+cut as (select conv_id, turn, regexp_extract_all(replace(lower(strip_accents(text)), 'ß', 'ss'), '[!-/:-@\\[-`{{-~\\p{{P}}]|[^\\s!-/:-@\\[-`{{-~\\p{{P}}]+') as w from conversations),
+words as (select distinct unnest(w) as word from cut), {GREEDY.format(unk=UNK, stop="true", where="rest = (s.p > 1)::varchar and ")},
+done as (select word, case when bad then [{UNK}] else ids end as ids from st where p > length(word) or bad),
+flat as (select conv_id, turn, i, done.ids from (select conv_id, turn, unnest(w) as word, generate_subscripts(w, 1) as i from cut) join done using (word)),
+doc as (select conv_id, turn, coalesce(flatten(list(ids order by i) filter (ids is not null)), []) as ids from cut left join flat using (conv_id, turn) group by 1, 2)"""
 
 
 def _bert() -> Pipeline:
@@ -472,16 +541,26 @@ def _bert() -> Pipeline:
     return p
 
 
-@query()
+@query(f"""with recursive {BERT_SQL},
+pairs as (select a.conv_id, a.turn, a.ids as x, coalesce(b.ids, []) as y from doc a left join doc b on a.conv_id = b.conv_id and b.turn = a.turn + 1),
+cut2 as (select *, len(x) as la, len(y) as lb from pairs),
+n as (select *, case when la + lb <= 61 then la when la >= 31 and lb <= 30 then 61 - lb when la < 31 and lb > 30 then la else 30 + (la >= lb)::int end as na,
+ case when la + lb <= 61 then lb when la >= 31 and lb <= 30 then lb when la < 31 and lb > 30 then 61 - la else 30 + (la < lb)::int end as nb from cut2),
+r as (select conv_id, turn, case when lb = 0 then list_concat([1000], x[:62], [1001]) else list_concat([1000], x[:na], [1001], y[:nb], [1001]) end as ids, case when lb = 0 then least(la, 62) + 2 else na + 2 end as n_first from n),
+w as (select *, max(len(ids)) over (partition by conv_id) as width from r)
+select conv_id, turn, (i - 1)::bigint as pos, coalesce(ids[i], 0)::int as input_ids, (i > n_first and i <= len(ids))::int as token_type_ids, (i <= len(ids))::int as attention_mask from w, unnest(range(1, width + 1)) as t(i)""")
 def q_pair_encode(spark, sf_dir):
-    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    c = spread(read(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
     x = c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")), ["conv_id", "turn"], "left")
     x = _bert().encode(x, "text", "answer", batch="conv_id")
     three = F.arrays_zip("input_ids", "token_type_ids", "attention_mask")
-    return x.select("conv_id", "turn", F.posexplode(three).alias("pos", "s")).select("conv_id", "turn", "pos", "s.*")
+    return x.select("conv_id", "turn", F.posexplode(three).alias("pos", "s")).select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), "s.*")
 
 
-@query()
+@query(f"""with recursive {BERT_SQL},
+names(id, name) as (values {_values((i, t[2:] if t.startswith('##') else ' ' + t) for t, i in WORDPIECES.items() if i != UNK)}),
+t as (select conv_id, turn, string_agg(name, '' order by i) as s from (select conv_id, turn, unnest(ids) as id, generate_subscripts(ids, 1) as i from doc) join names using (id) group by 1, 2)
+select doc.conv_id, doc.turn, regexp_replace(coalesce(s, ''), '^ ', '') as text from doc left join t using (conv_id, turn)""")
 def q_detokenize(spark, sf_dir):
     p = _bert()
     x = read(spark, sf_dir, "conversations").select("conv_id", "turn", p.ids(F.col("text")).alias("ids"))

@@ -4,8 +4,10 @@ vocabularies need no detour through an alphabet of printable characters."""
 from __future__ import annotations
 
 import heapq
+import math
 import random
 import zlib
+from array import array
 from collections.abc import Iterable, Mapping
 from functools import cached_property
 
@@ -17,23 +19,27 @@ def as_bytes(token: str | bytes) -> bytes:
 
 
 class Longest:
-    """The longest known token at a place: tokens by length, longest first, for each first byte."""
+    """The longest known token at a place: tokens by length, longest first, for each two bytes that they begin with."""
 
     def __init__(self, tokens: Iterable[bytes]):
-        sizes: dict[int, dict[int, set[bytes]]] = {}
+        sizes: dict[bytes, dict[int, set[bytes]]] = {}
+        self.single: set[bytes] = set()
         for t in tokens:
-            if t:
-                sizes.setdefault(t[0], {}).setdefault(len(t), set()).add(t)
-        self.by_first = {b: sorted(s.items(), reverse=True) for b, s in sizes.items()}
+            if len(t) > 1:
+                sizes.setdefault(t[:2], {}).setdefault(len(t), set()).add(t)
+            elif t:
+                self.single.add(t)
+        self.longer = {b: sorted(s.items(), reverse=True) for b, s in sizes.items()}
 
     def at(self, s: bytes, i: int) -> bytes | None:
-        for n, some in self.by_first.get(s[i], ()):
+        for n, some in self.longer.get(s[i : i + 2], ()):
             if (t := s[i : i + n]) in some:
                 return t
-        return None
+        return t if (t := s[i : i + 1]) in self.single else None
 
     def all_at(self, s: bytes, i: int) -> list[bytes]:
-        return [t for n, some in self.by_first.get(s[i], ()) if (t := s[i : i + n]) in some]
+        found = [t for n, some in self.longer.get(s[i : i + 2], ()) if (t := s[i : i + n]) in some]
+        return [*found, t] if (t := s[i : i + 1]) in self.single else found
 
 
 class WordPiece:
@@ -171,19 +177,19 @@ class Unigram:
 
     def __init__(self, vocab: list[tuple[str | bytes, float]] | Mapping, unk_id: int, byte_fallback: bool = False, min_score: float | None = None):
         pairs = list(vocab)
-        self.ids, self.scores = {}, [np.float32(s) for _, s in pairs]
+        self.ids, self.scores = {}, [float(np.float32(s)) for _, s in pairs]
         for i, (t, _) in enumerate(pairs):
             if t and i != unk_id:
                 self.ids.setdefault(as_bytes(t), i)
         self.unk_id, self.byte_fallback = unk_id, byte_fallback
         lowest = min((s for i, (_, s) in enumerate(pairs) if i != unk_id), default=0.0) if min_score is None else min_score
-        self.unk_score = np.float32(np.float32(lowest) - np.float32(10))
+        self.unk_score = float(np.float32(lowest) - np.float32(10))
 
     @cached_property
     def trie(self):
         return Longest(self.ids)
 
-    def lattice(self, s: bytes) -> Iterable[tuple[int, list[tuple[int, int, np.float32]]]]:
+    def lattice(self, s: bytes) -> Iterable[tuple[int, list[tuple[int, int, float]]]]:
         """For each place that a character begins at: (end, id, score) of the tokens there."""
         at = 0
         while at < len(s):
@@ -207,20 +213,22 @@ class Unigram:
 
     def encode(self, piece: str | bytes) -> list[int]:
         s = as_bytes(piece)
-        best: list = [None] * (len(s) + 1)
-        best[0] = (np.float32(0), -1, -1)
+        # what is stored in an array of floats is rounded to 32 bits, as a sum of two of them would be
+        best, sums = array("f", [-math.inf]) * (len(s) + 1), array("f", [0.0])
+        best[0] = 0.0
+        come: list = [None] * (len(s) + 1)
         for at, edges in self.lattice(s):
-            if best[at] is None:
+            if (so_far := best[at]) == -math.inf:
                 continue
             for end, i, score in edges:
-                total = np.float32(best[at][0] + score)
-                if best[end] is None or total > best[end][0]:
-                    best[end] = (total, at, i)
+                sums[0] = so_far + score
+                if sums[0] > best[end]:
+                    best[end] = sums[0]
+                    come[end] = (at, end, i)
         path, end = [], len(s)
         while end > 0:
-            _, at, i = best[end]
-            path.append((at, end, i))
-            end = at
+            path.append(come[end])
+            end = come[end][0]
         return self._read(s, path[::-1])
 
     def sample(self, piece: str | bytes, alpha: float, seed: int = 0) -> list[int]:
