@@ -145,7 +145,20 @@ def q_numeric_to_string(spark, sf_dir):
     return x.select("l_orderkey", "l_linenumber", X.number_text(F.col("l_partkey"), "bigint").alias("whole"), X.number_text(F.col("l_extendedprice"), "double").alias("price"), X.number_text(F.col("l_discount"), "double").alias("discount"), X.number_text(F.col("l_tax") > 0.04, "boolean").alias("flag"))
 
 
-@query()
+def _fingerprint_sql() -> str:
+    """CTEs that end with h(p_partkey, kind, h): the published fingerprint of texts of 4 to 16 bytes, in 128-bit arithmetic."""
+    m, k2 = "18446744073709551616::uhugeint", f"{0x9AE16A3B2F90404F}::uhugeint"
+    word = lambda at, n: "('0x' || " + " || ".join(f"substr(x, 2 * ({at} + {k}) + 1, 2)" for k in reversed(range(n))) + ")::ubigint::uhugeint"
+    turn = lambda v, n: f"({v} // {2**n}::uhugeint + {v} % {2**n}::uhugeint * {2 ** (64 - n)}::uhugeint)"
+    mix = lambda v: f"xor({v}, {v} // {2**47}::uhugeint)"
+    return f"""s as (select p_partkey, 'type' as kind, p_type as t from part union all select p_partkey, 'name', p_name from part),
+x as (select p_partkey, kind, hex(encode(t)) as x, octet_length(encode(t))::uhugeint as n from s),
+w as (select *, ({k2} + n * 2) % {m} as mul, case when n >= 8 then ({word(0, 8)} + {k2}) % {m} else {word(0, 4)} end as a, case when n >= 8 then {word("n::int - 8", 8)} else {word("n::int - 4", 4)} end as b from x),
+uv as (select *, case when n >= 8 then ({turn("b", 37)} * mul % {m} + a) % {m} else (n + a * 8) % {m} end as u, case when n >= 8 then ({turn("a", 25)} + b) % {m} * mul % {m} else b end as v from w),
+p as (select *, xor(u, v) * mul % {m} as p from uv), q as (select *, {mix("p")} as q from p), r as (select *, xor(v, q) * mul % {m} as r from q), h as (select p_partkey, kind, {mix("r")} * mul % {m} as h from r)"""
+
+
+@query(f"with {_fingerprint_sql()} select p_partkey, (max(h % 1000::uhugeint) filter (kind = 'type'))::bigint as bucket, (max(h % {1 << 20}::uhugeint) filter (kind = 'name'))::bigint as name_bucket from h group by 1")
 def q_hash_bucket(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", U.hash_bucket(F.col("p_type"), 1000).alias("bucket"), U.hash_bucket(F.col("p_name"), 1 << 20).alias("name_bucket"))
 
