@@ -3,31 +3,11 @@
 from __future__ import annotations
 
 import argparse
-import json
 import sys
 import unicodedata
 from pathlib import Path
 
-from .plans.pipeline import Pipeline
-from .sources.definitions import from_ranks, from_sentencepiece, from_tokenizer_json, from_trie_lines, read_ranks
-
-
-def load(path: str, kind: str | None = None) -> Pipeline:
-    """A definition by its kind, or by the file's ending: .json, .model, .tiktoken, .txt, or a saved .pipeline."""
-    p = Path(path)
-    kind = kind or {".json": "json", ".model": "sentencepiece", ".tiktoken": "ranks", ".txt": "trie", ".pipeline": "pipeline"}.get(p.suffix)
-    if kind == "sentencepiece":
-        return from_sentencepiece(p.read_bytes())[1]
-    text = p.read_text()
-    if kind == "json":
-        return from_tokenizer_json(json.loads(text))
-    if kind == "ranks":
-        return from_ranks(read_ranks(text.splitlines()))
-    if kind == "trie":
-        return from_trie_lines(text.splitlines())
-    if kind == "pipeline":
-        return Pipeline.from_json(text)
-    raise ValueError(f"what kind of definition is {path}?")
+from .sources.convert import load
 
 
 def _spark():

@@ -33,9 +33,17 @@ def fold_case(x: Column) -> Column:
     return _texts(str.casefold)(x)
 
 
-def charsmap(x: Column, table: dict[str, str] | None = None, form: str | None = None, fold: bool = False, dummy_prefix: bool = False, squeeze: bool = True, escape: bool = False) -> Column:
+# What the nmt rules delete, what they make a blank, and the one character that they keep from its form.
+NMT_DROP = [*range(0x01, 0x09), 0x0B, *range(0x0E, 0x20), 0x7F, 0x8F, 0x9F]
+NMT_BLANK = [0x09, 0x0A, 0x0C, 0x0D, 0x061C, 0x1680, 0x200B, 0x200C, 0x200E, 0x200F, 0x2028, 0x2029, 0x2581, 0xFEFF, 0xFFFD]
+NMT_KEPT = "\uff5e"
+
+
+def charsmap(x: Column, table: dict[str, str] | None = None, form: str | None = None, fold: bool = False, dummy_prefix: bool = False, squeeze: bool = True, escape: bool = False, nmt: bool = False) -> Column:
     """Prefix replacement by the longest key of `table`, then a Unicode form and case folding; white space is squeezed and
-    trimmed (squeeze), the text gets a blank in front (dummy_prefix), and blanks become `▁` (escape)."""
+    trimmed (squeeze), the text gets a blank in front (dummy_prefix), and blanks become `▁` (escape). nmt: before the
+    form, control characters go, and marks and separators become blanks."""
+    swap = dict.fromkeys(NMT_DROP) | dict.fromkeys(NMT_BLANK, " ")
     longest = max(map(len, table or {"": ""}))
 
     def f(t: str) -> str:
@@ -51,8 +59,11 @@ def charsmap(x: Column, table: dict[str, str] | None = None, form: str | None =
                     out.append(t[i])
                     i += 1
             t = "".join(out)
+        if nmt:
+            t = t.translate(swap)
         if form and form.lower() not in ("", "identity"):
-            t = unicodedata.normalize(form.upper(), t)
+            parts = t.split(NMT_KEPT) if nmt else [t]
+            t = NMT_KEPT.join(unicodedata.normalize(form.upper(), p) for p in parts)
         if fold:
             t = t.casefold()
         if squeeze:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -123,8 +124,10 @@ class Pipeline:
 
     # ---- ids to text
 
-    def decode(self, ids: Column, skip_special: bool = True, errors: str = "replace") -> Column:
-        text = decode_bytes(ids, [bytes.fromhex(t) for t in self.tokens], self.skip_ids if skip_special else (), errors)
+    def decode(self, ids: Column, skip_special: bool | Sequence[int] = True, errors: str = "replace") -> Column:
+        """The text of ids. skip_special: whether skip_ids are left out, or the ids that are left out instead."""
+        skip = (self.skip_ids if skip_special else ()) if isinstance(skip_special, bool) else skip_special
+        text = decode_bytes(ids, [bytes.fromhex(t) for t in self.tokens], skip, errors)
         for name, args in self.decoder:
             text = {"regex": X.regex_normalize, "replace": X.replace_literal, "drop_first": X.drop_first, "drop_last": X.drop_last, "tidy_spaces": X.tidy_spaces}[name](text, **args)
         return text

@@ -118,6 +118,17 @@ def _template(s: dict | None, p: Pipeline) -> None:
             raise ValueError(f"post-processor {kind} isn't known")
 
 
+def _with_added(vocab: list, added: list[dict]) -> list[list]:
+    """A scored vocabulary with its added tokens: at least the length times the best score, so that they win; gaps are empty."""
+    out = [list(x) for x in vocab]
+    best, worst = max(s for _, s in out), min(s for _, s in out)
+    out += [["", worst] for _ in range(max((t["id"] for t in added), default=-1) + 1 - len(out))]
+    for t in added:
+        i, text = t["id"], t["content"]
+        out[i] = [text, max(out[i][1], best * len(text) - 0.1)]
+    return out
+
+
 def from_tokenizer_json(d: dict, clean_up_spaces: bool | None = None) -> Pipeline:
     """A pipeline from the fast-tokenizer definition as a dict."""
     model, kind = d["model"], d["model"].get("type") or ("BPE" if "merges" in d["model"] else "WordPiece")
@@ -136,8 +147,9 @@ def from_tokenizer_json(d: dict, clean_up_spaces: bool | None = None) -> Pipelin
         unk = model.get("unk_token")
         spec = {"type": "bpe", "vocab": vocab, "merges": merges, "unk_id": vocab.get(unk) if unk else None, "fuse_unk": bool(model.get("fuse_unk")), "end_suffix": model.get("end_of_word_suffix") or "", "byte_fallback": bool(model.get("byte_fallback")), "byte_level": byte_level}
     elif kind == "Unigram":
-        vocab = {t: i for i, (t, _) in reversed(list(enumerate(model["vocab"])))}
-        spec = {"type": "unigram", "vocab": model["vocab"], "unk_id": model["unk_id"], "byte_fallback": bool(model.get("byte_fallback"))}
+        scored = _with_added(model["vocab"], added)
+        vocab = {t: i for i, (t, _) in reversed(list(enumerate(scored)))}
+        spec = {"type": "unigram", "vocab": scored, "unk_id": model["unk_id"], "byte_fallback": bool(model.get("byte_fallback"))}
     elif kind == "WordLevel":
         vocab = model["vocab"]
         spec = {"type": "wordlevel", "vocab": vocab, "unk_id": vocab.get(model.get("unk_token"), -1)}
