@@ -128,6 +128,13 @@ def q_utf8_validate(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", X.valid_utf8("text").alias("fixed"), X.valid_utf8("text", replace=False).alias("kept"))
 
 
+@query("select doc_id, l || case when octet_length(encode(l)) < least(11, n) then chr(65533) else '' end as fixed, l as kept from (select doc_id, octet_length(encode(text)) as n, left(text, list_max(list_filter(range(0, 12), lambda i: octet_length(encode(left(text, i::int))) <= 11))::int) as l from documents)")
+def q_utf8_repair(spark, sf_dir):
+    """Texts cut after eleven bytes, so that many end within a character."""
+    cut = F.substring(F.encode("text", "UTF-8"), 1, 11)
+    return read(spark, sf_dir, "documents").select("doc_id", X.valid_utf8(cut).alias("fixed"), X.valid_utf8(cut, replace=False).alias("kept"))
+
+
 @query("select doc_id, text as back, octet_length(encode(text))::bigint as n from documents")
 def q_byte_level_roundtrip(spark, sf_dir):
     x = spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", U.bytes_to_chars(F.col("text")).alias("c"))
@@ -535,6 +542,34 @@ def q_sentencepiece_stream(spark, sf_dir):
     return x.select("conv_id", "turn", F.col("part").cast("long").alias("part"), F.hex(token_bytes(F.col("some"), tokens)).alias("bytes_hex"))
 
 
+@query("select conv_id || ':' || turn as stream, text from conversations where length(text) > 0")
+def q_stream_decode(spark, sf_dir):
+    """The bytes of each turn as a stream of tokens, decoded with state, and put together again."""
+    import tempfile
+    import uuid
+
+    from .streaming.decode import decode_stream
+
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir")
+    if not shared and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    folder = f"{(shared or tempfile.mkdtemp(prefix='stream-')).rstrip('/')}/stream-{uuid.uuid4()}"
+    path = f"{sf_dir}/conversations.parquet"
+    table = spark.read.parquet(path)
+    source = spark.readStream.schema(table.schema)
+    if table.inputFiles()[0].endswith("/conversations.parquet"):  # one file: a stream is read from its folder
+        x = source.option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+    else:
+        x = source.parquet(path)
+    byte = F.transform(F.sequence(F.lit(1), F.octet_length("text")), lambda i: F.conv(F.hex(F.substring(F.encode("text", "UTF-8"), i, F.lit(1))), 16, 10).cast("int"))
+    x = x.where("length(text) > 0").select(F.concat_ws(":", "conv_id", "turn").alias("stream"), F.posexplode(byte).alias("at", "id"))
+    text = decode_stream(x, "stream", "at", "id", [bytes([b]) for b in range(256)])
+    text.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out", format="parquet").awaitTermination()
+    got = spark.read.schema("stream string, at int, text string").parquet(f"{folder}/out")
+    return got.groupBy("stream").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda s: s["text"]), "").alias("text"))
+
+
 # White space and signs by which the words of a text are cut.
 BERT_SQL = f"""v(tok, id, rest) as (values {_values((t.removeprefix('##'), i, str(t.startswith('##')).lower()) for t, i in WORDPIECES.items())}),
 cut as (select conv_id, turn, regexp_extract_all(replace(lower(strip_accents(text)), 'ß', 'ss'), '[!-/:-@\\[-`{{-~\\p{{P}}]|[^\\s!-/:-@\\[-`{{-~\\p{{P}}]+') as w from conversations),
