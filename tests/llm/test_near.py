@@ -2,6 +2,8 @@ import random
 from collections import Counter
 from math import log
 
+from pyspark.sql import functions as F
+
 from textloom.llm.graph import components
 from textloom.llm.near import near_duplicates
 
@@ -54,7 +56,8 @@ def brute(data, like=0.8):
 
 def test_classes_equal_brute_force(spark):
     data = rows()
-    got = near_duplicates(spark.createDataFrame(data, "doc_id long, text string, batch string, k string")).collect()
+    df = spark.createDataFrame(data, "doc_id long, text string, batch string, k string").withColumns({c: F.lit(1) for c in ("bands", "bins", "same", "root", "node")})
+    got = near_duplicates(df).collect()
     assert sorted((repr(r.doc_id), r.class_id) for r in got) == brute(data)
     for c, n in Counter(r.class_id for r in got if r["first"]).items():
         assert n == 1 or data.count(data[c]) == n  # equal rows are one document
