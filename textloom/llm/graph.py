@@ -11,8 +11,10 @@ SALTS = 16
 
 
 def salted(many: DataFrame, few: DataFrame, keys: list[str], spread: Column, how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Join with one row per key in `few`: a key with many rows is dealt to `salts` tasks by `spread`."""
-    few = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    """Join with one row per key in `few`: a key with many rows is dealt to `salts` tasks by `spread`.
+
+    Both sides are sorted and merged: `few` grows with the input, so it is never sent to all tasks by way of the driver."""
+    few = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     return many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(few, [*keys, "_salt"], how).drop("_salt")
 
 
