@@ -31,12 +31,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts are equal to empty ones; a null doc_id comes after all others. Of rows that share doc_id and text one
     stays: the least by lang, source and n_chars."""
-    first = near.near_duplicates(docs).where("first").select(F.col("doc_id").alias("_id"), "same").distinct()
+    key = [F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id")]  # joined and numbered by the same columns: one shuffle
+    first = near.near_duplicates(docs).where("first").select(*key, F.col("same").alias("_same")).distinct()
     same = F.substring(F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)), 1, 16)
-    row = docs.select(*COLUMNS, same.alias("_same"))
-    one = F.row_number().over(Window.partitionBy("doc_id", "_same").orderBy("lang", "source", "n_chars", "text"))
-    kept = row.join(first, row["doc_id"].eqNullSafe(first["_id"]) & (row["_same"] == first["same"]), "left_semi")
-    return kept.withColumn("_n", one).where("_n = 1").select(*COLUMNS)
+    row = docs.select(*COLUMNS, *key, same.alias("_same")).join(first, ["_none", "_id", "_same"], "left_semi")
+    one = F.row_number().over(Window.partitionBy("_none", "_id", "_same").orderBy("lang", "source", "n_chars"))
+    return row.withColumn("_n", one).where("_n = 1").select(*COLUMNS)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
