@@ -37,14 +37,21 @@ def unpack(blob: bytes):
     return pickle.loads(zstandard.decompress(blob))
 
 
+_PLAIN = ("Project", "Filter", "LogicalRelation", "LocalRelation", "DataSourceV2ScanRelation", "DataSourceV2Relation", "SubqueryAlias")
+
+
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the input's size: file bytes for a scan, where no job runs. Where it has none, the texts are summed."""
-    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if n < 1 << 60:
+    """The bytes of the files that df reads, if it does no more than read them; no job runs then. Of any other plan
+    Catalyst's guess may be far off, so its texts are summed, and halved, since files are packed."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    node = plan
+    while node.nodeName() in _PLAIN and node.children().size() == 1:
+        node = node.children().apply(0)
+    if node.nodeName() in _PLAIN and node.children().isEmpty() and (n := int(str(node.stats().sizeInBytes()))) < 1 << 60:
         return n
     texts = [c for c, kind in df.dtypes if kind in ("string", "binary")]
     total = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(16)).cast("long")
-    return int(df.agg(F.sum(total)).first()[0] or 0) // 2  # files are packed
+    return int(df.agg(F.sum(total)).first()[0] or 0) // 2
 
 
 def parts(df: DataFrame, each: int, least: int = 24) -> int:
