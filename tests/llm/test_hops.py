@@ -31,3 +31,22 @@ def test_strings(spark, narrow):
 
 def test_classes(spark, narrow):
     test_near.test_classes_equal_brute_force(spark)
+
+
+@pytest.mark.parametrize("gb", [6, 30, 1000])
+def test_a_hop_joins_what_about_one_sender_sends(gb):
+    senders, buckets = gb * 250 + 1, gb * 1000 // 3 + 1
+    for there, n in ((Lanes.of(senders, buckets), senders), (Lanes.of(buckets, senders), buckets)):
+        assert there.hops > 1 and there.count(there.hops) >= (buckets if n == senders else senders)
+        assert min(there.fan, n) <= 1.5 * there.wide  # a group has `fan` senders' parts for one lane of `wide`
+        assert n * there.wide <= 0.1 * senders * buckets
+
+
+@pytest.fixture
+def few_rows(monkeypatch):
+    monkeypatch.setattr(common, "ROWS", 1000)
+    assert Lanes.of(24, 48) == Lanes(7, 2, 7)
+
+
+def test_words_by_balanced_hops(spark, few_rows):
+    test_substring.test_both_equal_brute_force(spark, 20)

@@ -261,15 +261,17 @@ def table(schema: str, **columns) -> pa.Table:
 
 SENT = "bucket int, batch int, blob binary"
 FAN = 2000  #: rows that a batch sends, and that a bucket gets, at most
+ROWS = 100_000  #: rows that all batches send all buckets at most in one hop: beyond, rows cost more than another hop
 
 
 @dataclass(frozen=True)
 class Lanes:
     """The way from many senders to many receivers.
 
-    A row for each pair of them would grow with the square of the input. So where either are more than FAN, rows travel
-    in hops: a hop parts the receivers' numbers into `wide` times as many lanes, and joins what `fan` neighbouring
-    senders have for one lane. A sender's rows are bounded by `wide` then, and their number grows with the input."""
+    A row for each pair of them would grow with the square of the input. So where either are more than FAN, or their
+    pairs more than ROWS, rows travel in hops: a hop parts the receivers' numbers into `wide` times as many lanes, and
+    joins what `fan` neighbouring senders have for one lane. A sender's rows are bounded by `wide` then, and their number
+    grows with the input. `fan` is about `wide`, so what a hop joins is about as much as one sender sends."""
 
     wide: int
     hops: int
@@ -278,8 +280,12 @@ class Lanes:
     @classmethod
     def of(cls, senders: int, receivers: int, fan: int | None = None) -> Lanes:
         fan = fan or FAN
-        hops = next(h for h in range(1, 64) if fan**h >= max(senders, receivers))
-        return cls(receivers if hops == 1 else next(w for w in range(1, fan + 1) if w**hops >= receivers), hops, fan)
+        if max(senders, receivers) <= fan and senders * receivers <= ROWS:
+            return cls(receivers, 1, fan)
+        hops = next(h for h in range(2, 64) if fan**h >= max(senders, receivers))
+        least = lambda n: next(w for w in range(2, fan + 1) if w**hops >= n)
+        wide = least(receivers)
+        return cls(wide, hops, max(wide, least(senders)))
 
     def count(self, hop: int) -> int:
         """Lanes after so many hops; after the last one each is a receiver."""
