@@ -89,6 +89,33 @@ class Batch:
         self.node = (self.number << 32) + np.cumsum(new)
 
 
+def _packed(batches: Iterator[pa.RecordBatch], extra: list[str], most: int = 48_000_000) -> Iterator[pa.RecordBatch]:
+    """A row for each batch among about `most` bytes of input. Rows are put in order once: each batch's are cut out of
+    it, as to take them from the whole would copy it once for each batch."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def flush():
+        t = pa.Table.from_batches(held)
+        b = t.column("batch").to_numpy()
+        order = np.argsort(b, kind="stable")
+        b, k, doc = b[order], t.column("k").to_numpy()[order], t.column("doc").to_numpy()[order]
+        texts, *others = ([x[i] for i in order.tolist()] for x in (binary(t.column("text")), *(t.column(c).to_pylist() for c in extra)))
+        cut = np.flatnonzero(np.diff(b, prepend=-1)).tolist()
+        for i, j in zip(cut, [*cut[1:], len(b)], strict=True):
+            blob = pack((k[i:j], doc[i:j], texts[i:j], [x[i:j] for x in others]))
+            yield pa.RecordBatch.from_pydict({"batch": pa.array([b[i]], pa.int32()), "blob": pa.array([blob], pa.binary())})
+
+    for rb in batches:
+        held.append(rb)
+        size += rb.nbytes
+        if size > most:
+            yield from flush()
+            held, size = [], 0
+    if sum(len(x) for x in held):
+        yield from flush()
+
+
 def batched(docs: DataFrame, *more: Column, each: int = 4_000_000) -> tuple[DataFrame, int]:
     """(batch, blob): the rows with null texts empty and null ids last, dealt to batches by id and text, packed."""
     n = parts(docs, each)
@@ -100,29 +127,7 @@ def batched(docs: DataFrame, *more: Column, each: int = 4_000_000) -> tuple[Data
 
     extra = [f"more{i}" for i in range(len(more))]
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def flush():
-            t = pa.Table.from_batches(held)
-            b = t.column("batch").to_numpy()
-            order = np.argsort(b, kind="stable")
-            for g in np.split(order, np.flatnonzero(np.diff(b[order])) + 1):
-                x = t.take(g)
-                blob = pack((x.column("k").to_numpy(), x.column("doc").to_numpy(), binary(x.column("text")), [x.column(c).to_pylist() for c in extra]))
-                yield pa.RecordBatch.from_pydict({"batch": pa.array([b[g[0]]], pa.int32()), "blob": pa.array([blob], pa.binary())})
-
-        for rb in batches:
-            held.append(rb)
-            size += rb.nbytes
-            if size > 48_000_000:
-                yield from flush()
-                held, size = [], 0
-        if sum(len(x) for x in held):
-            yield from flush()
-
-    return got.mapInArrow(packed, "batch int, blob binary").repartition(n, "batch"), n
+    return got.mapInArrow(lambda it: _packed(it, extra), "batch int, blob binary").repartition(n, "batch"), n
 
 
 # ---------------------------------------------------------------- bytes, words, hashes
