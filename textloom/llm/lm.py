@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SENT, U64, Batch, Lanes, batched, chunks, coded, counted, joined, keyed, mix, parts, send, settled, table, totals, words
+from .common import SENT, U64, Batch, Lanes, batched, chunks, coded, counted, joined, keyed, mix, parts, release, send, settled, table, totals, words
 
 END, START = U64(0x1234567887654320), U64(0x0FEDCBA987654322)  #: keys of the end token and of the context before the first word
 TOP = U64(1 << 63)  #: set in pairs' keys only, so they follow all words' keys
@@ -99,6 +99,7 @@ def score(docs: DataFrame, fold: int = 7, held: int = 2, tuning: int = 5) -> Dat
     role = F.when(F.pmod(crc, F.lit(fold)) == held, HELD).when(F.pmod(F.floor(crc / fold), F.lit(tuning)) == 0, TUNE).otherwise(TRAIN)
     d, n = batched(docs, role)
     d = settled(d)  # three steps read the batches
+    release(d)  # nothing names the rows before the checkpoint now, so their shuffle files go before the counts come
     lanes = Lanes.of(n, parts(docs, 2_000_000, 48))
 
     def tell(group: pa.Table) -> pa.Table:
