@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from textloom.llm import common
+from textloom.llm import common, near
 from textloom.llm.common import Lanes
 
 from . import test_lm, test_near, test_substring
@@ -76,3 +76,22 @@ def test_scores_by_balanced_hops(spark, few_rows):
 
 def test_words_by_balanced_hops(spark, few_rows):
     test_substring.test_both_equal_brute_force(spark, 20)
+
+
+def test_classes_read_each_text_once_a_step(spark, few_rows, monkeypatch, tmp_path):
+    log = str(tmp_path / "log")
+
+    def logged(name, f):
+        def g(b, *rest):
+            with open(log, "a") as out:
+                print(name, len(rest), b.number, file=out)
+            return f(b, *rest)
+
+        return g
+
+    for name in ("_df_words", "_shingles"):
+        monkeypatch.setattr(near, name, logged(name, getattr(near, name)))
+    test_near.test_classes_equal_brute_force(spark)
+    steps = (tmp_path / "log").read_text().split("\n")[:-1]
+    assert {x.rsplit(" ", 1)[0] for x in steps} == {"_df_words 0", "_shingles 3", "_shingles 4"}  # counts, sketches, shingles of pairs
+    assert len(steps) == len(set(steps))

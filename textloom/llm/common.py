@@ -376,14 +376,15 @@ def _shared(group: pa.Table, total: np.ndarray, inv: np.ndarray, cut: np.ndarray
     return {"bucket": group.column("bucket").to_pylist(), "batch": group.column("batch").to_pylist(), "blob": [pickle.dumps(pack_ints(got[:, i:j])) for i, j in zip(cut, cut[1:], strict=False)]}
 
 
-def counted(sent: DataFrame, lanes: Lanes, about: Callable[..., object] | None = None, hop: int = 1) -> DataFrame:
+def counted(sent: DataFrame, lanes: Lanes, about: Callable[..., object] | None = None, hop: int = 1, hold: bool = False) -> DataFrame:
     """Totals of each key over all batches: (bucket, batch, blob of totals in the order sent).
 
     With `about`, a bucket adds a row of batch -1 that holds about(distinct keys, *totals).
 
     Entries of one key come once from each sender, so a group is bounded by its distinct keys times the senders that
     have them, and packed sorted runs are summed by one sort. Before the last hop, `fan` senders' sums travel on as one
-    sender's, and what comes back is shared out among them."""
+    sender's, and what comes back is shared out among them. Both steps read what was sent. Spark makes it for each of
+    them anew where it comes from settled() rows, as it can't tell there that both are the same: `hold` settles it."""
     if hop == lanes.hops:
 
         def total(group: pa.Table) -> pa.Table:
@@ -405,7 +406,8 @@ def counted(sent: DataFrame, lanes: Lanes, about: Callable[..., object] | None =
         return table(SENT, **_shared(left, total.reshape(len(each), -1), inv, cut))
 
     mine = sent.withColumn("node", F.floor(F.col("batch") / lanes.fan).cast("int")).repartition("bucket", "node")
-    back = counted(mine.groupBy("bucket", "node").applyInArrow(merge, SENT), lanes, about, hop + 1)
+    mine = settled(mine) if hold else mine
+    back = counted(mine.groupBy("bucket", "node").applyInArrow(merge, SENT), lanes, about, hop + 1, hold)
     wider = back.where("batch >= 0").withColumn("lane", F.floor(F.col("bucket") / lanes.wide).cast("int"))
     out = mine.groupBy("bucket", "node").cogroup(wider.groupBy("lane", "batch")).applyInArrow(share, SENT)
     return out.union(back.where("batch < 0")) if about else out

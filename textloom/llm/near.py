@@ -181,7 +181,7 @@ def near_duplicates(docs: DataFrame, like: float = LIKE) -> DataFrame:
         keys, c = _df_words(b)
         return send(b.number, keys, nb, c)
 
-    back = settled(counted(d.groupBy("batch").applyInArrow(tell, SENT), lanes).repartition(n, "batch"))
+    back = settled(counted(d.groupBy("batch").applyInArrow(tell, SENT), lanes, hold=True).repartition(n, "batch"))
 
     def sketched(left: pa.Table, right: pa.Table) -> pa.Table:
         b = Batch(left)
@@ -234,9 +234,10 @@ def near_duplicates(docs: DataFrame, like: float = LIKE) -> DataFrame:
         right = back.withColumn("ks", F.lit(None).cast("array<long>")).unionByName(asked, allowMissingColumns=True)
         return kept(d.groupBy("batch").cogroup(right.groupBy("batch")).applyInArrow(features, "k long, blob binary"))
 
+    have = shingles(pairs.select(F.explode(F.array("a", "b")).alias("k")))
+
     def verified(pairs: DataFrame) -> DataFrame:
         """(a, b, like) of each pair."""
-        have = shingles(pairs.select(F.explode(F.array("a", "b")).alias("k")))
         # a leader's pairs go to as many groups as they need; each gets the leader's shingles once
         sizes = pairs.groupBy("a").agg(F.ceil(F.count("b") / 64).cast("int").alias("n"))
         leads = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"))
@@ -319,7 +320,7 @@ def near_duplicates(docs: DataFrame, like: float = LIKE) -> DataFrame:
 
     again = kept(part.groupBy("band", "lo", "hi").applyInArrow(worth, look))
     if not again.isEmpty():
-        have = shingles(again.select("k"))
+        # whatever shares a bucket with another text met its leader, or is it: its shingles are at hand
         more = again.join(have, "k").groupBy("band", "lo", "hi").applyInArrow(united, "a long, b long")
         links = kept(links.union(more).distinct())
         root = components(links)
