@@ -323,6 +323,64 @@ def test_quality_learns_from_all_unlabelled_documents(spark):
         assert np.allclose(getattr(got, name), getattr(want, name), atol=1e-6), name
 
 
+def test_quality_holds_little_of_a_batch(spark, monkeypatch):
+    """Peak memory of each function that makes features, over one batch of 16 MB of text."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    class Caught(Exception):
+        pass
+
+    def catch(self, f, schema):
+        raise Caught(f)
+
+    def caught(of, *args):
+        with pytest.raises(Caught) as got:
+            of(*args)
+        return got.value.args[0]
+
+    r = random.Random(3)
+    some = [" ".join(r.choice("abcdefgh") + str(r.randint(0, 999)) for _ in range(400)) for _ in range(400)]
+    texts = [f"{some[i % 400]} n{i}" for i in range(8000)] + [None, "", "w " * 50000, None]
+    n = len(texts)
+    docs = spark.createDataFrame([(1, "a", "en", "wiki", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    model = quality.trivial()
+    form, (keys,) = quality.style([texts[0].encode()])
+    model.words = [(np.unique(keys), np.full(len(np.unique(keys)), 3.0))] * 2
+    model.text = np.linspace(-1, 1, len(model.text))
+    monkeypatch.setattr(type(docs), "mapInArrow", catch)
+    fit = caught(quality.fit, docs, labels)
+    pool = caught(quality.Pool, docs, model, np.zeros((0, 2), np.uint64))
+    monkeypatch.setattr(quality, "fit", lambda *_, **__: model)
+    score = caught(quality.classify, docs, labels)
+
+    def batch(rows):
+        own = {"doc_id": pa.array(range(len(rows)), pa.int64()), "text": pa.array(rows, pa.string())} | {c: pa.array(["x"] * len(rows)) for c in ("lang", "source")} | {"n_chars": pa.array([5] * len(rows), pa.int64())}
+        more = {"order": own["doc_id"], "quality": pa.array([1] * len(rows), pa.int32()), "toxic": pa.array([0] * len(rows), pa.int32())}
+        row = pa.StructArray.from_arrays(list(own.values()), list(own))
+        return pa.RecordBatch.from_pydict(own | more | {"row": row, "text": own["text"].fill_null("")})
+
+    whole = batch(texts)
+    for f in (score, fit, pool):
+        list(f(iter([batch(texts[:10])])))  # tables that stay
+        tracemalloc.start()
+        rows = 0
+        for out in f(iter([whole])):
+            rows += out.num_rows
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert f is pool or rows == n
+        assert peak < 75e6, (f, peak)
+    got = [x for rb in score(iter([whole])) for x in rb.column("score").to_pylist()]
+    want = [rb.column("score").to_pylist()[0] for i in [*range(0, 8000, 500), *range(8000, n)] for rb in score(iter([batch(texts[i : i + 1])]))]
+    assert np.allclose([got[i] for i in [*range(0, 8000, 500), *range(8000, n)]], want, atol=1e-12)
+    assert [x for rb in score(iter([whole])) for x in rb.column("row").field(1).to_pylist()] == texts
+    assert list(score(iter([batch([])]))) == []
+
+
 def brute_sketch(text):
     """By hashing each shingle's own bytes."""
     import numpy as np

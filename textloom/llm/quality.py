@@ -21,10 +21,11 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Prefix, binary, chunks, distinct, joined, kept, mix, pack, parts, unpack, words
+from .common import U64, Prefix, binary, chunks, distinct, joined, kept, mix, pack, parts, trim, unpack, words
 from .contamination import _WORD, FOLD
 
 LABELLED = 8000
@@ -77,6 +78,22 @@ def style(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
     return (np.concatenate(rows) if rows else np.zeros((0, STYLE))), sets
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: Callable[[pa.RecordBatch], pa.Array] = lambda rb: rb.column("text"), most: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Ranges of each batch's rows with about `most` bytes of text, and their texts; a longer text comes with few others.
+
+    What is made of a text takes many times its room, so a worker never holds that of a whole batch."""
+    for rb in batches:
+        at = np.cumsum(pc.binary_length(text(rb)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 1) // most
+        cut = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(rb)]
+        for i, j in zip(cut, cut[1:], strict=False):
+            if i < j:
+                part = rb.slice(i, j - i)
+                yield part, [t or b"" for t in binary(text(part))]
+                del part
+        del rb
+        trim()
+
+
 @dataclass
 class Slots:
     """The metadata columns: one for each language and each source that the labelled sample has SEEN times, one for all others
@@ -242,10 +259,10 @@ class Pool:
                 cuts = [g for g in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if len(g)]
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(bucket[g[0]]) for g in cuts], pa.int32()), "blob": pa.array([pack([c[g] for c in got]) for g in cuts], pa.binary())})
 
-            for rb in batches:
-                form, sets = style(binary(rb.column("text")))
+            for rb, texts in slices(batches):
+                form, sets = style(texts)
                 bag = _digests([distinct(s).tobytes() for s in sets])
-                held.append((bag, rb.column("order").to_numpy(), model.slots.at(*(rb.column(c).to_pylist() for c in ("lang", "source", "n_chars"))), _thin(model.text_features(form, sets))))
+                held.append((bag, rb.column("order").to_numpy().copy(), model.slots.at(*(rb.column(c).to_pylist() for c in ("lang", "source", "n_chars"))), _thin(model.text_features(form, sets))))
                 if sum(len(h[0]) for h in held) > 50_000:
                     yield from flush()
                     held.clear()
@@ -372,8 +389,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
     chosen = F.broadcast(known.orderBy(F.xxhash64(F.lit(1), "doc_id")).limit(labelled).select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic"))  # at most `labelled` rows
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            form, sets = style(binary(rb.column("text")))
+        for rb, texts in slices(batches):
+            form, sets = style(texts)
             same = [rb.column(c) for c in ("doc_id", "quality", "toxic", "lang", "source", "n_chars")]
             yield pa.RecordBatch.from_arrays(
                 [*same[:3], pa.array([x.tobytes() for x in form], pa.binary()), pa.array([distinct(s).tobytes() for s in sets], pa.binary()), *same[3:]],
@@ -410,11 +427,12 @@ def classify(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     Nulls and missing metadata columns count as a value of their own; null texts are empty. Labels with a null, or of
     documents that aren't there, are left out; contradicting labels of a document count as bad."""
     model = fit(docs, labels, **how)
-    source = docs.select(F.struct("*").alias("row"), *_columns(docs))
+    own = docs.columns.index("text") if ("text", "string") in docs.dtypes else None  # a text that the row has already needn't travel twice
+    source = docs.select(F.struct("*").alias("row"), *_columns(docs)[own is not None :])
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            form, sets = style(binary(rb.column("text")))
+        for rb, texts in slices(batches, lambda rb: rb.column("text") if own is None else rb.column("row").field(own)):
+            form, sets = style(texts)
             a, b, both = model.score(form, sets, model.slots.at(*(rb.column(c).to_pylist() for c in ("lang", "source", "n_chars"))))
             yield pa.RecordBatch.from_arrays([rb.column("row"), *(pa.array(x, pa.float64()) for x in (a, b, both)), pa.array(both >= model.threshold)], ["row", "text_score", "meta_score", "score", "good"])
 
