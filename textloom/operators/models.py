@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import by_parts
+
 MEMO = 64 << 20  #: bytes of pieces and ids that a task remembers
 
 
@@ -26,18 +28,20 @@ def _ragged(lengths: np.ndarray, uniq: list[list[int]], codes: np.ndarray, at: n
     first = np.cumsum(sizes) - sizes
     n = sizes[codes] if len(codes) else np.zeros(0, np.int64)
     ends = np.concatenate([[0], np.cumsum(n)])
-    take = np.arange(ends[-1]) - np.repeat(ends[:-1] - (first[codes] if len(codes) else n), n)
+    take = np.repeat(((first[codes] if len(codes) else n) - ends[:-1]).astype(np.int32), n)
+    take += np.arange(ends[-1], dtype=np.int32)
     values = pa.array(flat[take] if len(flat) else np.zeros(0, np.int32), pa.int32())
     offsets = pa.array(ends[at], pa.int32(), mask=np.append(lengths < 0, False))
     return pa.ListArray.from_arrays(offsets, values)
 
 
 def encode_pieces(pieces: Column, model: Model, special: dict[str, int] | None = None, remember: bool = True) -> Column:
-    """array<int>: the ids of all pieces of a row in order. A special token has the id that `special` names, if any."""
+    """array<int>: the ids of all pieces of a row in order. A special token has the id that `special` names, if any.
+
+    To Spark the function is nondeterministic: else a filter that it infers from an explode of the ids would run it twice."""
     special = special or {}
 
-    @F.arrow_udf("array<int>")
-    def each(x: pa.Array) -> pa.Array:
+    def some(x: pa.Array) -> pa.Array:
         memo, room = each_memo, each_room
         lengths = np.array([-1 if n is None else n for n in x.value_lengths().to_pylist()], np.int64)
         flat = x.flatten()
@@ -63,9 +67,13 @@ def encode_pieces(pieces: Column, model: Model, special: dict[str, int] | None =
         at = np.concatenate([[0], np.cumsum(np.maximum(lengths, 0))])
         return _ragged(lengths, uniq, codes, at)
 
+    @F.arrow_udf("array<int>")
+    def each(x: pa.Array) -> pa.Array:
+        return by_parts(x, some, 4 << 20)  # larger parts, as words come again
+
     each_memo: dict[str, list[int]] = {}
     each_room = [MEMO]
-    return each(pieces)
+    return each.asNondeterministic()(pieces)
 
 
 def encode_texts(x: Column, model: Model) -> Column:
@@ -82,9 +90,12 @@ def decode_bytes(ids: Column, tokens: list[bytes], skip=(), errors: str = "repla
     """The text of token ids: their bytes joined and read as UTF-8; broken sequences are replaced, ignored or fail (strict)."""
     gone = frozenset(skip)
 
-    @F.arrow_udf("string")
-    def each(x: pa.Array) -> pa.Array:
+    def some(x: pa.Array) -> pa.Array:
         n = len(tokens)
         return pa.array([None if row is None else b"".join(tokens[i] for i in row if i is not None and 0 <= i < n and i not in gone).decode("utf-8", errors) for row in x.to_pylist()], pa.string())
 
+    @F.arrow_udf("string")
+    def each(x: pa.Array) -> pa.Array:
+        return by_parts(x, some)
+
     return each(ids)

@@ -13,15 +13,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.batches import by_parts
+
 
 def token_bytes(ids: Column, tokens: list[bytes]) -> Column:
     """The bytes of an array of ids; unknown ids have none."""
 
-    @F.arrow_udf("binary")
-    def each(x: pa.Array) -> pa.Array:
+    def some(x: pa.Array) -> pa.Array:
         n = len(tokens)
         return pa.array([None if row is None else b"".join(tokens[i] for i in row if 0 <= i < n) for row in x.to_pylist()], pa.binary())
 
+    @F.arrow_udf("binary")
+    def each(x: pa.Array) -> pa.Array:
+        return by_parts(x, some)
+
     return each(ids)
 
 
