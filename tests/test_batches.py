@@ -62,3 +62,18 @@ def test_models_hold_a_part(monkeypatch):
 def test_models_run_once(spark, name):
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("each(") == (2 if name == "q_sentencepiece_stream" else 1)
+
+
+def test_texts_hold_a_part(monkeypatch):
+    """Three forms of 32 MB of text, of which a list would take as much again for each."""
+    from textloom.functions import unicode as U
+
+    texts = pa.array([("é" + chr(97 + i % 26) * 999) for i in range(32 * 1024)])
+    f = plain_function(monkeypatch, lambda: U.normalize_unicode(None, "NFD"))
+    f(texts[:1])
+    tracemalloc.start()
+    got = f(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == len(texts) and got[-1].as_py()[:3] == "é" + chr(97 + (len(texts) - 1) % 26)
+    assert peak < 16 << 20

@@ -9,13 +9,17 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..operators.batches import by_parts
 from ..operators.hashing import fingerprint64
 
 
 def _texts(f: Callable[[str], str]) -> Callable[[Column], Column]:
+    def some(x: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else f(t) for t in x.to_pylist()], pa.string())
+
     @F.arrow_udf("string")
     def each(x: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else f(t) for t in x.to_pylist()], pa.string())
+        return by_parts(x, some)
 
     return each
 
@@ -104,9 +108,12 @@ def bytes_to_chars(x: Column) -> Column:
 def chars_to_bytes(x: Column) -> Column:
     """The inverse, as binary."""
 
+    def some(t: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else chars_to_bytes_text(v) for v in t.to_pylist()], pa.binary())
+
     @F.arrow_udf("binary")
     def each(t: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else chars_to_bytes_text(v) for v in t.to_pylist()], pa.binary())
+        return by_parts(t, some)
 
     return each(x)
 
@@ -138,8 +145,7 @@ def hash_bucket(x: Column, buckets: int) -> Column:
 def each_piece_text(pieces: Column, f: Callable[[str], str]) -> Column:
     """f on the text of every piece that isn't a special token."""
 
-    @F.arrow_udf("array<struct<piece:string,skip:boolean>>")
-    def each(x: pa.Array) -> pa.Array:
+    def some(x: pa.Array) -> pa.Array:
         flat = x.flatten()
         text = [t if k or t is None else f(t) for t, k in zip(flat.field("piece").to_pylist(), flat.field("skip").to_pylist(), strict=True)]
         values = pa.StructArray.from_arrays([pa.array(text, pa.string()), flat.field("skip")], ["piece", "skip"])
@@ -149,4 +155,8 @@ def each_piece_text(pieces: Column, f: Callable[[str], str]) -> Column:
             at += n or 0
         return pa.ListArray.from_arrays(pa.array([*ends, at], pa.int32()), values)
 
+    @F.arrow_udf("array<struct<piece:string,skip:boolean>>")
+    def each(x: pa.Array) -> pa.Array:
+        return by_parts(x, some)
+
     return each(pieces)
