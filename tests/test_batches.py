@@ -77,3 +77,11 @@ def test_texts_hold_a_part(monkeypatch):
     tracemalloc.stop()
     assert len(got) == len(texts) and got[-1].as_py()[:3] == "é" + chr(97 + (len(texts) - 1) % 26)
     assert peak < 16 << 20
+
+
+def test_pairs_are_encoded_once(spark):
+    """Three Arrow functions make ids of a text; both texts of a pair and the widths read the same ones."""
+    df = catalog.queries()["q_pair_encode"](spark, SF)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("- ArrowEvalPython") == 3

@@ -94,21 +94,24 @@ class Pipeline:
         cols = [segments[x] if isinstance(x, str) else [x] for x, _ in items]
         return R.combine(cols, [n for _, n in items])
 
-    def encode(self, df: DataFrame, text: str, second: str | None = None, add_special: bool = True, truncation: bool = True, pad: bool = True, batch: str | None = None, max_length: int | None = None) -> DataFrame:
+    def encode(self, df: DataFrame, text: str, second: str | None = None, add_special: bool = True, truncation: bool = True, pad: bool = True, batch: str | None = None, max_length: int | None = None, encoded: bool = False) -> DataFrame:
         """df with input_ids, token_type_ids and attention_mask. A null text gives nulls; a null or empty second text is none.
 
+        encoded: the columns `text` and `second` hold ids (of `ids`) and not texts.
+
         Padding is to the longest row of the batch (a value of the column `batch`; all rows without one), at least pad_to."""
         limit = max_length or self.max_length or NO_LIMIT
         items = self.template if second is None else self.pair
         if not add_special:
             items = [x for x in items if isinstance(x[0], str)]
+        made = F.col if encoded else lambda c: self.ids(F.col(c))
         room = lambda some: max(0, limit - sum(not isinstance(x, str) for x, _ in some))
         if second is None:
-            df = df.withColumn("_a", self.ids(F.col(text)))
+            df = df.withColumn("_a", made(text))
             a = R.truncate(F.col("_a"), room(items), self.truncation_side) if truncation else F.col("_a")
             ids, types = self._filled(items, A=a)
         else:
-            df = df.withColumn("_a", self.ids(F.col(text))).withColumn("_b", F.coalesce(self.ids(F.col(second)), F.array().cast("array<int>")))
+            df = df.withColumn("_a", made(text)).withColumn("_b", F.coalesce(made(second), F.array().cast("array<int>")))
             a, b = R.truncate_pair(F.col("_a"), F.col("_b"), room(items), self.truncation_side) if truncation else (F.col("_a"), F.col("_b"))
             alone = self.template if add_special else [x for x in self.template if isinstance(x[0], str)]
             one = R.truncate(F.col("_a"), room(alone), self.truncation_side) if truncation else F.col("_a")
