@@ -103,3 +103,18 @@ def test_sentences_by_words(pieces, rough):
         assert m.encode(text) == whole.encode(m.normalize(text))
     by_words = not rough and bool(pieces) and pieces[-1][0] != "▁th▁"
     assert m.by_words == (bool(pieces) and pieces[-1][0] != "▁th▁") and (len(seen) < 20) == by_words
+
+
+def test_streams_of_several_ids(spark, tmp_path):
+    """A row may hold several ids; characters are cut between rows."""
+    from textloom.streaming.decode import decode_stream
+
+    text = {"s": "héllo 日本語 🙂", "t": "ß", "u": "x" + "é" * 20}
+    rows = [(k, at, list(v.encode()[at * 4 : at * 4 + 4])) for k, v in text.items() for at in range(-(-len(v.encode()) // 4))]
+    for k in range(0, len(rows), 6):
+        spark.createDataFrame(rows[k : k + 6][::-1], "stream string, at int, ids array<int>").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema("stream string, at int, ids array<int>").parquet(str(tmp_path / "in"))
+    q = decode_stream(src, "stream", "at", "ids", [bytes([b]) for b in range(256)]).writeStream.format("memory").queryName("several").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted((r.stream, r.at, r.text) for r in spark.table("several").collect())
+    assert {k: "".join(t for s, _, t in got if s == k) for k in text} == text and len(got) == len(rows)

@@ -31,7 +31,7 @@ def token_bytes(ids: Column, tokens: list[bytes]) -> Column:
 
 
 def decode_stream(df: DataFrame, stream: str, order: str, token_id: str, tokens: list[bytes]) -> DataFrame:
-    """(stream, order, text) of a streaming DataFrame with one token id a row; rows of a micro-batch go by `order`.
+    """(stream, order, text) of a streaming DataFrame with a token id or an array of them a row; rows of a micro-batch go by `order`.
 
     The state of a stream is at most three bytes; it ends with the query. Broken bytes become U+FFFD."""
 
@@ -39,11 +39,15 @@ def decode_stream(df: DataFrame, stream: str, order: str, token_id: str, tokens:
         decoder = codecs.getincrementaldecoder("utf-8")("replace")
         if state.exists:
             decoder.setstate((state.get[0], 0))
-        every = pd.concat(list(rows)).sort_values(order, kind="stable")
-        n = len(tokens)
-        text = [decoder.decode(tokens[i] if 0 <= i < n else b"") for i in every[token_id].tolist()]
+        some = list(rows)
+        every = some[0] if len(some) == 1 else pd.concat(some)
+        by, ids = every[order].to_numpy(), every[token_id].tolist()
+        turn, n = by.argsort(kind="stable").tolist(), len(tokens)
+        parts = ([tokens[i] for i in ids[k] if 0 <= i < n] if several else [tokens[ids[k]]] if 0 <= ids[k] < n else [] for k in turn)
+        text = [decoder.decode(b"".join(p)) for p in parts]
         state.update((decoder.getstate()[0],))
-        yield pd.DataFrame({stream: [key[0]] * len(every), order: every[order].tolist(), "text": text})
+        yield pd.DataFrame({stream: [key[0]] * len(turn), order: by[turn], "text": text})
 
     kinds = dict(df.dtypes)
+    several = kinds[token_id].startswith("array")
     return df.groupBy(stream).applyInPandasWithState(step, f"{stream} {kinds[stream]}, {order} {kinds[order]}, text string", "tail binary", "append", "NoTimeout")
