@@ -118,3 +118,10 @@ def test_streams_of_several_ids(spark, tmp_path):
     q.awaitTermination()
     got = sorted((r.stream, r.at, r.text) for r in spark.table("several").collect())
     assert {k: "".join(t for s, _, t in got if s == k) for k in text} == text and len(got) == len(rows)
+
+
+def test_terms_are_split_once(spark):
+    df = catalog.queries()["q_term_counts"](spark, SF)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Generate posexplode") == 1

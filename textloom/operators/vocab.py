@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def from_counts(words: DataFrame, token: str = "token", size: int | None = None, first_id: int = 0) -> DataFrame:
-    """(token, id, n): the most frequent tokens, ties in the tokens' order; size: how many.
+def from_counts(words: DataFrame, token: str = "token", size: int | None = None, first_id: int = 0, count: str | None = None) -> DataFrame:
+    """(token, id, n): the most frequent tokens, ties in the tokens' order; size: how many; count: how often a row counts.
 
     With a size, the few tokens left are numbered in one task. Without one, tokens that occur equally often are numbered
     together, after the number of all more frequent ones; only tokens that occur once may be many, so they are numbered
     by ranges of themselves."""
-    counts = words.groupBy(token).agg(F.count(F.lit(1)).alias("n"))
+    counts = words.groupBy(token).agg((F.sum(count) if count else F.count(F.lit(1))).alias("n"))
     if size is not None:
         counts = counts.orderBy(F.desc("n"), token).limit(size)
         return counts.select(token, (F.row_number().over(Window.orderBy(F.desc("n"), token)) - 1 + first_id).cast("int").alias("id"), "n")
@@ -104,9 +104,13 @@ def label_encode(df: DataFrame, column: str, keys: Sequence[str], values: Sequen
     return encode(df, column, table, default, name)
 
 
-def term_counts(words: DataFrame, key: str, token: str, vocab: DataFrame) -> DataFrame:
-    """(key, id, n): how often each document has each term of the vocabulary; zeros are left out."""
+def term_counts(words: DataFrame, key: str, token: str, vocab: DataFrame, count: str | None = None) -> DataFrame:
+    """(key, id, n): how often each document has each term of the vocabulary; zeros are left out.
+
+    count: a column of words that has the counts already, a row for each key and token; no two tokens may share an id then."""
     v = vocab.select(F.col("token").alias("_token"), "id")
+    if count:
+        return words.join(v, words[token] == v["_token"]).select(key, "id", F.col(count).alias("n"))
     return words.join(v, words[token] == v["_token"]).groupBy(key, "id").agg(F.count(F.lit(1)).alias("n"))
 
 
